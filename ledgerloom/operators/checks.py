@@ -74,3 +74,20 @@ def reader_contract(df: DataFrame, dt: str, row_id: str, label: str | None) -> D
     d = d.withColumn("_back", F.lag(dt).over(Window.partitionBy(*tl.parts).orderBy(row_id)) > F.col(dt))
     return (d.filter(~F.col(HALO)).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_back").alias("steps_back"))
             .withColumn("has_label", F.lit(int(label is not None and label in df.columns))))
+
+
+def one_to_one(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join after a check that neither side repeats a key."""
+    for side in (a, b):
+        n = side.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*on).alias("u")).first()
+        if n["n"] != n["u"]:
+            raise ValueError(f"{n['n'] - n['u']} repeated keys")
+    return a.join(b, on)
+
+
+def coverage(df: DataFrame, table: DataFrame, row_id: str, fold: str) -> DataFrame:
+    """Per fold: rows the table does not hold, and rows it holds in another fold."""
+    right = table.select(F.col(row_id).alias("_id"), F.col(fold).alias("_fold"))
+    d = df.join(right, F.col(row_id) == F.col("_id"), "left")
+    return d.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_id").isNull()).alias("uncovered"),
+                               F.count_if(F.col("_fold") != F.col(fold)).alias("fold_mismatch"))

@@ -63,7 +63,8 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int, seed: i
 
 def hash_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows (or all), the ones with the smallest seeded hash; the same rows on every run."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), row_id)).orderBy("_h", row_id).limit(n).drop("_h")
+    d = df.withColumn("_h", F.xxhash64(F.lit(seed), row_id))
+    return ordinal(d, ["_h", row_id], "_k").filter(F.col("_k") <= n).drop("_h", "_k")
 
 
 def horizon(query: DataFrame, history: DataFrame, dt: str, out: str = "horizon") -> DataFrame:

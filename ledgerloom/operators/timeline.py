@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import attach_bounded
+from .joins import attach, attach_bounded
 
 MAX_ROWS = 4_000_000    # rows of one key that one task may sort
 MAX_CUTS = 200_000      # bound on the broadcast table of cuts; beyond it slices get longer
@@ -129,8 +129,73 @@ class Timeline:
             out = out.unionByName(side)
         return out
 
+    def total(self, aggs: dict[str, Column], df: DataFrame, sub: list[str] = ()) -> DataFrame:
+        """Aggregate over all rows of the key (and `sub` columns), on every row.
+
+        One exchange serves all windows of a key. Oversized keys aggregate before the shuffle and join back.
+        """
+        over = self.key + list(sub)
+        if self.cuts is None:
+            return df.withColumns({n: a.over(Window.partitionBy(*(over or [F.lit(0)]))) for n, a in aggs.items()})
+        rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
+        return attach(df, rows.groupBy(*over).agg(*[a.alias(n) for n, a in aggs.items()]), over)
+
+    def distinct(self, columns: dict[str, str], df: DataFrame) -> DataFrame:
+        """Number of distinct present values of a column in the key, on every row."""
+        for out, c in columns.items():
+            if self.cuts is None:
+                first = Window.partitionBy(*self.key, c).orderBy(*self.order)
+                df = df.withColumn("_1st", ((F.row_number().over(first) == 1) & F.col(c).isNotNull()).cast("int"))
+                df = df.withColumn(out, F.sum("_1st").over(Window.partitionBy(*self.key))).drop("_1st")
+            else:
+                rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
+                n = rows.groupBy(*self.key, c).agg(F.lit(1).alias("_1")).groupBy(*self.key).agg(
+                    F.count(c).alias(out))
+                df = attach(df, n, self.key)
+        return df
+
+    def median(self, columns: dict[str, str], df: DataFrame) -> DataFrame:
+        if self.cuts is None:
+            return df.withColumns({n: F.median(c).over(Window.partitionBy(*self.key)) for n, c in columns.items()})
+        from .ranks import quantiles
+        rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
+        for n, c in columns.items():
+            df = attach(df, quantiles(rows, self.key, c, {n: 0.5}), self.key)
+        return df
+
+    def light_and_heavy(self) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of ordinary keys and rows of oversized keys."""
+        if self.cuts is None:
+            return self.df, None
+        return (self.df.filter(F.col(SLICE).isNull()).drop(SLICE),
+                self.df.filter(F.col(SLICE).isNotNull()).drop(SLICE))
+
     def settle(self, df: DataFrame) -> DataFrame:
         """Remove the halo rows and helper columns."""
         if HALO in df.columns:
             df = df.filter(~F.col(HALO)).drop(HALO)
         return df.drop(SLICE)
+
+
+def earlier(df: DataFrame, key: list[str], time: str, row_id: str, sums: dict[str, Column],
+            maxes: dict[str, Column] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Sum (0 if none) and max over the rows of the key with a strictly smaller `time`.
+
+    Rows of equal time do not see each other. Ordinary keys use a growing RANGE frame; oversized ones are first
+    aggregated per time, so that a time shared by many rows is one row, and then read off the running totals.
+    """
+    maxes = maxes or {}
+    light, heavy = Timeline(df, key, [time, row_id], max_rows).light_and_heavy()
+    before = Window.partitionBy(*key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    out = light.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
+                            | {n: F.max(c).over(before) for n, c in maxes.items()})
+    if heavy is None:
+        return out
+    per_time = heavy.groupBy(*key, time).agg(*[F.sum(c).alias(n) for n, c in sums.items()],
+                                             *[F.max(c).alias(n) for n, c in maxes.items()])
+    tl = Timeline(per_time, key, [time], max_rows)
+    names = [*sums, *maxes]
+    running = tl.prefix({f"_p_{n}": F.coalesce(F.col(n), F.lit(0)) for n in sums},
+                        {f"_p_{n}": F.col(n) for n in maxes})
+    running = running.select(*key, time, *[F.col(f"_p_{n}").alias(n) for n in names])
+    return out.unionByName(attach(heavy, running, [*key, time]))
