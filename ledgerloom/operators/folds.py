@@ -1,7 +1,7 @@
 """Forward folds with an embargo, hold-outs, month groups, samples, horizons."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .joins import attach_bounded
 from .ranks import ordinal, quantiles
@@ -74,6 +74,13 @@ def horizon(query: DataFrame, history: DataFrame, dt: str, out: str = "horizon")
     return d.withColumn(out, (F.col(dt) - F.col("_last")) / F.lit(86400.0)).drop("_one", "_last")
 
 
-def pair_table(spark: SparkSession, pairs: tuple) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "name string, stage string, horizon int, history_end int, "
-                                              "valid_start int, valid_end int")
+def pair_counts(df: DataFrame, day: str, pairs: tuple) -> DataFrame:
+    """History, future and skipped rows of every back-test pair, in one pass."""
+    aggs = []
+    for i, (name, stage, h, end, start, stop) in enumerate(pairs):
+        d = F.col(day)
+        aggs.append(F.struct(F.lit(name).alias("name"), F.lit(stage).alias("stage"), F.lit(h).alias("horizon"),
+                             F.count_if(d < end).alias("history_rows"), F.count_if((d >= start) & (d < stop)).alias("future_rows"),
+                             F.count_if((d >= end) & (d < start)).alias("skipped")).alias(f"p{i}"))
+    one = df.agg(*aggs)
+    return one.select(F.explode(F.array(*one.columns)).alias("_p")).select("_p.*")

@@ -1,5 +1,5 @@
 """Bindings of the operators to the test tables."""
 from .registry import BINDINGS, runner
-from . import q_rows, q_stats  # noqa: F401  (they register themselves)
+from . import q_rows, q_stats, q_scores, q_models  # noqa: F401  (they register themselves)
 
 __all__ = ["BINDINGS", "runner"]

@@ -273,13 +273,13 @@ def history_sql(p, key, source, smooth):
     past = "OVER (PARTITION BY {k} ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)".replace("{k}", key)
     rates = ", ".join(f"(y + {s} * (SELECT avg(label) FROM h)) / (n + {s}) AS {p}_rate_smoothed_{s}" for s in smooth)
     return f"""h AS (SELECT * FROM {source} WHERE split = 'history'),
-      tot AS (SELECT {key}, count(*) AS n, sum(label) AS y, max(CASE WHEN label = 1 THEN dt END) AS at FROM h GROUP BY {key}),
+      tot AS (SELECT {key}, count(*) AS n, sum(label) AS y, max(CASE WHEN label = 1 THEN dt END) AS last_at FROM h GROUP BY {key}),
       k AS (SELECT id, 'history' AS side, dt, count(*) {past} AS n, COALESCE(sum(label) {past}, 0) AS y,
-        max(CASE WHEN label = 1 THEN dt END) {past} AS at FROM h
-        UNION ALL SELECT id, 'query', dt, COALESCE(n, 0), COALESCE(y, 0), at FROM {source} q LEFT JOIN tot ON q.{key} IS NOT DISTINCT FROM tot.{key}
+        max(CASE WHEN label = 1 THEN dt END) {past} AS last_at FROM h
+        UNION ALL SELECT id, 'query', dt, COALESCE(n, 0), COALESCE(y, 0), last_at FROM {source} q LEFT JOIN tot ON q.{key} IS NOT DISTINCT FROM tot.{key}
         WHERE split = 'query')
       SELECT id, side, n AS {p}_rows, y AS {p}_positives, n - y AS {p}_negatives, y / nullif(n, 0) AS {p}_rate, y > 0 AS {p}_any,
-        dt - at AS {p}_since_positive, {rates} FROM k"""
+        dt - last_at AS {p}_since_positive, {rates} FROM k"""
 
 
 @query("A13_label_history", "id:i side:s " + " ".join(f"known_{c}:{k}" for c, k in HIST.items()) + " known_rate_smoothed_20:f",
@@ -404,7 +404,7 @@ def delta_spec(p, counters_):
     return "id:i " + " ".join(f"{p}_{c}_{s}_delta:f {p}_{c}_{s}_error:f {p}_{c}_{s}_match:i {p}_{c}_{s}_same:i" for c in counters_ for s in ("previous", "next"))
 
 
-MC = f"{CH}, mc AS (SELECT id, dt, uid, a / 1000 AS amt, s / 1000 AS k1, s // 3000 * 3 AS k2, CASE WHEN id % 9 <> 0 THEN s / 1000 + 5 END AS k3 FROM ch)"
+MC = f"{CH}, mc AS (SELECT id, dt, uid, a / 1000 AS amt, s / 1000 AS k1, floor(s / 3000) * 3 AS k2, CASE WHEN id % 9 <> 0 THEN s / 1000 + 5 END AS k3 FROM ch)"
 
 
 def multi(t):
