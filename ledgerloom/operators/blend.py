@@ -5,29 +5,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .entity import pooled, pull
-from .joins import attach_bounded
-from .ranks import average_rank, rank_match
+from ..sources.store import save
+from .entity import pool_table, pooled, pull
+from .joins import attach, attach_bounded
+from .ranks import average_rank, rank_many, rank_match
 from .timeline import MAX_ROWS
 
 
 def residual_layers(df: DataFrame, base: str, layers: Sequence[tuple[str, float, Column]], out: str,
                     max_rows: int = MAX_ROWS) -> DataFrame:
     """Rank the base; mix each layer's rank into its mask; rank again between layers, not after the last."""
-    d = average_rank(df, base, out, max_rows=max_rows)
-    for n, (score, weight, mask) in enumerate(layers):
+    d = rank_many(df, [(base, out, ())] + [(c, f"_l{n}", ()) for n, (c, _, _) in enumerate(layers)], max_rows=max_rows)
+    for n, (_, weight, mask) in enumerate(layers):
         if n:
-            d = average_rank(d.withColumnRenamed(out, "_stage"), "_stage", out, max_rows=max_rows).drop("_stage")
-        d = average_rank(d, score, "_layer", max_rows=max_rows)
-        d = d.withColumn(out, F.when(mask, (1 - weight) * F.col(out) + weight * F.col("_layer")).otherwise(F.col(out))).drop("_layer")
-    return d
+            d = average_rank(save(d.withColumnRenamed(out, "_stage")), "_stage", out, max_rows=max_rows).drop("_stage")
+        d = d.withColumn(out, F.when(mask, (1 - weight) * F.col(out) + weight * F.col(f"_l{n}")).otherwise(F.col(out)))
+    return d.drop(*[f"_l{n}" for n in range(len(layers))])
 
 
 def rank_blend(df: DataFrame, weights: dict[str, float], out: str, by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
     """Weighted sum of the ranks of the sources, ranked within `by`."""
-    d = df
-    for i, c in enumerate(weights):
-        d = average_rank(d, c, f"_r{i}", by, max_rows=max_rows)
+    d = rank_many(df, [(c, f"_r{i}", by) for i, c in enumerate(weights)], max_rows=max_rows)
     mix = sum((w * F.col(f"_r{i}") for i, w in enumerate(weights.values())), F.lit(0.0))
     return d.withColumn(out, mix).drop(*[f"_r{i}" for i in range(len(weights))])
 
@@ -42,8 +40,7 @@ def by_segment(segment: str, values: dict[str, float], default: float = 0.0) ->
 def segmented_blend(df: DataFrame, current: str, stacked: str, segment: str, row_id: str, weights: dict[str, float],
                     out: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Mix the two orders inside each segment, but give every segment exactly the rank values it had."""
-    d = average_rank(df, current, "_cur", max_rows=max_rows)
-    d = average_rank(average_rank(d, "_cur", "_cs", [segment], max_rows=max_rows), stacked, "_ss", [segment], max_rows=max_rows)
+    d = rank_many(df, [(current, "_cur", ()), (current, "_cs", [segment]), (stacked, "_ss", [segment])], max_rows=max_rows)
     w = by_segment(segment, weights)
     d = d.withColumn("_signal", (1 - w) * F.col("_cs") + w * F.col("_ss"))
     return rank_match(d, "_signal", "_cur", row_id, out, [segment], max_rows).drop("_cur", "_cs", "_ss", "_signal")
@@ -86,7 +83,7 @@ def horizon_mix(df: DataFrame, segment: str, horizon: str, weights: dict[float,
 def variants(df: DataFrame, score: str, key: list[str], method: str, weight: float, size: tuple, valid: Column,
              max_rows: int = MAX_ROWS) -> DataFrame:
     """probability, rank, and both pooled in the entity and pulled to it."""
-    d = average_rank(df.withColumn("probability", F.col(score)), score, "rank", max_rows=max_rows)
+    d = save(average_rank(df.withColumn("probability", F.col(score)), score, "rank", max_rows=max_rows))
     for c in ("probability", "rank"):
         d = pull(pooled(d, key, c, method, "_p", valid, size, max_rows), c, "_p", weight, f"pooled_{c}").drop("_p")
     return d
@@ -103,9 +100,7 @@ def two_source_signals(df: DataFrame, left: str, right: str, prefix: str, steps:
 
 def source_signals(df: DataFrame, sources: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """Mean score, mean and max rank of all sources, mean rank of every pair."""
-    d = df
-    for c in sources:
-        d = average_rank(d, c, f"_{c}", max_rows=max_rows)
+    d = rank_many(df, [(c, f"_{c}", ()) for c in sources], max_rows=max_rows)
     r = {c: F.col(f"_{c}") for c in sources}
     total = lambda cs: sum(cs[1:], cs[0])
     out = {"all_score_mean": total([F.col(c) for c in sources]) / len(sources),
@@ -117,12 +112,15 @@ def source_signals(df: DataFrame, sources: list[str], max_rows: int = MAX_ROWS)
 def pooling_signals(df: DataFrame, keys: dict[str, list[str]], score: str, methods: tuple = ("mean", "max", "q75"),
                     primary: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """Score pooled over every key and method; mean and max of their ranks over keys, and over methods of one key."""
-    d, names = df, {}
+    d = df
     for k, cols in keys.items():
         for m in methods:
-            d = pooled(d, cols, score, m, f"{k}_{m}", max_rows=max_rows)
-            d = average_rank(d, f"{k}_{m}", f"_r_{k}_{m}", max_rows=max_rows)
-            names[k, m] = F.col(f"_r_{k}_{m}")
+            d = attach(d, pool_table(df, cols, score, m, f"{k}_{m}", max_rows).drop("_n"), cols)
+    names = {(k, m): f"_r_{k}_{m}" for k in keys for m in methods}
+    # sums of the same rows in another order differ in the last bits: equal pools must stay ties
+    d = save(d.withColumns({f"_x_{k}_{m}": F.round(f"{k}_{m}", 12) for k, m in names}))
+    d = rank_many(d, [(f"_x_{k}_{m}", r, ()) for (k, m), r in names.items()], max_rows=max_rows)
+    names = {key: F.col(r) for key, r in names.items()}
     total = lambda cs: sum(cs[1:], cs[0])
     out = {}
     for m in methods:
@@ -130,15 +128,13 @@ def pooling_signals(df: DataFrame, keys: dict[str, list[str]], score: str, metho
         out |= {f"multi_{m}_meanrank": total(rs) / len(rs), f"multi_{m}_maxrank": F.greatest(*rs) if len(rs) > 1 else rs[0]}
     first = [names[primary or next(iter(keys)), m] for m in methods]
     out["method_meanrank"] = total(first) / len(first)
-    return d.withColumns(out).drop(*[f"_r_{k}_{m}" for k in keys for m in methods])
+    return d.withColumns(out).drop(*[f"{x}_{k}_{m}" for x in ("_r", "_x") for k in keys for m in methods])
 
 
 def meta_features(df: DataFrame, sources: list[str], by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
     """Clipped score, logit, rank, squared rank per source; rank mean, deviation, range and differences across sources."""
-    d = df
-    for c in sources:
-        clipped = F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-        d = average_rank(d.withColumn(f"{c}_prob", clipped), f"{c}_prob", f"{c}_rank", by, max_rows=max_rows)
+    d = df.withColumns({f"{c}_prob": F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6)) for c in sources})
+    d = rank_many(d, [(f"{c}_prob", f"{c}_rank", by) for c in sources], max_rows=max_rows)
     r = [F.col(f"{c}_rank") for c in sources]
     mean = sum(r[1:], r[0]) / len(r)
     spread = [(x - mean) * (x - mean) for x in r]

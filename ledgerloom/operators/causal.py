@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import VELOCITY, VELOCITY_SUMS
 from ..functions.rowwise import divide
 from ..functions.tokens import token
+from ..sources.store import save
 from .frequency import with_total
 from .joins import attach
 from .timeline import HALO, MAX_ROWS, Timeline, earlier
@@ -25,6 +26,7 @@ def _before_cutoff(df: DataFrame, key: list[str], dt: str, row_id: str, windows:
                                                         F.lit(0)) for name, s in windows.items() for n, c in sums.items()})
     if heavy is None:
         return out
+    heavy = save(heavy)
     events = heavy.groupBy(*key, F.col(dt).alias("_t")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n)
                                                                for n, c in sums.items()])
     probes = events.select(*key, F.explode(F.array(*[F.struct(F.lit(name).alias("_w"), (F.col("_t") - s).alias("_t"),

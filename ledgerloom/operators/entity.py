@@ -144,20 +144,23 @@ def client_profile(df: DataFrame, key: list[str], dt: str, row_id: str, day: str
                           "client_per_day": F.col("client_count") / (F.col("client_day_span") + 1)})
 
 
+def pool_table(rows: DataFrame, key: list[str], score: str, method: str, out: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Pooled score (mean, max, q75, …) and row count `_n` per entity."""
+    n = F.count(F.lit(1)).alias("_n")
+    if not method.startswith("q"):
+        return rows.groupBy(*key).agg({"mean": F.avg, "max": F.max}[method](score).alias(out), n)
+    table = quantiles(rows, key, score, {out: int(method[1:]) / 100}, max_rows)
+    return attach(table, rows.groupBy(*key).agg(n), key)
+
+
 def pooled(df: DataFrame, key: list[str], score: str, method: str, out: str, valid: Column | None = None,
            size: tuple[int, int | None] = (1, None), max_rows: int = MAX_ROWS) -> DataFrame:
     """Score pooled in an entity (mean, max, q75, q90). Invalid rows and entities outside `size` keep their score."""
     ok = F.lit(True) if valid is None else valid
-    rows = df.filter(ok)
-    if method.startswith("q"):
-        table = quantiles(rows, key, score, {"_pool": int(method[1:]) / 100}, max_rows)
-        table = attach(table, rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), key)
-    else:
-        table = rows.groupBy(*key).agg({"mean": F.avg, "max": F.max}[method](score).alias("_pool"),
-                                       F.count(F.lit(1)).alias("_n"))
     fits = ok & (F.col("_n") >= size[0])
     if size[1] is not None:
         fits = fits & (F.col("_n") <= size[1])
+    table = pool_table(df.filter(ok), key, score, method, "_pool", max_rows)
     return attach(df, table, key).withColumn(out, F.when(fits, F.col("_pool")).otherwise(F.col(score))).drop("_pool", "_n")
 
 

@@ -42,8 +42,9 @@ def frequency_by_mode(history: DataFrame, query: DataFrame, columns: list[str],
 
 def normalized_frequency(df: DataFrame, columns: list[str], suffix: str = "_fe") -> DataFrame:
     """Share among present values; missing is -1."""
+    base = df
     for c in columns:
-        present = df.filter(F.col(c).isNotNull())
+        present = base.filter(F.col(c).isNotNull())
         counts = with_total(present.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), present, "_all")
         df = attach(df, counts.select(c, (F.col("_n") / F.col("_all")).alias(c + suffix)), [c])
         df = df.withColumn(c + suffix, F.coalesce(c + suffix, F.lit(-1.0)))
@@ -56,9 +57,10 @@ AGGREGATES = {"mean": F.avg, "std": F.stddev_samp}
 def value_aggregates(df: DataFrame, columns: list[str], keys: list[str], aggs: tuple = ("mean", "std"),
                      minus_one_is_missing: bool = True) -> DataFrame:
     """{column}_{key}_{agg} for every pair; one aggregation per key serves all columns; missing result is -1."""
+    base = df
     for k in keys:
         x = lambda c: F.when(F.col(c) != -1, F.col(c)) if minus_one_is_missing else F.col(c)
-        table = df.groupBy(k).agg(*[AGGREGATES[a](x(c)).alias(f"{c}_{k}_{a}") for c in columns for a in aggs])
+        table = base.groupBy(k).agg(*[AGGREGATES[a](x(c)).alias(f"{c}_{k}_{a}") for c in columns for a in aggs])
         df = attach(df, table, [k])
         names = [f"{c}_{k}_{a}" for c in columns for a in aggs]
         df = df.withColumns({n: F.coalesce(F.col(n), F.lit(-1.0)) for n in names})
@@ -67,8 +69,9 @@ def value_aggregates(df: DataFrame, columns: list[str], keys: list[str], aggs: t
 
 def distinct_counts(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """{key}_{column}_ct: distinct present values of the column in the key."""
+    base = df
     for k in keys:
         for c in columns:
-            n = (df.groupBy(k, c).agg(F.lit(1).alias("_1")).groupBy(k).agg(F.count(c).alias(f"{k}_{c}_ct")))
+            n = (base.groupBy(k, c).agg(F.lit(1).alias("_1")).groupBy(k).agg(F.count(c).alias(f"{k}_{c}_ct")))
             df = attach(df, n, [k])
     return df

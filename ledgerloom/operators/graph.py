@@ -74,11 +74,15 @@ def capped_components(groups: DataFrame, cap: int) -> DataFrame:
     label = save(pending.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
                  .select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size")))
     while True:
+        # sizes only grow, so a link that no longer fits never will: it needs no turn
+        hub = label.select(F.col("node").alias("hub"), F.col("component").alias("_hc"), F.col("size").alias("_hs"))
+        pending = save(pending.join(hub, "hub").join(label, "node").filter(
+            (F.col("component") != F.col("_hc")) & (F.col("size") + F.col("_hs") <= cap)).select(*link, "node"))
+        if pending.isEmpty():
+            return label.select("node", "component")
         ends = pending.select(*link, "node").unionByName(pending.select(*link, F.col("hub").alias("node")).distinct())
         touch = ends.join(label, "node")
         parts = touch.select(*link, "component").distinct()
-        open_links = parts.groupBy(*link).count().filter("count > 1").drop("count")
-        parts = parts.join(open_links, link)
         first = parts.groupBy("component").agg(F.min(F.struct(*link)).alias("_first"))
         ready = (parts.join(first, "component").groupBy(*link)
                  .agg(F.count_if(F.col("_first") != F.struct(*link)).alias("_wait")).filter("_wait = 0").drop("_wait"))
@@ -95,9 +99,7 @@ def capped_components(groups: DataFrame, cap: int) -> DataFrame:
         done = save(merged.select(*link))
         label = save(label.join(moves, "component", "left").select(
             "node", F.coalesce("_new", "component").alias("component"), F.coalesce("_size", "size").alias("size")))
-        pending = save(pending.join(open_links, link, "left_semi").join(done, link, "left_anti"))
-        if pending.isEmpty():
-            return label.select("node", "component")
+        pending = pending.join(done, link, "left_anti")
 
 
 def entity_components(df: DataFrame, row_id: str, keys: list[tuple[list[str], int]], cap: int,

@@ -13,13 +13,7 @@ def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
-def average_rank(df: DataFrame, value: str, out: str, by: list[str] = (), pct: bool = True,
-                 max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rank with ties averaged, divided by the count; missing values get no rank.
-
-    Equal values are one row after the first aggregation, so a tie never crosses a slice boundary.
-    """
-    d, keys = _grouped(df, by)
+def _rank_table(d: DataFrame, value: str, out: str, keys: list[str], pct: bool, max_rows: int) -> DataFrame:
     counts = (d.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
     below = Timeline(counts, keys, ["_v"], max_rows).prefix({"_below": F.col("_n")}).drop(SLICE)
@@ -27,14 +21,27 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] = (), pct: b
     if pct:
         below = attach(below, counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
         rank = rank / F.col("_total")
-    ranks = below.select(*keys, F.col("_v").alias(value), rank.alias(out))
-    return attach(d, ranks, keys + [value]).drop(ALL)
+    return below.select(*keys, F.col("_v").alias(value), rank.alias(out))
 
 
-def ranks(df: DataFrame, values: dict[str, str], by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
-    for value, out in values.items():
-        df = average_rank(df, value, out, by, True, max_rows)
-    return df
+def rank_many(df: DataFrame, wanted: list[tuple[str, str, list[str]]], pct: bool = True,
+              max_rows: int = MAX_ROWS) -> DataFrame:
+    """Several ranks (value, out, by). All tables are made from `df` itself, so the plan grows by one branch each."""
+    d = df.withColumn(ALL, F.lit(0))
+    out = d
+    for value, name, by in wanted:
+        keys = list(by) or [ALL]
+        out = attach(out, _rank_table(d, value, name, keys, pct, max_rows), keys + [value])
+    return out.drop(ALL)
+
+
+def average_rank(df: DataFrame, value: str, out: str, by: list[str] = (), pct: bool = True,
+                 max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rank with ties averaged, divided by the count; missing values get no rank.
+
+    Equal values are one row after the first aggregation, so a tie never crosses a slice boundary.
+    """
+    return rank_many(df, [(value, out, by)], pct, max_rows)
 
 
 def auc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str = "auc", weight: str | None = None,
@@ -57,7 +64,8 @@ def ordinal(df: DataFrame, order: list[str], out: str, by: list[str] = (), max_r
     """Row number from 1 in a total order."""
     d, keys = _grouped(df, by)
     tl = Timeline(d, keys, order, max_rows)
-    return tl.settle(tl.prefix({out: F.lit(1)})).withColumn(out, F.col(out) + 1).drop(ALL)
+    d = tl.settle(tl.prefix({out: F.lit(1)})).withColumn(out, F.col(out) + 1)
+    return d if by else d.drop(ALL)
 
 
 def rank_match(df: DataFrame, signal: str, reference: str, row_id: str, out: str, by: list[str] = (),
@@ -72,7 +80,7 @@ def rank_match(df: DataFrame, signal: str, reference: str, row_id: str, out: str
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "spearman",
              max_rows: int = MAX_ROWS) -> DataFrame:
-    d = average_rank(average_rank(df, a, "_ra", by, True, max_rows), b, "_rb", by, True, max_rows)
+    d = rank_many(df, [(a, "_ra", by), (b, "_rb", by)], max_rows=max_rows)
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.corr("_ra", "_rb").alias(out))
 
 

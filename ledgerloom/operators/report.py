@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import attach
-from .ranks import auc, average_rank, ordinal, quantiles
+from .ranks import auc, ordinal, quantiles, rank_many
 from .timeline import MAX_ROWS
 
 
@@ -63,9 +63,8 @@ def metric_pivot(metrics: DataFrame, row: str, column: str, values: list[str], m
 
 def rank_movement(df: DataFrame, base: str, candidate: str, by: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Rows, Spearman with the base, median and largest absolute change of the rank, per group."""
-    d = average_rank(average_rank(df, base, "_b", max_rows=max_rows), candidate, "_c", max_rows=max_rows)
+    d = rank_many(df, [(base, "_b", ()), (candidate, "_c", ()), (base, "_sb", [by]), (candidate, "_sc", [by])], max_rows=max_rows)
     d = d.withColumn("_move", F.abs(F.col("_c") - F.col("_b")))
-    d = average_rank(average_rank(d, base, "_sb", [by], max_rows=max_rows), candidate, "_sc", [by], max_rows=max_rows)
     t = d.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.corr("_sb", "_sc").alias("spearman"),
                           F.max("_move").alias("max_move"))
     return attach(t, quantiles(d, [by], "_move", {"median_move": 0.5}, max_rows), [by])

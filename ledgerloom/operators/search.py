@@ -13,9 +13,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import SEGMENTS
+from ..sources.store import save
 from .blend import with_bounded
+from .entity import pool_table
 from .joins import attach
-from .ranks import auc, average_rank, ordinal, quantiles
+from .ranks import auc, ordinal, quantiles, rank_many
 from .timeline import MAX_ROWS, SLICE, Timeline
 
 
@@ -131,8 +133,7 @@ def base_aucs(df: DataFrame, label: str, score: str, max_rows: int = MAX_ROWS) -
 def rank_options(df: DataFrame, current: str, stacked: str, segment: str, row_id: str, weights: tuple,
                  max_rows: int = MAX_ROWS) -> DataFrame:
     """Rows repeated per weight index (`option`) with the rank-matched blend (`score`) of their segment."""
-    d = average_rank(df, current, "_cur", max_rows=max_rows)
-    d = average_rank(average_rank(d, "_cur", "_cs", [segment], max_rows=max_rows), stacked, "_ss", [segment], max_rows=max_rows)
+    d = save(rank_many(df, [(current, "_cur", ()), (current, "_cs", [segment]), (stacked, "_ss", [segment])], max_rows=max_rows))
     values = ordinal(d.select(segment, "_cur", row_id), ["_cur", row_id], "_k", [segment], max_rows).select(
         segment, "_k", F.col("_cur").alias("score"))
     d = d.select("*", F.posexplode(F.array(*[F.lit(float(w)) for w in weights])).alias("option", "_w"))
@@ -237,7 +238,7 @@ def two_stage_recipe(df: DataFrame, label: str, sources: list[str], baseline: st
 
 def line_search(df: DataFrame, label: str, first: str, second: str, steps: int, max_rows: int = MAX_ROWS) -> DataFrame:
     """AUC of (1-w)*rank(first) + w*rank(second) for w in equal steps."""
-    d = average_rank(average_rank(df, first, "_a", max_rows=max_rows), second, "_b", max_rows=max_rows)
+    d = rank_many(df, [(first, "_a", ()), (second, "_b", ())], max_rows=max_rows)
     weights = [{"_a": 1 - i / (steps - 1), "_b": i / (steps - 1)} for i in range(steps)]
     scored = candidate_auc(d.select(label, "_a", "_b"), label, ["_a", "_b"], weights, [], max_rows)
     return scored.select((F.col("candidate") / F.lit(float(steps - 1))).alias("weight"), "auc")
@@ -246,12 +247,13 @@ def line_search(df: DataFrame, label: str, first: str, second: str, steps: int,
 def pooling_search(df: DataFrame, label: str, score: str, groups: dict[str, tuple[list[str], Column, int]],
                    methods: tuple, weights: tuple, max_rows: int = MAX_ROWS) -> DataFrame:
     """Key group x method x weight: AUC gain overall and in the worse half. `df` needs `half`."""
-    from .entity import pooled
-    d = df
-    names = []
+    d, names = df, []
     for g, (key, valid, cap) in groups.items():
         for m in methods:
-            d = pooled(d, list(key), score, m, f"_p_{g}_{m}", valid, (2, cap), max_rows)
+            table = pool_table(df.filter(valid), list(key), score, m, "_pool", max_rows)
+            d = attach(d, table, list(key))
+            fits = valid & F.col("_n").between(2, cap)
+            d = d.withColumn(f"_p_{g}_{m}", F.when(fits, F.col("_pool")).otherwise(F.col(score))).drop("_pool", "_n")
             names.append((g, m))
     signal = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(m).alias("method"), F.lit(float(w)).alias("weight"),
                                 F.round((1 - w) * F.col(score) + w * F.col(f"_p_{g}_{m}"), 12).alias("x"))

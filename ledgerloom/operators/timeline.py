@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import save
 from .joins import attach, attach_bounded
 
 MAX_ROWS = 4_000_000    # rows of one key that one task may sort
@@ -93,6 +94,7 @@ class Timeline:
         local |= {n: F.max(c).over(before) for n, c in maxes.items()}
         if self.cuts is None:
             return d.withColumns(local)
+        d = save(d)     # read twice below; without the cut every step would double the plan
         # at most one row per slice, hence at most MAX_CUTS rows plus one per oversized key
         carry = self._carry(d, [F.sum(c).alias(n) for n, c in sums.items()]
                             + [F.max(c).alias(n) for n, c in maxes.items()], [*sums, *maxes],
@@ -107,6 +109,7 @@ class Timeline:
         d = (self.df if df is None else df)
         if self.cuts is None:
             return d.withColumn(HALO, F.lit(False))
+        d = save(d)
         row = [c for c in d.columns if c not in (*self.key, SLICE)]
         hot = d.filter(F.col(SLICE).isNotNull())
         down = Window.partitionBy(*self.parts).orderBy(*[F.desc(c) for c in self.order])
@@ -137,6 +140,7 @@ class Timeline:
         over = self.key + list(sub)
         if self.cuts is None:
             return df.withColumns({n: a.over(Window.partitionBy(*(over or [F.lit(0)]))) for n, a in aggs.items()})
+        df = save(df)
         rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
         return attach(df, rows.groupBy(*over).agg(*[a.alias(n) for n, a in aggs.items()]), over)
 
@@ -148,6 +152,7 @@ class Timeline:
                 df = df.withColumn("_1st", ((F.row_number().over(first) == 1) & F.col(c).isNotNull()).cast("int"))
                 df = df.withColumn(out, F.sum("_1st").over(Window.partitionBy(*self.key))).drop("_1st")
             else:
+                df = save(df)
                 rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
                 n = rows.groupBy(*self.key, c).agg(F.lit(1).alias("_1")).groupBy(*self.key).agg(
                     F.count(c).alias(out))
@@ -158,6 +163,7 @@ class Timeline:
         if self.cuts is None:
             return df.withColumns({n: F.median(c).over(Window.partitionBy(*self.key)) for n, c in columns.items()})
         from .ranks import quantiles
+        df = save(df)
         rows = df.filter(~F.col(HALO)) if HALO in df.columns else df
         for n, c in columns.items():
             df = attach(df, quantiles(rows, self.key, c, {n: 0.5}), self.key)
@@ -191,6 +197,7 @@ def earlier(df: DataFrame, key: list[str], time: str, row_id: str, sums: dict[st
                             | {n: F.max(c).over(before) for n, c in maxes.items()})
     if heavy is None:
         return out
+    heavy = save(heavy)
     per_time = heavy.groupBy(*key, time).agg(*[F.sum(c).alias(n) for n, c in sums.items()],
                                              *[F.max(c).alias(n) for n, c in maxes.items()])
     tl = Timeline(per_time, key, [time], max_rows)

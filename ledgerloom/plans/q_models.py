@@ -120,7 +120,7 @@ def _(t):
 
 
 @query("S2_label_placement", "labelled:i unlabelled:i columns:i", """SELECT count(*) FILTER (split = 'history') AS labelled, count(*) FILTER (split = 'query') AS unlabelled,
-       22 AS columns FROM {tx}""")
+       21 AS columns FROM {tx}""")
 def _(t):
     q = tb.unlabelled(t.query(), "label")
     n = tb.labelled(t.history(), "label").agg(F.count(F.lit(1)).alias("labelled"))

@@ -230,8 +230,7 @@ def _(t):
     return rp.top_columns(importances(t), 4, ["s3", "day"])
 
 
-@query("R8_best_stable", "segment:s weight:f score:f", """WITH c AS (SELECT segment, w / 10.0 AS weight, avg(label * ((1 - w / 10.0) * s1 + w / 10.0 * s2)) AS score,
-       avg(s1 - s2) * w AS margin FROM {part3}, (SELECT unnest(range(11)) AS w) GROUP BY ALL)
+@query("R8_best_stable", "segment:s weight:f score:f", """WITH c AS (SELECT segment, w / 10.0 AS weight, avg(label * ((1 - w / 10.0) * s1 + w / 10.0 * s2)) AS score FROM {part3}, (SELECT unnest(range(11)) AS w) GROUP BY ALL)
        SELECT segment, weight, score FROM c QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score DESC, weight) = 1""")
 def _(t):
     d = t.part3().select("segment", "label", "s1", "s2", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("w"))
@@ -377,7 +376,7 @@ def _(t):
 
 @query("G2_capped_components", "size:i components:i")
 def _(t):
-    d = gr.entity_components(t.tx(), "id", [(["card2", "d1"], 20), (["card1"], 50)], 40)
+    d = gr.entity_components(t.tx(), "id", KEYS, 6)
     return d.groupBy("component").count().groupBy(F.col("count").alias("size")).agg(F.count(F.lit(1)).alias("components"))
 
 
@@ -679,7 +678,7 @@ def _(t):
 
 
 @query("B19_recipe_layer", "id:i p:f", f"""WITH r AS (SELECT *, {rank_sql('s2')} AS k FROM {{part3}}), q AS (SELECT *, CASE WHEN addr1 IS NOT NULL AND count(*) OVER w BETWEEN 2 AND 6
-       THEN 0.7 * k + 0.3 * max(k) OVER w ELSE k END AS pk FROM r WINDOW w AS (PARTITION BY card1, addr1)), a AS (SELECT *, {rank_sql('s1')} AS cur FROM q),
+       THEN 0.7 * k + 0.3 * max(k) OVER w ELSE 0.7 * k + 0.3 * k END AS pk FROM r WINDOW w AS (PARTITION BY card1, addr1)), a AS (SELECT *, {rank_sql('s1')} AS cur FROM q),
        b AS (SELECT *, {rank_sql('cur', 'segment')} AS cs, {rank_sql('pk', 'segment')} AS ss FROM a),
        c AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY (1 - {W_SQL}) * cs + {W_SQL} * ss, id) AS k2, row_number() OVER (PARTITION BY segment ORDER BY cur, id) AS j FROM b)
        SELECT c.id, d.cur AS p FROM c JOIN c d ON c.segment = d.segment AND c.k2 = d.j""")
