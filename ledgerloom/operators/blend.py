@@ -40,10 +40,11 @@ def by_segment(segment: str, values: dict[str, float], default: float = 0.0) ->
 def segmented_blend(df: DataFrame, current: str, stacked: str, segment: str, row_id: str, weights: dict[str, float],
                     out: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Mix the two orders inside each segment, but give every segment exactly the rank values it had."""
-    d = rank_many(df, [(current, "_cur", ()), (current, "_cs", [segment]), (stacked, "_ss", [segment])], max_rows=max_rows)
+    narrow = df.select(row_id, segment, F.col(current).alias("_a"), F.col(stacked).alias("_b"))
+    d = rank_many(narrow, [("_a", "_cur", ()), ("_a", "_cs", [segment]), ("_b", "_ss", [segment])], max_rows=max_rows)
     w = by_segment(segment, weights)
-    d = d.withColumn("_signal", (1 - w) * F.col("_cs") + w * F.col("_ss"))
-    return rank_match(d, "_signal", "_cur", row_id, out, [segment], max_rows).drop("_cur", "_cs", "_ss", "_signal")
+    d = save(d.select(row_id, segment, "_cur", ((1 - w) * F.col("_cs") + w * F.col("_ss")).alias("_signal")))
+    return attach(df, rank_match(d, "_signal", "_cur", row_id, out, [segment], max_rows).select(row_id, out), [row_id])
 
 
 def direct_blend(df: DataFrame, baseline: str, signal: str, segment: str, weights: dict[str, float], out: str) -> DataFrame:

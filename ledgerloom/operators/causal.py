@@ -12,15 +12,15 @@ from .joins import attach
 from .timeline import HALO, MAX_ROWS, Timeline, earlier
 
 
-def _before_cutoff(df: DataFrame, key: list[str], dt: str, row_id: str, windows: dict[str, int],
-                   sums: dict[str, Column], max_rows: int) -> DataFrame:
+def _before_cutoff(tl: Timeline, key: list[str], dt: str, windows: dict[str, int], sums: dict[str, Column],
+                   max_rows: int) -> DataFrame:
     """For every window: totals over the rows older than the window, `_{name}_{window}`.
 
     A sliding frame is re-added for every row. The growing frame "everything up to the cut-off" is not, and the
     window is its difference to the total. In oversized keys cut-offs are rows of their own (`probes`), placed
     before the events of their time, that read the running totals.
     """
-    light, heavy = Timeline(df, key, [dt, row_id], max_rows).light_and_heavy()
+    light, heavy = tl.light_and_heavy()
     w = Window.partitionBy(*key).orderBy(dt)
     out = light.withColumns({f"_{n}_{name}": F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -s - 1)),
                                                         F.lit(0)) for name, s in windows.items() for n, c in sums.items()})
@@ -57,9 +57,9 @@ def velocity(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
     around = F.coalesce(a - F.col("_c"), F.lit(0.0))
     d = earlier(d, key, dt, row_id, {"_n": F.lit(1), "_v": valid, "_s": F.coalesce(a, F.lit(0.0)), "_d": around,
                                      "_q": around * around},
-                {"_last": F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i"), a.alias("a"))}, max_rows)
-    d = _before_cutoff(d, key, dt, row_id, windows, {"n": F.lit(1)}, max_rows)
-    d = _before_cutoff(d, key, dt, row_id, {n: windows[n] for n in amount_windows},
+                {"_last": F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i"), a.alias("a"))}, max_rows, tl.on(d))
+    d = _before_cutoff(tl.on(d), key, dt, windows, {"n": F.lit(1)}, max_rows)
+    d = _before_cutoff(tl.on(d), key, dt, {n: windows[n] for n in amount_windows},
                        {"v": valid, "s": F.coalesce(a, F.lit(0.0))}, max_rows)
     known = F.when(F.col("_v") > 0, F.col("_v"))
     drift = F.col("_d") / known

@@ -16,12 +16,12 @@ def _z(x: str | Column, mean: str, std: str) -> Column:
 
 
 def sequence(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, prefix: str,
-             counters: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
+             counters: list[str] = (), max_rows: int = MAX_ROWS, tl: Timeline | None = None) -> DataFrame:
     """Position, gaps, span, amount statistics and neighbour amounts; with `counters`, their steps to the neighbours.
 
     A counter step that equals the amount between two rows (within 0.011) marks the rows as consecutive.
     """
-    tl = Timeline(df, key, [dt, row_id], max_rows)
+    tl = tl or Timeline(df, key, [dt, row_id], max_rows)
     p = lambda n: f"{prefix}_{n}"
     d = tl.with_neighbours(1, 1, tl.prefix({p("order"): F.lit(1)}))
     w = tl.window
@@ -63,8 +63,8 @@ def profile(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, id
             with_range: list[str] = (), prefix: str = "user", max_rows: int = MAX_ROWS) -> DataFrame:
     """Sequence features plus same-amount share, active days, per-id spread and per-number mean and deviation."""
     p = lambda n: f"{prefix}_{n}"
-    d = sequence(df, key, dt, row_id, amount, prefix, (), max_rows)
-    tl = Timeline(d, key, [dt, row_id], max_rows)
+    tl = Timeline(df, key, [dt, row_id], max_rows)
+    tl = tl.on(sequence(df, key, dt, row_id, amount, prefix, (), max_rows, tl))
     d = tl.df.withColumn("_day", F.floor(F.col(dt) / 86400))
     d = tl.total({p("same_amount_count"): F.count(F.lit(1))}, d, [amount])
     for c in ids:

@@ -23,14 +23,15 @@ def frequency(df: DataFrame, source: DataFrame, columns: list[str], suffix: str
 
 
 def informative(history: DataFrame, source: DataFrame, columns: list[str]) -> list[str]:
-    """Columns whose frequency takes at least two values on the history (one small row per column)."""
-    keep = []
+    """Columns whose frequency takes at least two values on the history; one job for all of them."""
+    tests = None
     for c in columns:
         counts = source.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         used = attach(history.select(c).distinct(), counts, [c])
-        if used.agg(F.count_distinct("_n")).first()[0] > 1:
-            keep.append(c)
-    return keep
+        one = used.agg(F.min("_n").alias("lo"), F.max("_n").alias("hi")).withColumn("c", F.lit(c))
+        tests = one if tests is None else tests.unionByName(one)
+    varied = {r["c"] for r in tests.filter("lo < hi").collect()}       # one row per column
+    return [c for c in columns if c in varied]
 
 
 def frequency_by_mode(history: DataFrame, query: DataFrame, columns: list[str], mode: str) -> DataFrame:

@@ -16,10 +16,11 @@ def _grouped(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
 def _rank_table(d: DataFrame, value: str, out: str, keys: list[str], pct: bool, max_rows: int) -> DataFrame:
     counts = (d.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
-    below = Timeline(counts, keys, ["_v"], max_rows).prefix({"_below": F.col("_n")}).drop(SLICE)
+    tl = Timeline(counts, keys, ["_v"], max_rows)
+    below = tl.prefix({"_below": F.col("_n")})
     rank = F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)
     if pct:
-        below = attach(below, counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+        below = tl.total({"_total": F.sum("_n")}, below)
         rank = rank / F.col("_total")
     return below.select(*keys, F.col("_v").alias(value), rank.alias(out))
 

@@ -10,6 +10,8 @@ cuts.
 """
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.store import save
@@ -54,6 +56,12 @@ class Timeline:
         self.cuts = cut_points(df, self.key, self.order, max_rows)
         self.df = self.slice(df)
 
+    def on(self, df: DataFrame) -> "Timeline":
+        """The same keys, order and cuts for another frame with these rows (no second search for large keys)."""
+        other = copy.copy(self)
+        other.df = self.slice(df)
+        return other
+
     @property
     def parts(self) -> list[str]:
         return self.key + ([SLICE] if self.cuts is not None else [])
@@ -184,14 +192,14 @@ class Timeline:
 
 
 def earlier(df: DataFrame, key: list[str], time: str, row_id: str, sums: dict[str, Column],
-            maxes: dict[str, Column] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+            maxes: dict[str, Column] | None = None, max_rows: int = MAX_ROWS, tl: Timeline | None = None) -> DataFrame:
     """Sum (0 if none) and max over the rows of the key with a strictly smaller `time`.
 
     Rows of equal time do not see each other. Ordinary keys use a growing RANGE frame; oversized ones are first
     aggregated per time, so that a time shared by many rows is one row, and then read off the running totals.
     """
     maxes = maxes or {}
-    light, heavy = Timeline(df, key, [time, row_id], max_rows).light_and_heavy()
+    light, heavy = (tl or Timeline(df, key, [time, row_id], max_rows)).light_and_heavy()
     before = Window.partitionBy(*key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     out = light.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
                             | {n: F.max(c).over(before) for n, c in maxes.items()})
