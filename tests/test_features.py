@@ -93,3 +93,19 @@ def test_blend_matrix_equals_scoring_each_blend(rows):
         assert by_choice[choice]["auc"] == pytest.approx(rk.auc(p, "label", "p").first()["auc"], abs=1e-12)
     best, _ = se.coordinate_search(se.rank_options(d, "s1", "s2", "segment", "id", ws), "label", "segment", ws, base, ((0.0, 0.0, 0.0),), ("a", "b", "c"))
     assert best["gain"] <= max(r["gain"] for r in grid if r["min_half_gain"] >= 0) + 1e-12
+
+
+def test_searches_return_what_they_scored(rows):
+    from ledgerloom.operators import ranks as rk
+    d = rows.select("id", "dt", F.col("y").alias("label"), F.coalesce("v", F.lit("c")).alias("segment"), (F.col("c") / 9).alias("s1"),
+                    (F.col("id") * 37 % 101 / 101).alias("s2"), (F.col("id") % 2).alias("fold"))
+    best, w = se.coarse_to_fine(d, "label", ["s1", "s2"], "fold")
+    mixed = d.withColumn("x", F.round(w["s1"] * F.col("s1") + w["s2"] * F.col("s2"), 12))
+    assert rk.auc(mixed, "label", "x", ["fold"]).agg(F.avg("auc")).first()[0] == pytest.approx(best, abs=1e-10)
+    alone = rk.auc(d, "label", "s1", ["fold"]).agg(F.avg("auc")).first()[0]
+    assert best >= alone - 1e-12
+    d = se.halves(d, "dt")
+    best, _ = se.two_stage_recipe(d, "label", ["s1", "s2"], "s1", "segment", 5, 3, ("a", "b", "c"))
+    p = bl.segment_mix(d, "segment", best["weights"], "p").withColumn("p", F.round("p", 12))
+    assert rk.auc(p, "label", "p").first()["auc"] == pytest.approx(best["auc"], abs=1e-12)
+    assert best["min_half_gain"] >= 0
