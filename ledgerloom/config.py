@@ -69,3 +69,22 @@ RAW_PATTERNS = (r"card[1-6]", r"C([1-9]|1[0-4])", r"D([1-9]|1[0-5])(_minus_day)?
                 r"id_(0[1-9]|[12]\d|3[0-8])", r"uid_(d1|card_addr_d1)_email_seq_.*",
                 r"(card|addr|P_email|R_email|Device|uid_).*_freq")
 UNSTABLE_V = (322, 339)
+
+# fixed values: V columns with statistics inside an entity, in order of importance
+TOP_V = ("V242", "V243", "V258", "V265", "V199", "V201", "V257", "V274", "V86", "V156", "V44", "V87", "V62", "V217", "V91",
+         "V67", "V275", "V189", "V212", "V70", "V61", "V69", "V45", "V149", "V256", "V90", "V266", "V94", "V308", "V200")
+PROFILE_NUMBERS = ("dist1", "dist2", "D1", "D3", "C1", "C2", "C13", "C14", "V279", "V280", "V306", "V307", "V308")
+PROFILE_RANGES = ("V279", "V280", "V306", "V307", "V308")
+PROFILE_IDS = ("card1", "card2", "card5", "addr1", "P_emaildomain", "R_emaildomain", "DeviceInfo", "ProductCD")
+MEMORY_COLUMNS = ("addr1", "P_emaildomain", "R_emaildomain", "DeviceInfo", "ProductCD", "card2", "card5")
+BEHAVIOR_COLUMNS = ("ProductCD", "card2", "card5", "addr1", "P_emaildomain", "R_emaildomain", "DeviceInfo", "id_30", "id_31", "id_33")
+PAIRS = (("card1", "addr1"), ("card1", "P_emaildomain"), ("card1", "DeviceInfo"), ("P_emaildomain", "DeviceInfo"),
+         ("id_30", "id_31"), ("card4", "card6"))
+AMOUNT_KEYS = {"card1": ("card1",), "card1_addr1": ("card1", "addr1"), "card1_product": ("card1", "ProductCD"),
+               "card1_card5": ("card1", "card5"), "card1_register": ("card1", "D1_origin_day"), "product_card4": ("ProductCD", "card4")}
+COARSE_KEYS = {"uid_card_addr": ("card1", "addr1"), "uid_card_email": ("card1", "addr1", "P_emaildomain"),
+               "uid_card_full": ("card1", "card2", "card3", "card5"), "uid_card_device": ("card1", "addr1", "DeviceInfo"),
+               "uid_email_pair": ("P_emaildomain", "R_emaildomain")}
+ORIGIN_KEYS = ("uid_d1_email", "uid_card_addr_d1", "uid_card_addr_d1_email")
+FREQUENCY_COLUMNS = ("card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "P_emaildomain", "R_emaildomain",
+                     "DeviceInfo", "DeviceInfo_family", *COARSE_KEYS, *ORIGIN_KEYS)

@@ -20,6 +20,14 @@ def not_negative(c: str | Column) -> Column:
     return F.when(col(c) < 0, F.lit(0.0)).otherwise(col(c))
 
 
+def add(parts: list[Column]) -> Column:
+    """Sum as a balanced tree: a chain of hundreds of additions is too deep for the analyzer."""
+    if len(parts) <= 2:
+        return parts[0] + parts[1] if len(parts) == 2 else parts[0]
+    half = len(parts) // 2
+    return add(parts[:half]) + add(parts[half:])
+
+
 # time -------------------------------------------------------------------------------------------------------
 def clock(df: DataFrame, dt: str) -> DataFrame:
     return df.withColumns({"day": day_of(dt), "week": F.floor(F.col(dt) / F.lit(7.0 * DAY)),
@@ -139,12 +147,15 @@ def block_summary(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
 
 
 def missing_count(df: DataFrame, columns: list[str] | None = None, out: str = "row_missing") -> DataFrame:
-    return df.withColumn(out, sum((F.col(c).isNull().cast("int") for c in columns or df.columns), F.lit(0)))
+    gone = [F.col(c).isNull() for c in columns or df.columns]
+    if len(gone) <= 50:
+        return df.withColumn(out, add([g.cast("int") for g in gone]))
+    return df.withColumn(out, F.size(F.filter(F.array(*gone), lambda x: x)))
 
 
 def presence_mask(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     bits = [F.shiftleft(F.col(c).isNotNull().cast("long"), i) for i, c in enumerate(columns)]
-    return df.withColumn(out, sum(bits, F.lit(0)))
+    return df.withColumn(out, add(bits))
 
 
 def flag_summary(df: DataFrame, columns: list[str], prefix: str = "flags") -> DataFrame:

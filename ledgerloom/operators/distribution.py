@@ -10,10 +10,8 @@ from ..functions.tokens import token
 from .joins import attach
 
 
-def value_distribution(df: DataFrame, key: list[str], column: str, prefix: str) -> DataFrame:
-    """Distinct values, share and surprise of the current one, mode share, is-mode, entropy, normalised entropy."""
-    d = df.withColumn("_v", token(column))
-    pairs = d.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+def _distribution_table(df: DataFrame, key: list[str], column: str, prefix: str) -> DataFrame:
+    pairs = df.withColumn("_v", token(column)).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
     n = F.sum("_c").cast("double")
     per_key = pairs.groupBy(*key).agg(
         F.sum("_c").alias("_n"), F.count(F.lit(1)).alias(f"{prefix}_nunique"), F.max("_c").alias("_mode"),
@@ -22,24 +20,45 @@ def value_distribution(df: DataFrame, key: list[str], column: str, prefix: str)
     share = F.col("_c") / F.col("_n")
     # entropy of one value is 0 by definition; the difference of logs may leave a last-digit residue
     h = F.when(F.col(f"{prefix}_nunique") == 1, 0.0).otherwise(F.col("_h"))
-    t = t.select(*key, "_v", f"{prefix}_nunique", share.alias(f"{prefix}_share"),
+    return t.select(*key, "_v", f"{prefix}_nunique", share.alias(f"{prefix}_share"),
                  (-F.log(F.greatest(share, F.lit(1e-8)))).alias(f"{prefix}_surprise"),
                  (F.col("_mode") / F.col("_n")).alias(f"{prefix}_mode_share"),
                  (F.col("_c") == F.col("_mode")).cast("int").alias(f"{prefix}_is_mode"), h.alias(f"{prefix}_entropy"),
                  (h / F.log(F.greatest(F.col(f"{prefix}_nunique"), F.lit(2)).cast("double")))
                  .alias(f"{prefix}_normalized_entropy"))
-    return attach(d, t, [*key, "_v"]).drop("_v")
 
 
-def cooccurrence(df: DataFrame, first: str, second: str, prefix: str) -> DataFrame:
-    """Log pair count, both conditional shares, both fan-outs."""
-    d = df.withColumns({"_a": token(first), "_b": token(second)})
-    pairs = d.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    for side in ("_a", "_b"):
-        pairs = attach(pairs, pairs.groupBy(side).agg(F.sum("_c").alias(f"{side}_n"),
-                                                      F.count(F.lit(1)).alias(f"{side}_u")), [side])
-    t = pairs.select("_a", "_b", F.log1p("_c").alias(f"{prefix}_log_pairs"),
+def value_distributions(df: DataFrame, wanted: list[tuple[list[str], str, str]]) -> DataFrame:
+    """Distinct values, share and surprise of the current one, mode share, is-mode, entropy, normalised entropy.
+
+    For every (key, column, prefix); all tables are counted from `df` itself.
+    """
+    out = df
+    for key, column, prefix in wanted:
+        table = _distribution_table(df, key, column, prefix)
+        out = attach(out.withColumn("_v", token(column)), table, [*key, "_v"]).drop("_v")
+    return out
+
+
+def value_distribution(df: DataFrame, key: list[str], column: str, prefix: str) -> DataFrame:
+    return value_distributions(df, [(key, column, prefix)])
+
+
+def cooccurrences(df: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
+    """Log pair count, both conditional shares, both fan-outs for every (first, second, prefix)."""
+    out = df
+    for first, second, prefix in wanted:
+        pairs = df.groupBy(token(first).alias("_a"), token(second).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        t = pairs
+        for side in ("_a", "_b"):
+            t = attach(t, pairs.groupBy(side).agg(F.sum("_c").alias(f"{side}_n"), F.count(F.lit(1)).alias(f"{side}_u")), [side])
+        t = t.select("_a", "_b", F.log1p("_c").alias(f"{prefix}_log_pairs"),
                      (F.col("_c") / F.col("_a_n")).alias(f"{prefix}_given_first"),
                      (F.col("_c") / F.col("_b_n")).alias(f"{prefix}_given_second"),
                      F.col("_a_u").alias(f"{prefix}_first_nunique"), F.col("_b_u").alias(f"{prefix}_second_nunique"))
-    return attach(d, t, ["_a", "_b"]).drop("_a", "_b")
+        out = attach(out.withColumns({"_a": token(first), "_b": token(second)}), t, ["_a", "_b"]).drop("_a", "_b")
+    return out
+
+
+def cooccurrence(df: DataFrame, first: str, second: str, prefix: str) -> DataFrame:
+    return cooccurrences(df, [(first, second, prefix)])
