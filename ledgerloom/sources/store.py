@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return _local[0]
 
 
 def save(df: DataFrame) -> DataFrame:
