@@ -99,7 +99,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None,
+                separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word and, for each text, the number of its first word (one entry more than texts).
 
     `lower` takes A-Z as a-z. `cuts` are further byte positions at which a word starts anew (line starts).
@@ -108,7 +109,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False, cuts: np.
     bounds = off if cuts is None else cuts
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    space = IS_SPACE[raw]
+    space = separators[raw]
     first = ~space
     first[1:] &= space[:-1]
     at = bounds[:-1][bounds[:-1] < n]
