@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import digests
 from .common import table
 from .token_counts import token_counts
-from . import byte_cnn, decontaminate, line_dedup, near_dup, quality_rules, secrets
+from . import byte_cnn, decontaminate, language_id, line_dedup, near_dup, quality_rules, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placement(table(spark, sf_dir, "documents"), count=64)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(language_id.of_documents(table(spark, sf_dir, "documents")))
