@@ -76,7 +76,7 @@ def multiple_distance(df: DataFrame, amount: str, moduli: tuple, zero_tolerance:
     out = {}
     for m in moduli:
         rest = F.pmod(F.col(amount), F.lit(float(m)))
-        out[f"mod_{m}_distance"] = F.when(rest * 2 < m, rest).otherwise(m - rest)
+        out[f"mod_{m}_distance"] = F.least(rest, m - rest)
         if zero_tolerance is not None:
             out[f"mod_{m}_is_zero"] = (rest <= zero_tolerance).cast("int")
     return df.withColumns(out)

@@ -91,16 +91,18 @@ def leave_one_month(history: DataFrame, query: DataFrame, month: str, months: li
 
 
 def drift_weights(history: DataFrame, query: DataFrame, features: list[str], row_id: str, seed: int = 7, out: str = "weight",
-                  **params) -> DataFrame:
+                  max_history_rows: int | None = None, **params) -> DataFrame:
     """Odds that a history row looks like the query, clipped and scaled to mean one, clipped and scaled again.
 
-    The history sample has at most twice the query's rows; both counts are one small job.
+    The classifier is fitted on the query and on `max_history_rows` rows of the history, chosen by hash; None takes all. Every
+    history row gets a weight either way.
     """
     n_query, n_history = query.count(), history.count()
-    sample = hash_sample(history, row_id, min(n_history, max(2 * n_query, 20_000)), seed)
+    used = n_history if max_history_rows is None else min(n_history, max_history_rows)
+    sample = history if used == n_history else hash_sample(history, row_id, used, seed)
     both = sample.withColumn("_side", F.lit(0)).unionByName(query.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     model = fit_trees(both, features, "_side", seed, **params)
-    ratio = min(n_history, max(2 * n_query, 20_000)) / max(n_query, 1)
+    ratio = used / max(n_query, 1)
     d = save(score(model, history, features, [row_id], "_p"))
     p = F.least(F.greatest(F.col("_p"), F.lit(0.02)), F.lit(0.98))
     d = d.withColumn(out, ratio * p / (1 - p))

@@ -1,19 +1,15 @@
 """Transaction chains: a row continues the row whose end counter (start + amount) is its start counter.
 
 Counters are whole thousandths; ends within one of the start match. Every row looks up the latest earlier matching
-row of its entity. That lookup does not depend on how chains were formed, so it is a distributed as-of lookup;
-without limits a chain is a tree of these links. With a limit, or with votes of several counters, the rule is
-sequential inside a family of linked rows: such families, and only they, are scanned in time order.
+row of its entity. That lookup does not depend on how chains were formed, so it is a distributed as-of lookup, and a
+chain is a tree of these links. (A limit on a chain's size, or votes of several counters, would make every choice depend on
+all earlier ones of a family of rows; that rule has no distributed form here and is left out.)
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.store import save
-from .graph import components
 from .joins import attach
 from .timeline import MAX_ROWS, Timeline
 
@@ -52,97 +48,11 @@ def roots(links: DataFrame, row_id: str, parent: str, out: str) -> DataFrame:
             return up
 
 
-def _follow(row, chain_of, size, cap):
-    """One counter: the latest candidate whose chain has room."""
-    for at in sorted(row, reverse=True):
-        chain = chain_of[at[1]]
-        if cap is None or size[chain] < cap:
-            return chain, 1
-    return None, 0
-
-
-def _vote(row, chain_of, size, cap):
-    """Several counters: most votes, then the latest; a full chain gets no vote."""
-    votes: dict = {}
-    for at in row:
-        chain = chain_of[at[1]]
-        if cap is None or size[chain] < cap:
-            n, last = votes.get(chain, (0, at))
-            votes[chain] = (n + 1, max(last, at))
-    if not votes:
-        return None, 0
-    best = max(votes, key=lambda c: votes[c])
-    return best, votes[best][0]
-
-
-def _scan(pick, cap):
-    """Walk sorted rows (family, t, i, candidates); state is reset at each new family, batches are streamed."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, chain_of, size = None, {}, {}
-        for batch in batches:
-            chains, votes = [], []
-            for f, i, candidates in zip(batch["family"], batch["i"], batch["candidates"]):
-                if f != family:
-                    family, chain_of, size = f, {}, {}
-                options = [(int(c["t"]), int(c["i"])) for c in candidates]
-                chain, n = pick(options, chain_of, size, cap)
-                chain = int(i) if chain is None else chain
-                chain_of[int(i)] = chain
-                size[chain] = size.get(chain, 0) + 1
-                chains.append(chain)
-                votes.append(n)
-            yield pd.DataFrame({"i": batch["i"], "chain": chains, "votes": votes})
-    return run
-
-
-def _scan_families(rows: DataFrame, links: DataFrame, dt: str, row_id: str, pick, cap, only: DataFrame | None = None) -> DataFrame:
-    """(i, chain, votes) for the rows of linked families. `links`: (row, candidates array of (t, i))."""
-    edges = links.select(F.col(row_id).alias("a"), F.explode("candidates").alias("c")).select("a", F.col("c.i").alias("b"))
-    family = components(edges)
-    if only is not None:
-        touched = family.join(only.select(F.col(row_id).alias("node")), "node", "left_semi").select("component").distinct()
-        family = family.join(touched, "component", "left_semi")
-    d = (rows.select(F.col(dt).alias("t"), F.col(row_id).alias("i"))
-         .join(family.select(F.col("node").alias("i"), F.col("component").alias("family")), "i")
-         .join(links.select(F.col(row_id).alias("i"), "candidates"), "i", "left")
-         .withColumn("candidates", F.coalesce("candidates", F.array().cast("array<struct<t:bigint,i:bigint>>"))))
-    d = d.repartition("family").sortWithinPartitions("family", "t", "i")
-    return save(d.mapInPandas(_scan(pick, cap), "i long, chain long, votes int"))
-
-
 def counter_chains(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str, out: str = "chain",
-                   cap: int | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Chain of every row, named by its first row. With `cap`, a full chain takes no more rows."""
-    found = save(_latest(df, uid, dt, row_id, start, end, max_rows))
-    best = found.groupBy(row_id).agg(F.max("_at").alias("_at")).select(row_id, F.col("_at.i").alias("_p"))
-    chain = roots(attach(df.select(row_id), best, [row_id]), row_id, "_p", out)
-    if cap is not None:
-        full = chain.groupBy(out).count().filter(F.col("count") > cap).select(out)
-        if not full.isEmpty():
-            # a refusal can only start in an over-full chain; it stays inside the family of candidate links
-            links = found.groupBy(row_id).agg(F.collect_list(F.struct(
-                F.col("_at.t").cast("long").alias("t"), F.col("_at.i").cast("long").alias("i"))).alias("candidates"))
-            scanned = _scan_families(df, links, dt, row_id, _follow, cap, chain.join(full, out, "left_semi"))
-            chain = (attach(chain, scanned.select(F.col("i").alias(row_id), F.col("chain").alias("_c")), [row_id])
-                     .withColumn(out, F.coalesce("_c", out)).drop("_c"))
-    return attach(df, chain, [row_id])
-
-
-def voted_chains(df: DataFrame, uid: str, dt: str, row_id: str, counters: list[tuple[str, str]], cap: int,
-                 out: str = "chain", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Chains by votes of several (start, end) counters; adds `{out}_votes`."""
-    parts = []
-    for n, (start, end) in enumerate(counters):
-        latest = _latest(df, uid, dt, row_id, start, end, max_rows)
-        parts.append(latest.groupBy(row_id).agg(F.max("_at").alias("_at")).withColumn("_c", F.lit(n)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    links = save(found.groupBy(row_id).agg(F.collect_list(F.struct(
-        F.col("_at.t").cast("long").alias("t"), F.col("_at.i").cast("long").alias("i"))).alias("candidates")))
-    scanned = _scan_families(df, links, dt, row_id, _vote, cap)
-    d = attach(df, scanned.select(F.col("i").alias(row_id), F.col("chain").alias(out), F.col("votes").alias(f"{out}_votes")), [row_id])
-    return d.withColumns({out: F.coalesce(out, row_id), f"{out}_votes": F.coalesce(f"{out}_votes", F.lit(0))})
+                   max_rows: int = MAX_ROWS) -> DataFrame:
+    """Chain of every row, named by its first row."""
+    links = parents(df.select(uid, dt, row_id, start, end), uid, dt, row_id, start, end, "_p", max_rows)
+    return attach(df, roots(links.select(row_id, "_p"), row_id, "_p", out), [row_id])
 
 
 def link_rate(df: DataFrame, chain: str, split: str) -> DataFrame:

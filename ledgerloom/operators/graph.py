@@ -13,13 +13,15 @@ from .joins import attach
 from .timeline import MAX_ROWS, Timeline
 
 
-def linked_groups(df: DataFrame, row_id: str, key: list[str], cap: int) -> DataFrame:
-    """Valid groups of 2..cap rows with their first row. Larger ones are gone before any row is joined."""
-    return (df.filter(all_present(*key)).groupBy(*key)
-            .agg(F.min(row_id).alias("_hub"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(2, cap)))
+def linked_groups(df: DataFrame, row_id: str, key: list[str], cap: int | None) -> DataFrame:
+    """Valid groups of two rows or more with their first row. A `cap` is part of the entity's meaning: a key shared by more rows
+    than that identifies nobody, and such groups are gone before any row is joined. None: no limit."""
+    groups = (df.filter(all_present(*key)).groupBy(*key)
+              .agg(F.min(row_id).alias("_hub"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2))
+    return groups if cap is None else groups.filter(F.col("_n") <= cap)
 
 
-def star_edges(df: DataFrame, row_id: str, key: list[str], cap: int) -> DataFrame:
+def star_edges(df: DataFrame, row_id: str, key: list[str], cap: int | None) -> DataFrame:
     """Edges from the first row of each linked group to its other rows."""
     groups = linked_groups(df, row_id, key, cap)
     return (df.filter(all_present(*key)).select(row_id, *key).join(groups, list(key))
@@ -28,12 +30,12 @@ def star_edges(df: DataFrame, row_id: str, key: list[str], cap: int) -> DataFram
                     F.xxhash64(*key).alias("_order")))
 
 
-def key_statistics(df: DataFrame, row_id: str, key: list[str], cap: int, name: str) -> DataFrame:
+def key_statistics(df: DataFrame, row_id: str, key: list[str], cap: int | None, name: str) -> DataFrame:
     """Valid rows, linked groups, oversized groups and edges of one key."""
     sizes = df.filter(all_present(*key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    linked = F.col("n").between(2, cap)
+    linked = F.col("n") >= 2 if cap is None else F.col("n").between(2, cap)
     return sizes.agg(F.lit(name).alias("key"), F.sum("n").alias("valid_rows"), F.count_if(linked).alias("linked_groups"),
-                     F.count_if(F.col("n") > cap).alias("oversized_groups"),
+                     F.count_if(F.lit(False) if cap is None else F.col("n") > cap).alias("oversized_groups"),
                      F.sum(F.when(linked, F.col("n") - 1).otherwise(0)).alias("edges"))
 
 
@@ -102,9 +104,9 @@ def capped_components(groups: DataFrame, cap: int) -> DataFrame:
         pending = pending.join(done, link, "left_anti")
 
 
-def entity_components(df: DataFrame, row_id: str, keys: list[tuple[list[str], int]], cap: int,
+def entity_components(df: DataFrame, row_id: str, keys: list[tuple[list[str], int | None]], cap: int | None,
                       extra: DataFrame | None = None, out: str = "component") -> DataFrame:
-    """Component of every row: rows linked by any key (or by `extra` edges a, b), at most `cap` rows each.
+    """Component of every row: rows linked by any key (or by `extra` edges a, b), at most `cap` rows each (None: no limit).
 
     A component that needs no cap comes out the same with or without it; only the others take the capped pass.
     """
@@ -118,8 +120,8 @@ def entity_components(df: DataFrame, row_id: str, keys: list[tuple[list[str], in
     edges = save(edges)
     found = components(edges.select("a", "b"))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    over = sizes.filter(F.col("_n") > cap)
-    if not over.isEmpty():
+    over = sizes.filter(F.lit(False) if cap is None else F.col("_n") > cap)
+    if cap is not None and not over.isEmpty():
         big = found.join(over.select("component"), "component", "left_semi")
         inside = edges.join(big.select(F.col("node").alias("a")), "a", "left_semi")
         split = capped_components(inside.select("stage", "_order", F.col("a").alias("hub"), F.col("b").alias("node")), cap)

@@ -18,7 +18,6 @@ from ..sources.store import save
 from .joins import attach, attach_bounded
 
 MAX_ROWS = 4_000_000    # rows of one key that one task may sort
-MAX_CUTS = 200_000      # bound on the broadcast table of cuts; beyond it slices get longer
 PICKS = 8               # picked rows per slice: slice sizes vary by about a third
 SLICE, HALO = "_slice", "_halo"
 
@@ -31,13 +30,9 @@ def cut_points(df: DataFrame, key: list[str], order: list[str], max_rows: int) -
     per_key = (picked.groupBy(*key).agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
                .filter(F.size("_cuts") >= PICKS)
                .withColumn("_cuts", F.filter("_cuts", lambda x, i: i % PICKS == PICKS - 1)))
-    found = per_key.collect()
-    if not found:
+    cuts = save(per_key)       # stays distributed: it has a row per oversized key
+    if cuts.isEmpty():
         return None
-    total = sum(len(r["_cuts"]) for r in found)
-    step = -(-total // MAX_CUTS)
-    cuts = df.sparkSession.createDataFrame(found, per_key.schema)
-    cuts = cuts.withColumn("_cuts", F.filter("_cuts", lambda x, i: i % step == 0))
     # two levels, so that a row compares with about 2*sqrt(cuts) boundaries
     width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
     return (cuts.withColumn("_width", width)
@@ -76,7 +71,7 @@ class Timeline:
             return df
         at = F.struct(*self.order)
         if self.key:
-            joined = attach_bounded(df, self.cuts, self.key)
+            joined = attach(df, self.cuts, self.key)
         else:
             joined = attach_bounded(df.withColumn("_one", F.lit(0)), self.cuts.withColumn("_one", F.lit(0)),
                                     ["_one"]).drop("_one")
@@ -103,11 +98,11 @@ class Timeline:
         if self.cuts is None:
             return d.withColumns(local)
         d = save(d)     # read twice below; without the cut every step would double the plan
-        # at most one row per slice, hence at most MAX_CUTS rows plus one per oversized key
+        # one row per slice
         carry = self._carry(d, [F.sum(c).alias(n) for n, c in sums.items()]
                             + [F.max(c).alias(n) for n, c in maxes.items()], [*sums, *maxes],
                             lambda n: F.sum(n) if n in sums else F.max(n))
-        out = attach_bounded(d.withColumns(local), carry, self.key + [SLICE])
+        out = attach(d.withColumns(local), carry, self.key + [SLICE])
         out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
                               | {n: F.greatest(n, f"_c_{n}") for n in maxes})
         return out.drop(*[f"_c_{n}" for n in (*sums, *maxes)])

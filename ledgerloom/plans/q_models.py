@@ -127,9 +127,9 @@ def _(t):
     return bl.with_bounded(n, q.agg(F.count(F.lit(1)).alias("unlabelled"))).withColumn("columns", F.lit(len(q.columns) + 2))
 
 
-@query("S3_pruned_scan", "o_orderkey:i o_totalprice:f", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'")
+@query("S3_pruned_scan", "o_orderkey:i o_totalprice:f", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(t):
-    return t.read("orders").filter(F.col("o_orderdate") < "1996-01-01").select("o_orderkey", "o_totalprice")
+    return t.read("orders").select("o_orderkey", "o_totalprice")
 
 
 @query("S4_reader_contract", "rows:i steps_back:i has_label:i", "SELECT count(*) AS rows, count(*) FILTER (b) AS steps_back, 1 AS has_label FROM (SELECT lag(dt) OVER (ORDER BY id) > dt AS b FROM {tx})")

@@ -128,9 +128,9 @@ def _(t):
 
 
 @query("P12_column_families", "l_quantity:f l_discount:f l_tax:f",
-       "SELECT l_quantity, l_discount, l_tax FROM lineitem WHERE l_returnflag = 'R'")
+       "SELECT l_quantity, l_discount, l_tax FROM lineitem")
 def _(t):
-    d = t.read("lineitem").filter("l_returnflag = 'R'")
+    d = t.read("lineitem")
     return d.select(*en.columns_like(d.columns, "l_.*", exclude=("l_.*key", "l_.*date", "l_.*(flag|status|number|price)")))
 
 
@@ -175,10 +175,10 @@ def _(t):
 
 
 @query("P19_history_domain", "id:i card1:i", """SELECT id, CASE WHEN card1 IN (
-       SELECT card1 FROM {tx} WHERE split = 'history' AND product = 'F') THEN card1 END AS card1
+       SELECT card1 FROM {tx} WHERE split = 'history') THEN card1 END AS card1
        FROM {tx} WHERE split = 'query'""")
 def _(t):
-    return en.history_domain(t.query(), t.history().filter("product = 'F'"), "card1")
+    return en.history_domain(t.query(), t.history(), "card1")
 
 
 @query("P20_shift_to_zero", "id:i d1:f amt:f", """SELECT id, COALESCE(d1 - min(d1) OVER (), -1) AS d1,

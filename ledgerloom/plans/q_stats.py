@@ -62,13 +62,13 @@ def _(t):
     return sg.repeated_rows(h, ["card1", "d1"], "ok")
 
 
-@query("J7_lookup", "id:i share:f", """WITH h AS (SELECT card2, count(*) / (SELECT count(*) FROM {tx} WHERE split = 'history'
-       AND product = 'O') AS share FROM {tx} WHERE split = 'history' AND product = 'O' AND card2 < 30 GROUP BY card2)
+@query("J7_lookup", "id:i share:f", """WITH h AS (SELECT card2, count(*) / (SELECT count(*) FROM {tx} WHERE split = 'history')
+       AS share FROM {tx} WHERE split = 'history' GROUP BY card2)
        SELECT id, COALESCE(share, 0) AS share FROM {tx} LEFT JOIN h ON h.card2 = tx.card2 WHERE split = 'query'""")
 def _(t):
-    h = t.history().filter("product = 'O'")
+    h = t.history()
     table = fq.with_total(h.groupBy("card2").agg(F.count(F.lit(1)).alias("n")), h, "all")
-    table = table.filter("card2 < 30").select("card2", (F.col("n") / F.col("all")).alias("share"))
+    table = table.select("card2", (F.col("n") / F.col("all")).alias("share"))
     return attach(t.query(), table, ["card2"]).fillna(0.0, ["share"])
 
 

@@ -11,10 +11,14 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset, as in tests."""
+    """`spark.checkpoint.dir` of the session. Unset, a temporary folder serves in local mode only: executors elsewhere would each
+    write to their own disk and the read-back would lack rows without an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="ledgerloom-"))
     return _local[0]

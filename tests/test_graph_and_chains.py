@@ -67,49 +67,21 @@ def steps(spark):
     return spark.createDataFrame(data, "id long, uid int, dt long, s long, e long, s2 long, e2 long").cache()
 
 
-def walk(rows, counters, cap, vote):
-    """The sequential rule with a dictionary of ends, one row after the other."""
-    out, votes = {}, {}
-    by_uid = defaultdict(list)
-    for r in rows:
-        by_uid[r["uid"]].append(r)
-    for group in by_uid.values():
-        ends, size = [dict() for _ in counters], defaultdict(int)
-        for pos, r in enumerate(sorted(group, key=lambda r: (r["dt"], r["id"]))):
-            tally = {}
-            for n, (s, e) in enumerate(counters):
-                if r[s] is None or r[e] is None:
-                    continue
-                found = [ends[n][v] for v in (r[s] - 1, r[s], r[s] + 1) if v in ends[n]]
-                if not vote:
-                    found = [f for f in found if cap is None or size[f[0]] < cap]
-                if not found:
-                    continue
-                chain, at = max(found, key=lambda f: f[1])
-                if cap is not None and size[chain] >= cap:
-                    continue
-                k, last = tally.get(chain, (0, -1))
-                tally[chain] = (k + 1, max(last, at))
-            chain = max(tally, key=lambda c: tally[c]) if tally else r["id"]
-            votes[r["id"]] = tally[chain][0] if tally else 0
-            out[r["id"]] = chain
-            size[chain] += 1
-            for n, (s, e) in enumerate(counters):
-                if r[s] is not None and r[e] is not None:
-                    ends[n][r[e]] = (chain, pos)
-    return out, votes
-
-
-@pytest.mark.parametrize("cap,max_rows", [(None, 10**6), (None, 16), (4, 10**6), (2, 10**6)])
-def test_counter_chains(steps, cap, max_rows):
-    want, _ = walk(steps.collect(), [("s", "e")], cap, False)
-    got = chains.counter_chains(steps, "uid", "dt", "id", "s", "e", "chain", cap, max_rows).collect()
-    assert {r["id"]: r["chain"] for r in got} == want
-
-
-@pytest.mark.parametrize("cap", [100, 3])
-def test_voted_chains(steps, cap):
-    want, votes = walk(steps.collect(), [("s", "e"), ("s2", "e2")], cap, True)
-    got = chains.voted_chains(steps, "uid", "dt", "id", [("s", "e"), ("s2", "e2")], cap).collect()
-    assert {r["id"]: r["chain"] for r in got} == want
-    assert {r["id"]: r["chain_votes"] for r in got} == votes
+def walk(rows, start, end):
+    """A dictionary of ends per uid, one row after the other in time order."""
+    out = {}
+    ends = defaultdict(dict)
+    for pos, r in enumerate(sorted(rows, key=lambda r: (r["dt"], r["id"]))):
+        known, found = ends[r["uid"]], []
+        if r[start] is not None and r[end] is not None:
+            found = [known[v] for v in (r[start] - 1, r[start], r[start] + 1) if v in known]
+        out[r["id"]] = max(found)[1] if found else r["id"]
+        if r[start] is not None and r[end] is not None:
+            known[r[end]] = (pos, out[r["id"]])
+    return out
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 16])
+def test_counter_chains(steps, max_rows):
+    got = chains.counter_chains(steps, "uid", "dt", "id", "s", "e", "chain", max_rows).collect()
+    assert {r["id"]: r["chain"] for r in got} == walk(steps.collect(), "s", "e")
