@@ -9,11 +9,10 @@ from ..sources.store import save
 from .entity import pool_table, pooled, pull
 from .joins import attach, attach_bounded
 from .ranks import average_rank, rank_many, rank_match
-from .timeline import MAX_ROWS
 
 
 def residual_layers(df: DataFrame, base: str, layers: Sequence[tuple[str, float, Column]], out: str,
-                    max_rows: int = MAX_ROWS) -> DataFrame:
+                    max_rows: int | None = None) -> DataFrame:
     """Rank the base; mix each layer's rank into its mask; rank again between layers, not after the last."""
     d = rank_many(df, [(base, out, ())] + [(c, f"_l{n}", ()) for n, (c, _, _) in enumerate(layers)], max_rows=max_rows)
     for n, (_, weight, mask) in enumerate(layers):
@@ -23,7 +22,7 @@ def residual_layers(df: DataFrame, base: str, layers: Sequence[tuple[str, float,
     return d.drop(*[f"_l{n}" for n in range(len(layers))])
 
 
-def rank_blend(df: DataFrame, weights: dict[str, float], out: str, by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
+def rank_blend(df: DataFrame, weights: dict[str, float], out: str, by: list[str] = (), max_rows: int | None = None) -> DataFrame:
     """Weighted sum of the ranks of the sources, ranked within `by`."""
     d = rank_many(df, [(c, f"_r{i}", by) for i, c in enumerate(weights)], max_rows=max_rows)
     mix = sum((w * F.col(f"_r{i}") for i, w in enumerate(weights.values())), F.lit(0.0))
@@ -38,7 +37,7 @@ def by_segment(segment: str, values: dict[str, float], default: float = 0.0) ->
 
 
 def segmented_blend(df: DataFrame, current: str, stacked: str, segment: str, row_id: str, weights: dict[str, float],
-                    out: str, max_rows: int = MAX_ROWS) -> DataFrame:
+                    out: str, max_rows: int | None = None) -> DataFrame:
     """Mix the two orders inside each segment, but give every segment exactly the rank values it had."""
     narrow = df.select(row_id, segment, F.col(current).alias("_a"), F.col(stacked).alias("_b"))
     d = rank_many(narrow, [("_a", "_cur", ()), ("_a", "_cs", [segment]), ("_b", "_ss", [segment])], max_rows=max_rows)
@@ -82,7 +81,7 @@ def horizon_mix(df: DataFrame, segment: str, horizon: str, weights: dict[float,
 
 
 def variants(df: DataFrame, score: str, key: list[str], method: str, weight: float, size: tuple, valid: Column,
-             max_rows: int = MAX_ROWS) -> DataFrame:
+             max_rows: int | None = None) -> DataFrame:
     """probability, rank, and both pooled in the entity and pulled to it."""
     d = save(average_rank(df.withColumn("probability", F.col(score)), score, "rank", max_rows=max_rows))
     for c in ("probability", "rank"):
@@ -99,7 +98,7 @@ def two_source_signals(df: DataFrame, left: str, right: str, prefix: str, steps:
                                  f"{prefix}_geo": F.sqrt(positive(a) * positive(b))})
 
 
-def source_signals(df: DataFrame, sources: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
+def source_signals(df: DataFrame, sources: list[str], max_rows: int | None = None) -> DataFrame:
     """Mean score, mean and max rank of all sources, mean rank of every pair."""
     d = rank_many(df, [(c, f"_{c}", ()) for c in sources], max_rows=max_rows)
     r = {c: F.col(f"_{c}") for c in sources}
@@ -111,7 +110,7 @@ def source_signals(df: DataFrame, sources: list[str], max_rows: int = MAX_ROWS)
 
 
 def pooling_signals(df: DataFrame, keys: dict[str, list[str]], score: str, methods: tuple = ("mean", "max", "q75"),
-                    primary: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+                    primary: str | None = None, max_rows: int | None = None) -> DataFrame:
     """Score pooled over every key and method; mean and max of their ranks over keys, and over methods of one key."""
     d = df
     for k, cols in keys.items():
@@ -132,7 +131,7 @@ def pooling_signals(df: DataFrame, keys: dict[str, list[str]], score: str, metho
     return d.withColumns(out).drop(*[f"{x}_{k}_{m}" for x in ("_r", "_x") for k in keys for m in methods])
 
 
-def meta_features(df: DataFrame, sources: list[str], by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
+def meta_features(df: DataFrame, sources: list[str], by: list[str] = (), max_rows: int | None = None) -> DataFrame:
     """Clipped score, logit, rank, squared rank per source; rank mean, deviation, range and differences across sources."""
     d = df.withColumns({f"{c}_prob": F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6)) for c in sources})
     d = rank_many(d, [(f"{c}_prob", f"{c}_rank", by) for c in sources], max_rows=max_rows)
@@ -148,13 +147,13 @@ def meta_features(df: DataFrame, sources: list[str], by: list[str] = (), max_row
 
 
 def entity_pull(df: DataFrame, key: list[str], score: str, weight: float, out: str, valid: Column | None = None,
-                method: str = "max", size: tuple = (1, None), max_rows: int = MAX_ROWS) -> DataFrame:
+                method: str = "max", size: tuple = (1, None), max_rows: int | None = None) -> DataFrame:
     """Score moved towards the pooled score of its entity; without `valid`, missing keys pool as one entity."""
     return pull(pooled(df, key, score, method, "_p", valid, size, max_rows), score, "_p", weight, out).drop("_p")
 
 
 def layer(df: DataFrame, current: str, source: str, variant: str, segment: str, row_id: str, weights: dict[str, float],
-          pool: dict, out: str, max_rows: int = MAX_ROWS) -> DataFrame:
+          pool: dict, out: str, max_rows: int | None = None) -> DataFrame:
     """A recipe step: transform the source to the chosen variant, then blend it by segment."""
     d = variants(df, source, pool["key"], pool["method"], pool["weight"], pool["size"], pool["valid"], max_rows)
     d = segmented_blend(d, current, variant, segment, row_id, weights, out, max_rows)

@@ -9,7 +9,7 @@ from ..functions.tokens import token
 from ..sources.store import save
 from .frequency import with_total
 from .joins import attach
-from .timeline import HALO, MAX_ROWS, Timeline, earlier
+from .timeline import HALO, Timeline, earlier
 
 
 def _before_cutoff(tl: Timeline, key: list[str], dt: str, windows: dict[str, int], sums: dict[str, Column],
@@ -43,7 +43,7 @@ def _before_cutoff(tl: Timeline, key: list[str], dt: str, windows: dict[str, int
 
 def velocity(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, prefix: str = "velocity",
              windows: dict[str, int] = VELOCITY, amount_windows: tuple = VELOCITY_SUMS,
-             max_rows: int = MAX_ROWS) -> DataFrame:
+             max_rows: int | None = None) -> DataFrame:
     """Counts, amounts and times of the earlier rows of the key; 16 columns with the default windows.
 
     Windows include their left edge; rows of equal time do not see each other. Deviations are population ones,
@@ -80,7 +80,7 @@ def velocity(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
 
 
 def label_history(history: DataFrame, query: DataFrame, key: list[str], dt: str, row_id: str, label: str,
-                  smoothing: tuple = (20.0,), prefix: str = "known", max_rows: int = MAX_ROWS) -> DataFrame:
+                  smoothing: tuple = (20.0,), prefix: str = "known", max_rows: int | None = None) -> DataFrame:
     """Known rows, positives, rates and time since the last positive of the entity.
 
     A history row knows the strictly earlier history rows; a query row knows the whole history of its entity.
@@ -102,7 +102,7 @@ def label_history(history: DataFrame, query: DataFrame, key: list[str], dt: str,
 
 
 def activity(df: DataFrame, key: list[str], dt: str, row_id: str, counter: str, stated_gap: str, prefix: str = "adv",
-             rolling: tuple = (2, 3, 4, 5, 10, 20), max_rows: int = MAX_ROWS) -> DataFrame:
+             rolling: tuple = (2, 3, 4, 5, 10, 20), max_rows: int | None = None) -> DataFrame:
     """Rows and active days so far, rolling gap statistics, counter step, stated against real gap."""
     p = lambda n: f"{prefix}_{n}"
     tl = Timeline(df, key, [dt, row_id], max_rows)
@@ -123,7 +123,7 @@ def activity(df: DataFrame, key: list[str], dt: str, row_id: str, counter: str,
 
 
 def value_memory(df: DataFrame, key: list[str], dt: str, row_id: str, column: str, prefix: str,
-                 recent: int = 30 * 86400, max_rows: int = MAX_ROWS) -> DataFrame:
+                 recent: int = 30 * 86400, max_rows: int | None = None) -> DataFrame:
     """How the row's value relates to the values the entity showed before; missing is a value."""
     p = lambda n: f"{prefix}_{n}"
     pair = Timeline(df.withColumn("_v", token(column)), [*key, "_v"], [dt, row_id], max_rows)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.store import save
 from .joins import attach
-from .timeline import MAX_ROWS, Timeline
+from .timeline import Timeline
 
 
 def _latest(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str, max_rows: int) -> DataFrame:
@@ -30,7 +30,7 @@ def _latest(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str,
 
 
 def parents(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str, out: str = "parent",
-            max_rows: int = MAX_ROWS) -> DataFrame:
+            max_rows: int | None = None) -> DataFrame:
     """Latest earlier row of the entity whose end lies within one of the row's start."""
     best = _latest(df, uid, dt, row_id, start, end, max_rows).groupBy(row_id).agg(F.max("_at").alias("_at"))
     return attach(df, best.select(row_id, F.col("_at.i").alias(out)), [row_id])
@@ -49,7 +49,7 @@ def roots(links: DataFrame, row_id: str, parent: str, out: str) -> DataFrame:
 
 
 def counter_chains(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str, out: str = "chain",
-                   max_rows: int = MAX_ROWS) -> DataFrame:
+                   max_rows: int | None = None) -> DataFrame:
     """Chain of every row, named by its first row."""
     links = parents(df.select(uid, dt, row_id, start, end), uid, dt, row_id, start, end, "_p", max_rows)
     return attach(df, roots(links.select(row_id, "_p"), row_id, "_p", out), [row_id])

@@ -7,7 +7,7 @@ from ..functions.rowwise import divide
 from ..functions.tokens import token
 from .joins import attach
 from .ranks import quantiles
-from .timeline import HALO, MAX_ROWS, Timeline
+from .timeline import HALO, Timeline
 
 
 def _z(x: str | Column, mean: str, std: str) -> Column:
@@ -16,7 +16,7 @@ def _z(x: str | Column, mean: str, std: str) -> Column:
 
 
 def sequence(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, prefix: str,
-             counters: list[str] = (), max_rows: int = MAX_ROWS, tl: Timeline | None = None) -> DataFrame:
+             counters: list[str] = (), max_rows: int | None = None, tl: Timeline | None = None) -> DataFrame:
     """Position, gaps, span, amount statistics and neighbour amounts; with `counters`, their steps to the neighbours.
 
     A counter step that equals the amount between two rows (within 0.011) marks the rows as consecutive.
@@ -60,7 +60,7 @@ def sequence(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
 
 
 def profile(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, ids: list[str], numerics: list[str],
-            with_range: list[str] = (), prefix: str = "user", max_rows: int = MAX_ROWS) -> DataFrame:
+            with_range: list[str] = (), prefix: str = "user", max_rows: int | None = None) -> DataFrame:
     """Sequence features plus same-amount share, active days, per-id spread and per-number mean and deviation."""
     p = lambda n: f"{prefix}_{n}"
     tl = Timeline(df, key, [dt, row_id], max_rows)
@@ -109,7 +109,7 @@ def rate_profile(df: DataFrame, key: list[str], rates: list[str], prefix: str =
     return attach(df, table, key).withColumns({f"{prefix}_{c}_diff": F.col(c) - F.col(f"{prefix}_{c}_mean") for c in rates})
 
 
-def amount_groups(df: DataFrame, key: list[str], amount: str, prefix: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def amount_groups(df: DataFrame, key: list[str], amount: str, prefix: str, max_rows: int | None = None) -> DataFrame:
     """Log count, mean, deviation, median, difference, z-score, share of rows with the same amount in cents."""
     p = lambda n: f"{prefix}_{n}"
     d = df.withColumn("_cents", F.rint(F.col(amount) * 100))
@@ -144,7 +144,7 @@ def client_profile(df: DataFrame, key: list[str], dt: str, row_id: str, day: str
                           "client_per_day": F.col("client_count") / (F.col("client_day_span") + 1)})
 
 
-def pool_table(rows: DataFrame, key: list[str], score: str, method: str, out: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def pool_table(rows: DataFrame, key: list[str], score: str, method: str, out: str, max_rows: int | None = None) -> DataFrame:
     """Pooled score (mean, max, q75, …) and row count `_n` per entity."""
     n = F.count(F.lit(1)).alias("_n")
     if not method.startswith("q"):
@@ -154,7 +154,7 @@ def pool_table(rows: DataFrame, key: list[str], score: str, method: str, out: st
 
 
 def pooled(df: DataFrame, key: list[str], score: str, method: str, out: str, valid: Column | None = None,
-           size: tuple[int, int | None] = (1, None), max_rows: int = MAX_ROWS) -> DataFrame:
+           size: tuple[int, int | None] = (1, None), max_rows: int | None = None) -> DataFrame:
     """Score pooled in an entity (mean, max, q75, q90). Invalid rows and entities outside `size` keep their score."""
     ok = F.lit(True) if valid is None else valid
     fits = ok & (F.col("_n") >= size[0])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.tokens import all_present, compose, integer_token
 from ..sources.store import save
 from .joins import attach
-from .timeline import MAX_ROWS, Timeline
+from .timeline import Timeline
 
 
 def linked_groups(df: DataFrame, row_id: str, key: list[str], cap: int | None) -> DataFrame:
@@ -138,7 +138,7 @@ def component_statistics(df: DataFrame, component: str) -> DataFrame:
 
 
 def fuzzy_edges(df: DataFrame, row_id: str, key: list[str], dt: str, stated_gap: str, origin: str, product: str,
-                mail: str, counter: str, max_rows: int = MAX_ROWS) -> DataFrame:
+                mail: str, counter: str, max_rows: int | None = None) -> DataFrame:
     """Edges (a earlier, b later) between neighbours in time of the same key whose stated gap fits the real one."""
     tl = Timeline(df.select(row_id, *key, dt, stated_gap, origin, product, mail, counter), key, [dt, row_id], max_rows)
     d = tl.with_neighbours(1, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import attach
-from .timeline import MAX_ROWS, SLICE, Timeline
+from .timeline import SLICE, Timeline
 
 ALL = "_all"
 
@@ -26,7 +26,7 @@ def _rank_table(d: DataFrame, value: str, out: str, keys: list[str], pct: bool,
 
 
 def rank_many(df: DataFrame, wanted: list[tuple[str, str, list[str]]], pct: bool = True,
-              max_rows: int = MAX_ROWS) -> DataFrame:
+              max_rows: int | None = None) -> DataFrame:
     """Several ranks (value, out, by). All tables are made from `df` itself, so the plan grows by one branch each."""
     d = df.withColumn(ALL, F.lit(0))
     out = d
@@ -37,7 +37,7 @@ def rank_many(df: DataFrame, wanted: list[tuple[str, str, list[str]]], pct: bool
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] = (), pct: bool = True,
-                 max_rows: int = MAX_ROWS) -> DataFrame:
+                 max_rows: int | None = None) -> DataFrame:
     """Rank with ties averaged, divided by the count; missing values get no rank.
 
     Equal values are one row after the first aggregation, so a tie never crosses a slice boundary.
@@ -46,7 +46,7 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] = (), pct: b
 
 
 def auc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str = "auc", weight: str | None = None,
-        max_rows: int = MAX_ROWS) -> DataFrame:
+        max_rows: int | None = None) -> DataFrame:
     """Area under the ROC curve per `by`; NULL with one class. Rank-sum form with tied scores halved."""
     d, keys = _grouped(df, by)
     n = F.col(weight) if weight else F.lit(1)
@@ -61,7 +61,7 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] = (), out: str = "a
         F.try_divide(wins, pairs).alias(out)).drop(ALL))
 
 
-def ordinal(df: DataFrame, order: list[str], out: str, by: list[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
+def ordinal(df: DataFrame, order: list[str], out: str, by: list[str] = (), max_rows: int | None = None) -> DataFrame:
     """Row number from 1 in a total order."""
     d, keys = _grouped(df, by)
     tl = Timeline(d, keys, order, max_rows)
@@ -70,7 +70,7 @@ def ordinal(df: DataFrame, order: list[str], out: str, by: list[str] = (), max_r
 
 
 def rank_match(df: DataFrame, signal: str, reference: str, row_id: str, out: str, by: list[str] = (),
-               max_rows: int = MAX_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """The row with the k-th smallest signal gets the k-th smallest reference value; ties by row id."""
     d, keys = _grouped(df, by)
     placed = ordinal(d, [signal, row_id], "_k", keys, max_rows)
@@ -80,13 +80,13 @@ def rank_match(df: DataFrame, signal: str, reference: str, row_id: str, out: str
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "spearman",
-             max_rows: int = MAX_ROWS) -> DataFrame:
+             max_rows: int | None = None) -> DataFrame:
     d = rank_many(df, [(a, "_ra", by), (b, "_rb", by)], max_rows=max_rows)
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.corr("_ra", "_rb").alias(out))
 
 
 def quantiles(df: DataFrame, key: list[str], value: str | Column, probs: dict[str, float],
-              max_rows: int = MAX_ROWS) -> DataFrame:
+              max_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one row per key.
 
     `percentile` keeps the distinct values of a group in one task, so it serves keys up to `max_rows` distinct
@@ -116,5 +116,5 @@ def quantiles(df: DataFrame, key: list[str], value: str | Column, probs: dict[st
 
 
 def attach_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float],
-                     max_rows: int = MAX_ROWS) -> DataFrame:
+                     max_rows: int | None = None) -> DataFrame:
     return attach(df, quantiles(df, key, value, probs, max_rows), key)

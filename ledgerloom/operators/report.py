@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import attach
 from .ranks import auc, ordinal, quantiles, rank_many
-from .timeline import MAX_ROWS
 
 
 def missing_rates(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
@@ -51,7 +50,7 @@ def shuffled_key(df: DataFrame, key: str, row_id: str, seed: int, out: str) -> D
     return attach(ordinal(d, ["_h", row_id], "_k"), values, ["_k"]).drop("_k", "_h")
 
 
-def segment_metrics(df: DataFrame, label: str, score: str, by: list[str], least: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
+def segment_metrics(df: DataFrame, label: str, score: str, by: list[str], least: int = 0, max_rows: int | None = None) -> DataFrame:
     """Rows, positives, rate and AUC per group; small groups or those with one class can be left out."""
     d = auc(df, label, score, by, max_rows=max_rows).withColumn("rate", F.col("positives") / F.col("rows"))
     return d.filter((F.col("rows") >= least) & (F.col("positives") > 0)) if least else d
@@ -61,7 +60,7 @@ def metric_pivot(metrics: DataFrame, row: str, column: str, values: list[str], m
     return metrics.groupBy(row).pivot(column, values).agg(F.first(metric))
 
 
-def rank_movement(df: DataFrame, base: str, candidate: str, by: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def rank_movement(df: DataFrame, base: str, candidate: str, by: str, max_rows: int | None = None) -> DataFrame:
     """Rows, Spearman with the base, median and largest absolute change of the rank, per group."""
     d = rank_many(df, [(base, "_b", ()), (candidate, "_c", ()), (base, "_sb", [by]), (candidate, "_sc", [by])], max_rows=max_rows)
     d = d.withColumn("_move", F.abs(F.col("_c") - F.col("_b")))
@@ -70,7 +69,7 @@ def rank_movement(df: DataFrame, base: str, candidate: str, by: str, max_rows: i
     return attach(t, quantiles(d, [by], "_move", {"median_move": 0.5}, max_rows), [by])
 
 
-def recipe_table(df: DataFrame, label: str, recipes: list[str], part: Column, max_rows: int = MAX_ROWS) -> DataFrame:
+def recipe_table(df: DataFrame, label: str, recipes: list[str], part: Column, max_rows: int | None = None) -> DataFrame:
     """AUC of every recipe column over all rows and over each part, in one job."""
     long = df.select(label, F.explode(F.array(F.lit("all"), part)).alias("part"), F.explode(F.array(*[
         F.struct(F.lit(r).alias("recipe"), F.col(r).alias("x")) for r in recipes])).alias("_r")).select(label, "part", "_r.*")

@@ -18,7 +18,7 @@ from .blend import with_bounded
 from .entity import pool_table
 from .joins import attach
 from .ranks import auc, ordinal, quantiles, rank_many
-from .timeline import MAX_ROWS, SLICE, Timeline
+from .timeline import SLICE, Timeline
 
 
 def simplex(spark: SparkSession, names: list[str], denominator: int) -> DataFrame:
@@ -30,7 +30,7 @@ def simplex(spark: SparkSession, names: list[str], denominator: int) -> DataFram
     return d.select(*[(F.col(n) / F.lit(float(denominator))).alias(n) for n in names])
 
 
-def halves(df: DataFrame, time: str, out: str = "half", max_rows: int = MAX_ROWS) -> DataFrame:
+def halves(df: DataFrame, time: str, out: str = "half", max_rows: int | None = None) -> DataFrame:
     """first / second half by the median time."""
     middle = quantiles(df.withColumn("_o", F.lit(1)), ["_o"], time, {"_mid": 0.5}, max_rows).drop("_o")
     return with_bounded(df, middle).withColumn(out, F.when(F.col(time) <= F.col("_mid"), "first").otherwise("second")).drop("_mid")
@@ -42,7 +42,7 @@ def in_parts(df: DataFrame, half: str = "half", out: str = "part") -> DataFrame:
 
 
 def candidate_auc(df: DataFrame, label: str, sources: list[str], weights: list[dict], by: list[str] = (),
-                  max_rows: int = MAX_ROWS) -> DataFrame:
+                  max_rows: int | None = None) -> DataFrame:
     """AUC of every linear candidate within `by`: columns candidate, by…, rows, positives, auc.
 
     Rows with equal sources and label are counted first; only then are they multiplied by the candidates.
@@ -56,7 +56,7 @@ def candidate_auc(df: DataFrame, label: str, sources: list[str], weights: list[d
 
 
 def best_mean_auc(df: DataFrame, label: str, sources: list[str], weights: list[dict], fold: str,
-                  max_rows: int = MAX_ROWS) -> list[tuple[float, dict]]:
+                  max_rows: int | None = None) -> list[tuple[float, dict]]:
     """Candidates with their mean fold AUC, best first; equal ones in grid order."""
     scored = candidate_auc(df, label, sources, weights, [fold], max_rows)
     rows = scored.groupBy("candidate").agg(F.avg("auc").alias("m")).filter("m is not null").collect()   # one per candidate
@@ -64,7 +64,7 @@ def best_mean_auc(df: DataFrame, label: str, sources: list[str], weights: list[d
 
 
 def coarse_to_fine(df: DataFrame, label: str, sources: list[str], fold: str, denominator: int = 10, coarse: int = 5,
-                   max_rows: int = MAX_ROWS) -> tuple[float, dict]:
+                   max_rows: int | None = None) -> tuple[float, dict]:
     """Full coarse simplex, then the fine one within the coarse step around its best; two jobs."""
     spark = df.sparkSession
     grid = lambda d: [r.asDict() for r in simplex(spark, sources, d).orderBy(*sources).collect()]
@@ -93,7 +93,7 @@ class BlendMatrix:
     """AUC of any combination of one option per segment, from the pair matrix."""
 
     def __init__(self, options: DataFrame, label: str, score: str, segment: str, option: str, segments: Iterable[str],
-                 n_options: int, part: str = "part", max_rows: int = MAX_ROWS):
+                 n_options: int, part: str = "part", max_rows: int | None = None):
         """`options`: rows repeated per option index of their segment, with the score they have under it."""
         self.segments, self.n = list(segments), n_options
         cells = [(g, a) for g in range(len(self.segments)) for a in range(n_options)]
@@ -126,12 +126,12 @@ class BlendMatrix:
         return {"choice": choice, "auc": score, "gain": score - base["all"], "min_half_gain": min(gains)}
 
 
-def base_aucs(df: DataFrame, label: str, score: str, max_rows: int = MAX_ROWS) -> dict[str, float]:
+def base_aucs(df: DataFrame, label: str, score: str, max_rows: int | None = None) -> dict[str, float]:
     return {r["part"]: r["auc"] for r in auc(in_parts(df), label, score, ["part"], max_rows=max_rows).collect()}
 
 
 def rank_options(df: DataFrame, current: str, stacked: str, segment: str, row_id: str, weights: tuple,
-                 max_rows: int = MAX_ROWS) -> DataFrame:
+                 max_rows: int | None = None) -> DataFrame:
     """Rows repeated per weight index (`option`) with the rank-matched blend (`score`) of their segment."""
     d = save(rank_many(df, [(current, "_cur", ()), (current, "_cs", [segment]), (stacked, "_ss", [segment])], max_rows=max_rows))
     values = ordinal(d.select(segment, "_cur", row_id), ["_cur", row_id], "_k", [segment], max_rows).select(
@@ -157,7 +157,7 @@ def pick(rows: list[dict]) -> dict:
 
 
 def grid_search(options: DataFrame, label: str, segment: str, weights: tuple, base: dict[str, float],
-                segments: tuple = SEGMENTS, max_rows: int = MAX_ROWS) -> tuple[dict, list[dict]]:
+                segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, list[dict]]:
     """All combinations of weights over the segments."""
     m = BlendMatrix(in_parts(options), label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
     rows = [m.row(c, base) for c in product(range(len(weights)), repeat=len(segments))]
@@ -165,7 +165,7 @@ def grid_search(options: DataFrame, label: str, segment: str, weights: tuple, ba
 
 
 def coordinate_search(options: DataFrame, label: str, segment: str, weights: tuple, base: dict[str, float],
-                      starts: tuple, segments: tuple = SEGMENTS, max_rows: int = MAX_ROWS) -> tuple[dict, list[dict]]:
+                      starts: tuple, segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, list[dict]]:
     """Two sweeps over the segments from every start, then the neighbours of where they end."""
     m = BlendMatrix(in_parts(options), label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
     seen: dict[tuple, dict] = {}
@@ -187,7 +187,7 @@ def coordinate_search(options: DataFrame, label: str, segment: str, weights: tup
 
 
 def candidate_search(df: DataFrame, label: str, segment: str, weights: tuple, blend: Callable[[DataFrame, Column], DataFrame],
-                     base: dict[str, float], segments: tuple = SEGMENTS, max_rows: int = MAX_ROWS) -> DataFrame:
+                     base: dict[str, float], segments: tuple = SEGMENTS, max_rows: int | None = None) -> DataFrame:
     """All combinations one by one, for blends whose last step (such as pooling) mixes segments.
 
     `blend(rows, keys)` sees rows repeated per `candidate` with their weight `w` and adds `score`.
@@ -205,7 +205,7 @@ def candidate_search(df: DataFrame, label: str, segment: str, weights: tuple, bl
 
 
 def two_stage_recipe(df: DataFrame, label: str, sources: list[str], baseline: str, segment: str, denominator: int, top: int,
-                     segments: tuple = SEGMENTS, max_rows: int = MAX_ROWS) -> tuple[dict, dict]:
+                     segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, dict]:
     """Best stable mixes per segment, then the best combination of them. `df` needs `half`."""
     weights = [r.asDict() for r in simplex(df.sparkSession, sources, denominator).orderBy(*sources).collect()]
     parts = in_parts(df)
@@ -236,7 +236,7 @@ def two_stage_recipe(df: DataFrame, label: str, sources: list[str], baseline: st
     return best | {"weights": {g: weights[options[g][a]] for g, a in zip(segments, best["choice"])}}, chosen
 
 
-def line_search(df: DataFrame, label: str, first: str, second: str, steps: int, max_rows: int = MAX_ROWS) -> DataFrame:
+def line_search(df: DataFrame, label: str, first: str, second: str, steps: int, max_rows: int | None = None) -> DataFrame:
     """AUC of (1-w)*rank(first) + w*rank(second) for w in equal steps."""
     d = rank_many(df, [(first, "_a", ()), (second, "_b", ())], max_rows=max_rows)
     weights = [{"_a": 1 - i / (steps - 1), "_b": i / (steps - 1)} for i in range(steps)]
@@ -245,7 +245,7 @@ def line_search(df: DataFrame, label: str, first: str, second: str, steps: int,
 
 
 def pooling_search(df: DataFrame, label: str, score: str, groups: dict[str, tuple[list[str], Column, int]],
-                   methods: tuple, weights: tuple, max_rows: int = MAX_ROWS) -> DataFrame:
+                   methods: tuple, weights: tuple, max_rows: int | None = None) -> DataFrame:
     """Key group x method x weight: AUC gain overall and in the worse half. `df` needs `half`."""
     d, names = df, []
     for g, (key, valid, cap) in groups.items():

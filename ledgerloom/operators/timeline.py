@@ -11,6 +11,8 @@ cuts.
 from __future__ import annotations
 
 import copy
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,6 +22,17 @@ from .joins import attach, attach_bounded
 MAX_ROWS = 4_000_000    # rows of one key that one task may sort
 PICKS = 8               # picked rows per slice: slice sizes vary by about a third
 SLICE, HALO = "_slice", "_halo"
+_limit: ContextVar[int] = ContextVar("rows_per_slice", default=MAX_ROWS)
+
+
+@contextmanager
+def rows_per_slice(n: int):
+    """Plans built inside cut keys of more than about `n` rows, where the operator is not told otherwise."""
+    token = _limit.set(n)
+    try:
+        yield
+    finally:
+        _limit.reset(token)
 
 
 def cut_points(df: DataFrame, key: list[str], order: list[str], max_rows: int) -> DataFrame | None:
@@ -46,9 +59,9 @@ def cut_points(df: DataFrame, key: list[str], order: list[str], max_rows: int) -
 class Timeline:
     """Rows of each key in the total order `order`."""
 
-    def __init__(self, df: DataFrame, key: list[str], order: list[str], max_rows: int = MAX_ROWS):
+    def __init__(self, df: DataFrame, key: list[str], order: list[str], max_rows: int | None = None):
         self.key, self.order = list(key), list(order)
-        self.cuts = cut_points(df, self.key, self.order, max_rows)
+        self.cuts = cut_points(df, self.key, self.order, _limit.get() if max_rows is None else max_rows)
         self.df = self.slice(df)
 
     def on(self, df: DataFrame) -> "Timeline":
@@ -187,7 +200,7 @@ class Timeline:
 
 
 def earlier(df: DataFrame, key: list[str], time: str, row_id: str, sums: dict[str, Column],
-            maxes: dict[str, Column] | None = None, max_rows: int = MAX_ROWS, tl: Timeline | None = None) -> DataFrame:
+            maxes: dict[str, Column] | None = None, max_rows: int | None = None, tl: Timeline | None = None) -> DataFrame:
     """Sum (0 if none) and max over the rows of the key with a strictly smaller `time`.
 
     Rows of equal time do not see each other. Ordinary keys use a growing RANGE frame; oversized ones are first
