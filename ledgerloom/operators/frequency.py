@@ -1,9 +1,12 @@
 """How often a value occurs, and statistics of other columns per value."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tokens import token
+from ..sources.store import save
 from .joins import attach, attach_bounded
 
 
@@ -13,24 +16,35 @@ def with_total(table: DataFrame, rows: DataFrame, out: str, count: Column | None
     return attach_bounded(table.withColumn("_one", F.lit(1)), n, ["_one"]).drop("_one")     # one row
 
 
+def value_counts(source: DataFrame, columns: list[str], value: Callable[[str], Column]) -> DataFrame:
+    """(_c column name, _t value, _n rows): all columns in one scan, one shuffle, written once."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), value(c).alias("_t")) for c in columns])
+    return save(source.select(F.explode(pairs).alias("_s")).select("_s.*").groupBy("_c", "_t").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
 def frequency(df: DataFrame, source: DataFrame, columns: list[str], suffix: str = "_freq") -> DataFrame:
     """Share of `source` rows with the same value; missing is a value, unseen is 0."""
+    if not columns:
+        return df
+    counts = value_counts(source, columns, token)
+    one = counts.filter(F.col("_c") == columns[0])      # missing is a value, so every column adds up to all rows
+    counts = with_total(counts, one, "_all", F.sum("_n"))
     for c in columns:
-        counts = with_total(source.groupBy(token(c).alias("_t")).agg(F.count(F.lit(1)).alias("_n")), source, "_all")
-        df = attach(df.withColumn("_t", token(c)), counts.select("_t", (F.col("_n") / F.col("_all")).alias(c + suffix)),
-                    ["_t"]).drop("_t").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(0.0)))
+        share = counts.filter(F.col("_c") == c).select("_t", (F.col("_n") / F.col("_all")).alias(c + suffix))
+        df = attach(df.withColumn("_t", token(c)), share, ["_t"]).drop("_t").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(0.0)))
     return df
 
 
 def informative(history: DataFrame, source: DataFrame, columns: list[str]) -> list[str]:
     """Columns whose frequency takes at least two values on the history; one job for all of them."""
-    tests = None
-    for c in columns:
-        counts = source.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        used = attach(history.select(c).distinct(), counts, [c])
-        one = used.agg(F.min("_n").alias("lo"), F.max("_n").alias("hi")).withColumn("c", F.lit(c))
-        tests = one if tests is None else tests.unionByName(one)
-    varied = {r["c"] for r in tests.filter("lo < hi").collect()}       # one row per column
+    counts = value_counts(source, columns, _text)
+    used = attach(value_counts(history, columns, _text).select("_c", "_t"), counts, ["_c", "_t"])
+    tests = used.groupBy("_c").agg(F.min("_n").alias("lo"), F.max("_n").alias("hi"))
+    varied = {r["_c"] for r in tests.filter("lo < hi").collect()}       # one row per column
     return [c for c in columns if c in varied]
 
 
@@ -43,12 +57,13 @@ def frequency_by_mode(history: DataFrame, query: DataFrame, columns: list[str],
 
 def normalized_frequency(df: DataFrame, columns: list[str], suffix: str = "_fe") -> DataFrame:
     """Share among present values; missing is -1."""
-    base = df
+    if not columns:
+        return df
+    counts = value_counts(df, columns, _text).filter(F.col("_t").isNotNull())
+    counts = attach_bounded(counts, counts.groupBy("_c").agg(F.sum("_n").alias("_all")), ["_c"])      # one row per column
     for c in columns:
-        present = base.filter(F.col(c).isNotNull())
-        counts = with_total(present.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), present, "_all")
-        df = attach(df, counts.select(c, (F.col("_n") / F.col("_all")).alias(c + suffix)), [c])
-        df = df.withColumn(c + suffix, F.coalesce(c + suffix, F.lit(-1.0)))
+        share = counts.filter(F.col("_c") == c).select("_t", (F.col("_n") / F.col("_all")).alias(c + suffix))
+        df = attach(df.withColumn("_t", _text(c)), share, ["_t"]).drop("_t").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(-1.0)))
     return df
 
 

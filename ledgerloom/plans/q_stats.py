@@ -386,8 +386,7 @@ UID2 = cat(tok("card1"), tok("addr1"), itok(OR["floor_day"]), tok("email"))
 def _(t):
     i = tk.integer_token(tk.origin_day("dt", "d1", "floor_day"))
     d = t.tx().withColumns({"ua": tk.compose(i, "email"), "ub": tk.compose("card1", "addr1", i, "email")})
-    parts = [en.sequence(d, [k], "dt", "id", "amt", p).select("id", *[f"{p}_{c}" for c in SEQ]) for k, p in (("ua", "a"), ("ub", "b"))]
-    return parts[0].join(parts[1], "id")
+    return en.sequence(en.sequence(d, ["ua"], "dt", "id", "amt", "a"), ["ub"], "dt", "id", "amt", "b")
 
 
 def delta_sql(p, counters_, source, key):
