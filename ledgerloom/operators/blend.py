@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.store import save
-from .entity import pool_table, pooled, pull
+from .entity import pool_tables, pooled, pull
 from .joins import attach, attach_bounded
 from .ranks import average_rank, rank_many, rank_match
 
@@ -114,8 +114,7 @@ def pooling_signals(df: DataFrame, keys: dict[str, list[str]], score: str, metho
     """Score pooled over every key and method; mean and max of their ranks over keys, and over methods of one key."""
     d = df
     for k, cols in keys.items():
-        for m in methods:
-            d = attach(d, pool_table(df, cols, score, m, f"{k}_{m}", max_rows).drop("_n"), cols)
+        d = attach(d, pool_tables(df, cols, score, {f"{k}_{m}": m for m in methods}, max_rows).drop("_n"), cols)
     names = {(k, m): f"_r_{k}_{m}" for k in keys for m in methods}
     # sums of the same rows in another order differ in the last bits: equal pools must stay ties
     d = save(d.withColumns({f"_x_{k}_{m}": F.round(f"{k}_{m}", 12) for k, m in names}))

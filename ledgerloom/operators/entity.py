@@ -144,13 +144,18 @@ def client_profile(df: DataFrame, key: list[str], dt: str, row_id: str, day: str
                           "client_per_day": F.col("client_count") / (F.col("client_day_span") + 1)})
 
 
+def pool_tables(rows: DataFrame, key: list[str], score: str, methods: dict[str, str], max_rows: int | None = None) -> DataFrame:
+    """Pooled scores (output name -> mean, max, q75, …) and row count `_n` per entity: one aggregation for all but the
+    quantiles, one for all quantiles."""
+    plain = [{"mean": F.avg, "max": F.max}[m](score).alias(out) for out, m in methods.items() if not m.startswith("q")]
+    table = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *plain)
+    probs = {out: int(m[1:]) / 100 for out, m in methods.items() if m.startswith("q")}
+    return attach(table, quantiles(rows, key, score, probs, max_rows), key) if probs else table
+
+
 def pool_table(rows: DataFrame, key: list[str], score: str, method: str, out: str, max_rows: int | None = None) -> DataFrame:
-    """Pooled score (mean, max, q75, …) and row count `_n` per entity."""
-    n = F.count(F.lit(1)).alias("_n")
-    if not method.startswith("q"):
-        return rows.groupBy(*key).agg({"mean": F.avg, "max": F.max}[method](score).alias(out), n)
-    table = quantiles(rows, key, score, {out: int(method[1:]) / 100}, max_rows)
-    return attach(table, rows.groupBy(*key).agg(n), key)
+    """Pooled score of one method and row count `_n` per entity."""
+    return pool_tables(rows, key, score, {out: method}, max_rows)
 
 
 def pooled(df: DataFrame, key: list[str], score: str, method: str, out: str, valid: Column | None = None,

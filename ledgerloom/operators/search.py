@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import SEGMENTS
 from ..sources.store import save
 from .blend import with_bounded
-from .entity import pool_table
+from .entity import pool_tables
 from .joins import attach
 from .ranks import auc, ordinal, quantiles, rank_many
 from .timeline import SLICE, Timeline
@@ -249,12 +249,10 @@ def pooling_search(df: DataFrame, label: str, score: str, groups: dict[str, tupl
     """Key group x method x weight: AUC gain overall and in the worse half. `df` needs `half`."""
     d, names = df, []
     for g, (key, valid, cap) in groups.items():
-        for m in methods:
-            table = pool_table(df.filter(valid), list(key), score, m, "_pool", max_rows)
-            d = attach(d, table, list(key))
-            fits = valid & F.col("_n").between(2, cap)
-            d = d.withColumn(f"_p_{g}_{m}", F.when(fits, F.col("_pool")).otherwise(F.col(score))).drop("_pool", "_n")
-            names.append((g, m))
+        table = pool_tables(df.filter(valid), list(key), score, {f"_p_{g}_{m}": m for m in methods}, max_rows)
+        fits = valid & F.col("_n").between(2, cap)
+        d = attach(d, table, list(key)).withColumns({f"_p_{g}_{m}": F.when(fits, F.col(f"_p_{g}_{m}")).otherwise(F.col(score)) for m in methods}).drop("_n")
+        names += [(g, m) for m in methods]
     signal = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(m).alias("method"), F.lit(float(w)).alias("weight"),
                                 F.round((1 - w) * F.col(score) + w * F.col(f"_p_{g}_{m}"), 12).alias("x"))
                        for g, m in names for w in weights])
