@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BLOCK_BYTES = 2 << 20      # text handled at once by vectorised code, so that its temporaries stay small
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LOWER_VALUE = BYTE_VALUE.copy()
-LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 PLACE = _rng.integers(1, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
@@ -99,37 +96,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False, cuts: np.ndarray | None = None,
-                separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word and, for each text, the number of its first word (one entry more than texts).
-
-    `lower` takes A-Z as a-z. `cuts` are further byte positions at which a word starts anew (line starts).
-    """
-    n = len(raw)
-    bounds = off if cuts is None else cuts
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    space = separators[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    at = bounds[:-1][bounds[:-1] < n]
-    first[at] = ~space[at]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    lengths = np.diff(np.append(starts, n))
-    place = np.arange(n)
-    place[starts[0]:] -= np.repeat(starts, lengths)
-    value = (LOWER_VALUE if lower else BYTE_VALUE)[raw]
-    far = place >= len(PLACE)
-    if far.any():       # words of over 4096 bytes: later places take multiples of the first ones
-        value *= PLACE[place % len(PLACE)] + STEP * (place // len(PLACE)).astype(np.uint64) * np.uint64(2)
-    else:
-        value *= PLACE[place]
-    value[space] = 0
-    return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, bounds)
-
-
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word windows of each text, and where each text's windows start. A text of 1 to k-1 words has one
     window, the whole of it."""

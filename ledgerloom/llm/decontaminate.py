@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import columns, save, slices, utf8, word_hashes
+from .common import columns, save, slices, utf8
+from .words import word_hashes
 
 BLOCK = 16                 # words; passages are two or four blocks
 SLICE_BYTES = 256 << 10
