@@ -6,9 +6,10 @@ of similarity s a table agrees with probability s ** (2 * rows), and some table
 
 1. Texts with equal shingle sets form a class (128-bit signature), named by its smallest doc_id. Only classes go on.
 2. Classes whose keys are alone in either collection can't share a table and are left out before tables are formed.
-3. In every table, each class is paired with the bucket's first class and with its neighbour in the order of further keys: as many
-   pairs as rows, never all pairs of a bucket. Pairs of classes that are connected already are not looked at again, and rounds
-   go on with other first classes in buckets that still hold several components, until a round finds no link.
+3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most, never all pairs of a bucket. Where
+   buckets still hold several components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other
+   first classes and with their neighbours in the order of further keys; pairs that are connected already are left out. A pair at the
+   threshold meets in dozens of tables, each with its own order.
 4. Candidates whose 2 * bands * rows minhashes agree far too rarely for the threshold are dropped (`slack` standard deviations), the
    others are confirmed on the full shingle sets. Links give components by star contractions.
 
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
-from .common import columns, drop_saved, mix, save, shingle_hashes, slices, text_or_empty, utf8, word_hashes
+from .common import columns, mix, save, shingle_hashes, slices, text_or_empty, utf8
+from .words import word_hashes
 
 _FACTORS = np.random.Generator(np.random.PCG64(31337)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,59 +103,50 @@ def _half(side: int, bands: int, rows: int):
                      for i in range(bands)])
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows: int, slack: float = 5.5) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows: int, slack: float = 5.5, rounds: int = 3) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect every component. `classes` is (id, mh)."""
     count, s = 2 * bands * rows, percent / 100
     least = math.floor(count * s - slack * math.sqrt(count * s * (1 - s)))
-    halves = classes.select("id", _half(0, bands, rows).alias("one"), _half(1, bands, rows).alias("two"))
+    halves = classes.select("id", "mh", _half(0, bands, rows).alias("one"), _half(1, bands, rows).alias("two"))
     near = _shared(halves.select("id", F.explode("one").alias("key")))
     halves = save(halves.join(_shared(halves.join(near, "id", "left_semi").select("id", F.explode("two").alias("key"))), "id", "left_semi"))
-    # further keys that put similar texts side by side in a bucket
-    tail = [F.get(h, (F.col("at") + n) % bands) for h, n in (("one", 1), ("two", 1), ("one", 2))]
     tables = (halves.select("id", "one", "two", F.posexplode("one").alias("at", "first"))
-              .select("id", "first", "at", *[t.alias(f"t{n}") for n, t in enumerate(tail)], F.posexplode("two").alias("to", "second"))
-              .select("id", F.xxhash64("at", "to", "first", "second").alias("key"), "t0", "t1", "t2"))
-    size = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    tables = save(tables.join(size, "key").withColumn("comp", F.col("id")))
-    found, sets, tried, turn = None, None, None, 0
-    while True:
-        # one bucket member after another is first, chosen by a hash that changes by the round
+              .select("id", "one", "two", "first", "at", F.posexplode("two").alias("to", "second"))
+              .select("id", F.xxhash64("at", "to", "first", "second").alias("key"),
+                      # further keys, other ones by the round, that put similar texts side by side in a bucket
+                      *[F.get(h, (F.col("at" if h == "one" else "to") + n + 1) % bands).alias(f"t{h}{n}") for n in range(rounds) for h in ("one", "two")]))
+    shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    tables = save(tables.join(shared, "key").withColumn("comp", F.col("id")))
+    # the ids grow with the corpus: never broadcast
+    sets = save(docs.join(halves.select("id").hint("merge"), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text")
+                .mapInArrow(_sets(k), "id bigint, items array<bigint>"))
+    agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+    both = F.size(F.array_intersect("p", "q"))
+    found = None
+    for turn in range(rounds):
+        # a bucket's first class, by a hash that changes by the round; once groups have formed, each class's neighbour too
         order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), F.col("id"), F.col("comp"))
         first = (tables.groupBy("key").agg(F.min(order).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .filter("lo <> hi").select("key", F.col("first.id").alias("f"), F.col("first.comp").alias("fc")))
-        open_rows = tables.join(first, "key")
+        tail = [f"t{h}{n % rounds}" for n in range(turn, turn + 2) for h in ("one", "two")]
+        open_rows = tables.select("key", "id", "comp", *tail).join(first, "key")
         pairs = open_rows.filter("comp <> fc").select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
-        if turn:       # the second look also takes neighbours
-            side = open_rows.repartitionByRange(F.col("key"), "t0", "t1", "t2", "id").sortWithinPartitions("key", "t0", "t1", "t2", "id")
+        if turn:
+            side = open_rows.repartitionByRange(F.col("key"), *tail, "id").sortWithinPartitions("key", *tail, "id")
             pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "a bigint, b bigint"))
         pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
-        pairs = save(pairs.join(classes.select(F.col("id").alias("a"), F.col("mh").alias("x")), "a")
-                     .join(classes.select(F.col("id").alias("b"), F.col("mh").alias("y")), "b")
-                     .select("a", "b", (agree >= least).alias("near")))
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        close = pairs.filter("near").select("a", "b")
-        ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-        if sets is not None:
-            ids = ids.join(sets, "id", "left_anti")
-        more = save(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "id bigint, items array<bigint>"))
-        sets = more if sets is None else sets.unionByName(more)
-        both = F.size(F.array_intersect("p", "q"))
+        close = (pairs.join(halves.select(F.col("id").alias("a"), F.col("mh").alias("x")), "a")
+                 .join(halves.select(F.col("id").alias("b"), F.col("mh").alias("y")), "b").filter(agree >= least).select("a", "b"))
         sure = save(close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
                     .join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
                     .filter(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b"))
-        new = sure.count()
         found = sure if found is None else found.unionByName(sure)
-        if turn and not new:
+        if turn == rounds - 1 or sure.isEmpty():
             return found
-        if new:
-            comp = components(found)
-            before, tables = tables, save(tables.drop("comp").join(
-                comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-            drop_saved(before)
-        turn += 1
+        comp = components(found)
+        tables = save(tables.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
+                      .withColumn("comp", F.coalesce("comp", "id")))
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 10, rows: int = 3) -> DataFrame:
