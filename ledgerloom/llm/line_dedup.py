@@ -14,10 +14,10 @@ What passes is confirmed on the full sets.
 
 A bucket is a stream in order of the lines. In the first round every line names the earlier line that the bitmap says is nearest, so
 a bucket gives as many pairs as it has rows; confirmed ones settle most lines. In the second round the lines that are still there and had
-further candidates meet all of them, so no match is lost, and matches of lines already removed are not listed. A bucket's pairs are weighed
-in blocks of bounded size and never leave the task.
+further candidates meet all of them in the buckets where they had them, so no match is lost, and matches of lines already removed are not
+listed. A bucket's pairs are weighed in blocks of bounded size and never leave the task.
 
-Which lines need full sets, and which tokens the second round is about, is told to the scans by bit tables of fixed size; a wrong hit in them
+Which lines need full sets, and which buckets the second round is about, is told to the scans by bit tables of fixed size; a wrong hit in them
 only sends a row too many. NULL texts are empty. Rows with a NULL doc_id are left alone. Identical repeated rows are one record.
 """
 from __future__ import annotations
@@ -28,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, mix, save, slices, text_or_empty, utf8, word_hashes
+from .common import columns, mix, save, slices, text_or_empty, utf8
+from .words import word_hashes
 
 FLAG_BITS = 26             # of the bit tables: 8 MB
 HASH_BITS = 48             # of a token's order value, below its rarity
@@ -50,8 +51,14 @@ class Lines:
         rarity = (np.log2(counts + 1) * 1000).astype(np.uint64)
         value = rarity[(h >> np.uint64(64 - bits)).astype(np.int64)] << np.uint64(HASH_BITS) | h & np.uint64((1 << HASH_BITS) - 1)
         line = np.repeat(np.arange(len(begin)), np.diff(first))
-        by = np.lexsort((value, line))
-        value, line = value[by], line[by]
+        # one sort of 64-bit keys; where what is cut off of the values could matter, by both columns
+        cut = np.uint64(len(begin).bit_length())
+        key = (line.astype(np.uint64) << np.uint64(64) - cut) | value >> cut
+        by = np.argsort(key)
+        key, value, line = key[by], value[by], line[by]
+        if ((key[1:] == key[:-1]) & (value[1:] != value[:-1])).any():
+            by = np.lexsort((value, line))
+            value, line = value[by], line[by]
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
         value, line = value[fresh], line[fresh]
@@ -143,17 +150,31 @@ def _buckets(counts, least: int, tokens=None, ids=None):
                 maps = lines.bitmaps()
                 asks = flagged(lines.one[line], own) if own is not None else np.ones(len(line), bool)
                 place = (at - lines.start[line]).astype(np.int64)
-                yield _batch(["token", "id", "doc_id", "number", "shape", "b0", "b1"], lines.value[at], lines.one[line], doc_id[lines.doc[line]],
-                             lines.number[line].astype(np.int64), asks.astype(np.int64) << 62 | lines.size[line].astype(np.int64) << 32 | place, maps[line, 0], maps[line, 1])
+                out = _batch(ROW_NAMES, lines.value[at], lines.one[line], doc_id[lines.doc[line]], lines.number[line].astype(np.int64),
+                             asks.astype(np.int64) << 62 | lines.size[line].astype(np.int64) << 32 | place, maps[line, 0], maps[line, 1])
+                if some is not None:       # few rows: their full sets come along
+                    sets = [lines.value[a:b].view(np.int64) for a, b in zip(lines.start[line], lines.start[line + 1])]
+                    out = pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.list_(pa.int64()))], names=[*ROW_NAMES, "items"])
+                yield out
     return run
 
 
-BUCKET_ROWS = "token bigint, id bigint, doc_id bigint, number bigint, shape bigint, b0 bigint, b1 bigint"
+PAIR_NAMES = ["id", "other", "token", "doc_id", "number"]
+PAIRS = "id bigint, other bigint, token bigint, doc_id bigint, number bigint"
+ROW_NAMES = ["token", "id", "doc_id", "number", "shape", "b0", "b1"]
+BUCKET_ROWS = ", ".join(f"{n} bigint" for n in ROW_NAMES)
 
 
 def _candidates(everything: bool):
-    """Pairs (id, with an earlier line's id) within buckets: the nearest by the bitmaps, or all for lines that ask."""
-    names = ["token", "id", "shape", "b0", "b1"]
+    """Pairs (id, an earlier line's id) within buckets. First round: the nearest by the bitmaps, and the token with place of the line if
+    there were more. Second round, for lines that ask: all whose full sets are similar."""
+    names = [*ROW_NAMES, "items"] if everything else ROW_NAMES
+
+    def similar(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = np.fromiter((9 * len(np.intersect1d(c["items"][i], c["items"][j], assume_unique=True)) >= 4 * (len(c["items"][i]) + len(c["items"][j]))
+                          for i, j in zip(x.tolist(), y.tolist())), bool, len(x))
+        x, y = x[ok], y[ok]
+        yield _batch(PAIR_NAMES, c["id"][y], c["id"][x], c["token"][y], c["doc_id"][y], c["number"][y])
 
     def weigh(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         token = c["token"]
@@ -181,19 +202,27 @@ def _candidates(everything: bool):
             passes = ((c["id"][x] != c["id"][y]) & (4 * np.maximum(n, m) <= 5 * np.minimum(n, m)) & ((n + m - apart) // 2 >= need)
                       & (np.minimum(n - place[x], m - place[y]) + np.minimum(place[x], place[y]) >= need))
             if everything:
-                yield _batch(["id", "other", "more"], c["id"][y[passes]], c["id"][x[passes]], np.zeros(passes.sum(), bool))
+                yield from similar(c, x[passes], y[passes])
                 continue
             score = np.where(passes, apart << 40 | np.arange(len(x)) - np.repeat(first, r), np.iinfo(np.int64).max)
             best = np.minimum.reduceat(score, first)
-            many = np.add.reduceat(passes.astype(np.int64), first) > 1
             ok = best < np.iinfo(np.int64).max
+            many = (np.add.reduceat(passes.astype(np.int64), first) > 1)[ok]
             chosen = (rows - r + (best & ((1 << 40) - 1)))[ok]
-            yield _batch(["id", "other", "more"], c["id"][rows[ok]], c["id"][chosen], many[ok])
+            rows = rows[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c["id"][rows]), pa.array(c["id"][chosen]), *(pa.array(c[k][rows], mask=~many) for k in ("token", "doc_id", "number"))],
+                                             names=PAIR_NAMES)
+
+    def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {k: batch.column(k).to_numpy() for k in ROW_NAMES}
+        if everything:
+            out["items"] = batch.column("items").to_numpy(zero_copy_only=False)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            now = {k: batch.column(k).to_numpy() for k in names}
+            now = columns_of(batch)
             if not len(now["token"]):
                 continue
             change = np.flatnonzero(now["token"] != now["token"][-1])
@@ -234,7 +263,7 @@ def _sets(counts, least: int, ids):
 SET_ROWS = "doc_id bigint, of_text bigint, line int, id bigint, id2 bigint, items array<bigint>"
 
 
-def removed_lines(docs: DataFrame, least: int = 5, bits: int = 19) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = 5, bits: int = 18) -> DataFrame:
     """(doc_id, of_text, removed): the numbers, from 0, of the lines that go, for rows that lose any."""
     spark = docs.sparkSession
     text = text_or_empty()
@@ -243,48 +272,37 @@ def removed_lines(docs: DataFrame, least: int = 5, bits: int = 19) -> DataFrame:
     counts = send(token_counts_by_bucket(d.select("text"), bits))
 
     def meet(tokens=None, ids=None):
-        rows = d.select("doc_id", "text").mapInArrow(_buckets(counts, least, tokens, ids), BUCKET_ROWS)
+        rows = d.select("doc_id", "text").mapInArrow(_buckets(counts, least, tokens, ids), BUCKET_ROWS + (", items array<bigint>" if tokens else ""))
         rows = rows.repartition(F.col("token")).sortWithinPartitions("token", "doc_id", "number", "id")
-        pairs = rows.mapInArrow(_candidates(tokens is not None), "id bigint, other bigint, more boolean")
-        return save(pairs.groupBy("id", "other").agg(F.max("more").alias("more")))
-
-    def confirm(pairs, sets):
-        both = F.size(F.array_intersect("p", "q"))
-        return (pairs.join(sets.select("id", F.col("items").alias("p")), "id").join(sets.select(F.col("id").alias("other"), F.col("items").alias("q")), "other")
-                .filter(9 * both >= 4 * (F.size("p") + F.size("q"))).select("id", "other"))
-
-    def full(ids):
-        return save(d.mapInArrow(_sets(counts, least, send(flags(ids, "id"))), SET_ROWS))
-
-    def sets_of(rows):
-        return rows.filter(F.size("items") > 0).groupBy("id").agg(F.first("items").alias("items"))
+        return rows.mapInArrow(_candidates(tokens is not None), PAIRS)
 
     def ends(pairs):
         return pairs.select("id").unionByName(pairs.select(F.col("other").alias("id")))
 
-    pairs = meet()
-    lines = full(ends(pairs))
+    saw_more = F.when(F.col("token").isNotNull(), F.struct("doc_id", "number", "token"))
+    pairs = save(meet().groupBy("id", "other").agg(F.collect_set(saw_more).alias("more")))
+    lines = save(d.mapInArrow(_sets(counts, least, send(flags(ends(pairs), "id"))), SET_ROWS))
     classes = lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line", "of_text")).alias("first"), F.count(F.lit(1)).alias("n"))
-    sets = save(sets_of(lines).join(ends(pairs).distinct(), "id", "left_semi"))
+    sets = lines.filter(F.size("items") > 0).groupBy("id").agg(F.first("items").alias("items")).join(ends(pairs).distinct(), "id", "left_semi")
+    sets = save(sets)
 
     def losers(similar):
-        at = classes.select("id", "first").join(ends(similar).distinct(), "id", "left_semi")
-        at = at.groupBy("id").agg(F.min("first").alias("first"))
+        """Of each pair the line that comes later."""
+        at = classes.select("id", "first").join(ends(similar).distinct(), "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
         met = similar.join(at.withColumnRenamed("first", "f1"), "id").join(at.select(F.col("id").alias("other"), F.col("first").alias("f2")), "other")
         later = F.struct("f1.doc_id", "f1.line", "id") > F.struct(F.col("f2.doc_id"), F.col("f2.line"), F.col("other").alias("id"))
         return met.select(F.when(later, F.col("id")).otherwise(F.col("other")).alias("id")).distinct()
 
-    gone = save(losers(confirm(pairs, sets)))
-    asking = save(pairs.filter("more").select("id").distinct().join(gone, "id", "left_anti"))
-    if asking.limit(1).count():
-        n = F.size("items")
-        prefix = F.slice("items", 1, n - F.ceil(n * 4 / 5).cast("int") + 1)
-        tokens = sets.join(asking, "id").select(F.explode(prefix).alias("token")).distinct()
-        further = meet(send(flags(tokens, "token")), send(flags(asking, "id"))).join(asking, "id", "left_semi")
-        further = further.join(pairs.select("id", "other"), ["id", "other"], "left_anti")
-        lacking = ends(further).distinct().join(sets, "id", "left_anti")
-        more = sets_of(full(lacking)).join(lacking, "id", "left_semi").select("id", "items")
-        gone = gone.unionByName(losers(confirm(further, save(sets.unionByName(more))))).distinct()
+    both = F.size(F.array_intersect("p", "q"))
+    confirmed = (pairs.join(sets.select("id", F.col("items").alias("p")), "id").join(sets.select(F.col("id").alias("other"), F.col("items").alias("q")), "other")
+                 .filter(9 * both >= 4 * (F.size("p") + F.size("q"))).select("id", "other"))
+    gone = save(losers(confirmed))
+    # a line asks on where it stays and its first occurrence, not a later copy of it, saw more candidates
+    saw = pairs.filter(F.size("more") > 0).select("id", F.explode("more").alias("m")).select("id", "m.*").join(gone, "id", "left_anti")
+    asking = save(saw.join(classes.select("id", "first"), "id").filter("doc_id = first.doc_id AND number = first.line").select("id", "token").distinct())
+    if not asking.isEmpty():
+        similar = meet(send(flags(asking, "token")), send(flags(asking, "id"))).select("id", "other").distinct()
+        gone = gone.unionByName(losers(save(similar))).distinct()
     hits = classes.join(gone.withColumn("near", F.lit(True)), "id", "left").filter("near OR n > 1").drop("n")
     return (lines.select("doc_id", "of_text", "line", "id", "id2").join(hits, ["id", "id2"])
             .filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line", "of_text") != F.col("first")))

@@ -135,9 +135,23 @@ def test_bucket_pairs_in_any_batches(everything):
     r = np.random.default_rng(9)
     n = 500
     token = np.sort(r.integers(0, 40, n))
-    c = {"token": token, "id": np.arange(n), "shape": np.int64(1) << 62 | r.integers(5, 9, n) << 32, "b0": r.integers(0, 4, n), "b1": np.zeros(n, np.int64)}
+    c = {"token": token, "id": np.arange(n), "doc_id": np.arange(n), "number": np.zeros(n, np.int64), "shape": np.int64(1) << 62 | r.integers(5, 9, n) << 32, "b0": r.integers(0, 4, n), "b1": np.zeros(n, np.int64)}
     batch = pa.RecordBatch.from_arrays([pa.array(v) for v in c.values()], names=list(c))
+    if everything:
+        batch = batch.append_column("items", pa.array([sorted({int(x) for x in r.integers(0, 3, 6)}) for _ in range(n)], pa.list_(pa.int64())))
     run = line_dedup._candidates(everything)
-    whole = sorted(x for b in run([batch]) for x in zip(*(b.column(k).to_pylist() for k in ("id", "other", "more"))))
-    parts = sorted(x for b in run([batch.slice(i, 37) for i in range(0, n, 37)]) for x in zip(*(b.column(k).to_pylist() for k in ("id", "other", "more"))))
+    key = lambda v: tuple(-1 if x is None else x for x in v)
+    whole = sorted((x for b in run([batch]) for x in zip(*(b.column(k).to_pylist() for k in line_dedup.PAIR_NAMES))), key=key)
+    parts = sorted((x for b in run([batch.slice(i, 37) for i in range(0, n, 37)]) for x in zip(*(b.column(k).to_pylist() for k in line_dedup.PAIR_NAMES))), key=key)
     assert whole == parts and len(whole) > 100
+
+
+def test_words_as_numbers():
+    import pyarrow as pa
+    from ledgerloom.llm.common import utf8
+    from ledgerloom.llm.words import word_hashes
+    texts = ["a b  c a", None, "", " b\ta ", "B", "long" * 5 + " " + "long" * 5 + "x", "x" * 8 + " " + "x" * 9, "ab", "a"]
+    h, first = word_hashes(*utf8(pa.array(texts)), lower=True)
+    words = [w for t in texts for w in split(t)]
+    assert first.tolist() == np.concatenate([[0], np.cumsum([len(split(t)) for t in texts])]).tolist()
+    assert len({(w, int(x)) for w, x in zip(words, h)}) == len(set(words)) == len(set(h.tolist()))
