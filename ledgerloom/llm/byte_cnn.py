@@ -54,9 +54,9 @@ class Net:
         """Byte windows over all of one text, and a last column that is 1 where a window repeats. Every byte is in two windows or
         more, except next to the ends."""
         count = max(1, -(-max(len(raw) - WIDTH, 0) // STRIDE) + 1)
-        padded = np.full((count - 1) * STRIDE + WIDTH, 256, np.int32)
+        padded = np.full((count - 1) * STRIDE + WIDTH, 256, np.int16)
         padded[:len(raw)] = raw
-        out = np.zeros((count, WIDTH + 1), np.int32)
+        out = np.zeros((count, WIDTH + 1), np.int16)
         out[:, :WIDTH] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STRIDE]
         if len(raw) > WIDTH:       # eight bytes as one number, at every position
             words = np.ndarray((len(raw) - WIDTH + 1,), "<u8", np.ascontiguousarray(raw), strides=(1,))

@@ -111,7 +111,7 @@ def _times(items: Items, right: np.ndarray):
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 total += gram(items, right, *words_of(part.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["m"])
     return run
 
 
@@ -148,8 +148,8 @@ def fit(d: DataFrame, items: Items, rank: int, fit_passages: int, seed: int = 5)
     share = max(1.0, min(fit_passages, n) / len(items.words))
     for _ in range(2):
         total = share * gram_of_items(items, basis, *own)
-        for r in sample.mapInArrow(_times(items, basis), "m binary").collect():      # one small matrix from each of 8 tasks
-            total += np.frombuffer(r["m"]).reshape(basis.shape)
+        for r in sample.mapInArrow(_times(items, basis), "m binary").toLocalIterator():      # one small matrix from each of 8 tasks, one by one
+            total += np.frombuffer(r["m"], np.float32).reshape(basis.shape)
         basis, _ = np.linalg.qr(total)
     core = basis.T @ total
     value, turn = np.linalg.eigh((core + core.T) / 2)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 
+import numpy as np
 import regex
 from tokenizers import Regex, normalizers
 
@@ -106,16 +107,12 @@ def merges(path: str) -> Merges:
 @functools.lru_cache(maxsize=None)
 def ranges(name: str) -> tuple[tuple[int, int], ...]:
     """Code points of a class such as \\p{L} as the tokenizers library knows it (Unicode versions differ), as ranges."""
-    known = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    rest = normalizers.Replace(Regex(name + "+"), "").normalize_str(known)
-    inside = sorted(set(map(ord, known)) - set(map(ord, rest)))
-    out: list[list[int]] = []
-    for c in inside:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return tuple((a, b) for a, b in out)
+    known = np.delete(np.arange(0x110000, dtype="<u4"), np.arange(0xD800, 0xE000))
+    rest = normalizers.Replace(Regex(name + "+"), "").normalize_str(known.tobytes().decode("utf-32-le"))
+    inside = np.setdiff1d(known, np.frombuffer(rest.encode("utf-32-le"), "<u4"), assume_unique=True)
+    new = np.flatnonzero(np.diff(inside, prepend=inside[0]) != 1)
+    last = np.append(new[1:] - 1, len(inside) - 1)
+    return tuple(zip(inside[new].tolist(), inside[last].tolist()))
 
 
 def in_brackets(found: tuple[tuple[int, int], ...]) -> str:
