@@ -6,10 +6,12 @@ of similarity s a table agrees with probability s ** (2 * rows), and some table
 
 1. Texts with equal shingle sets form a class (128-bit signature), named by its smallest doc_id. Only classes go on.
 2. Classes whose keys are alone in either collection can't share a table and are left out before tables are formed.
-3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most, never all pairs of a bucket. Where
-   buckets still hold several components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other
-   first classes and with their neighbours in the order of further keys; pairs that are connected already are left out. A pair at the
-   threshold meets in dozens of tables, each with its own order.
+3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most. Where buckets still hold several
+   components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other first classes and with their
+   neighbours in the order of further keys; pairs that are connected already are left out.
+   Buckets that stay open are settled exactly: of small ones (`SMALL` rows) all pairs of different components are listed; larger ones
+   that share classes form a group, whose rows are dealt into blocks, and a task compares two blocks by size, minhashes and full sets.
+   Every two classes of a bucket are compared or connected in the end, so `rounds` decides the speed only.
 4. Candidates whose 2 * bands * rows minhashes agree far too rarely for the threshold are dropped (`slack` standard deviations), the
    others are confirmed on the full shingle sets. Links give components by star contractions.
 
@@ -91,6 +93,86 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+SMALL = 8                  # rows of an open bucket all of whose pairs are listed
+BLOCK_ROWS = 256           # rows of a block of a larger one
+BLOCK_ITEMS = 1 << 20      # and shingles
+
+
+def _between(percent: int, least: int):
+    """Links that connect different components of two blocks; rows come sorted by (g, p, q), the group and its two blocks."""
+    def settle(unit: pa.Table) -> pa.RecordBatch:
+        unit = unit.combine_chunks()
+        block, node, group = (unit.column(c).to_numpy() for c in ("block", "id", "comp"))
+        items = unit.column("items").combine_chunks()
+        size = items.value_lengths().to_numpy().astype(np.int64)
+        start = np.cumsum(size) - size
+        mh = unit.column("mh").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        code = np.unique(items.flatten().to_numpy(), return_inverse=True)[1]
+        mine = np.zeros(len(code) + 1, bool)
+        top = np.unique(group, return_inverse=True)[1]
+        one_block = unit.column("p")[0] == unit.column("q")[0]
+        a, b = [], []
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
+            ok = (top[j] != top[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
+            j = j[ok if one_block else ok & (block[j] != block[i])]
+            j = j[(mh[j] == mh[i]).sum(1) >= least]
+            own = code[start[i]:start[i] + size[i]]
+            mine[own] = True
+            part = np.cumsum(size[j]) >> 22       # so that long texts are not read together
+            for k in np.unique(part):
+                x = j[part == k]
+                first = np.cumsum(size[x]) - size[x]
+                both = np.add.reduceat(mine[code[np.repeat(start[x] - first, size[x]) + np.arange(size[x].sum())]].astype(np.int64), first)
+                for y in x[100 * both >= percent * (size[x] + size[i] - both)]:
+                    if top[y] != top[i]:
+                        top[top == top[y]] = top[i]
+                        a.append(min(node[i], node[y]))
+                        b.append(max(node[i], node[y]))
+            mine[own] = False
+        return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in ("g", "p", "q")], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in ("g", "p", "q")):
+                yield settle(pa.Table.from_batches(held))
+                held = []
+            for x, y in zip(cuts, cuts[1:]):
+                held.append(batch.slice(x, y - x))
+                if y < batch.num_rows:
+                    yield settle(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield settle(pa.Table.from_batches(held))
+    return run
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """All pairs of different components of small buckets, but those with the first class, which the first round has looked at."""
+    met = rows.filter((F.col("n") <= SMALL) & (F.col("id") != F.col("f"))).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(
+        F.filter("m", lambda y: (y["id"] > x["id"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return met.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _compared(rows: DataFrame, halves: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links between components of larger buckets, by blocks of the classes that such buckets connect."""
+    large = rows.filter(F.col("n") > SMALL)
+    group = components(large.filter("id <> f").select(F.col("f").alias("a"), F.col("id").alias("b")))
+    members = save(large.select("id", "comp").distinct().join(group.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
+                   .join(halves.select("id", "mh"), "id").join(sets, "id"))
+    blocks = members.groupBy("g").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.size("items")) / BLOCK_ITEMS)).alias("blocks"))
+    dealt = (members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), "blocks"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+             .select("g", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "id", "comp", "mh", "items"))
+    return dealt.repartition(F.col("g"), F.col("p"), F.col("q")).sortWithinPartitions("g", "p", "q").mapInArrow(_between(percent, least), "a bigint, b bigint")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Ids that have a key with another id: `keys` is (id, key)."""
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -122,6 +204,14 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
                 .mapInArrow(_sets(k), "id bigint, items array<bigint>"))
     agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
     both = F.size(F.array_intersect("p", "q"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        close = (pairs.join(halves.select(F.col("id").alias("a"), F.col("mh").alias("x")), "a")
+                 .join(halves.select(F.col("id").alias("b"), F.col("mh").alias("y")), "b").filter(agree >= least).select("a", "b"))
+        return save(close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
+                    .join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
+                    .filter(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b"))
+
     found = None
     for turn in range(rounds):
         # a bucket's first class, by a hash that changes by the round; once groups have formed, each class's neighbour too
@@ -134,19 +224,19 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
         if turn:
             side = open_rows.repartitionByRange(F.col("key"), *tail, "id").sortWithinPartitions("key", *tail, "id")
             pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "a bigint, b bigint"))
-        pairs = pairs.distinct()
-        close = (pairs.join(halves.select(F.col("id").alias("a"), F.col("mh").alias("x")), "a")
-                 .join(halves.select(F.col("id").alias("b"), F.col("mh").alias("y")), "b").filter(agree >= least).select("a", "b"))
-        sure = save(close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
-                    .join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
-                    .filter(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b"))
+        sure = confirmed(pairs.distinct())
         found = sure if found is None else found.unionByName(sure)
-        if turn == rounds - 1 or sure.isEmpty():
-            return found
+        if sure.isEmpty():
+            break
         comp = components(found)
-        tables = save(tables.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left")
-                      .withColumn("comp", F.coalesce("comp", "id")))
-    return found
+        tables = tables.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        if turn < rounds - 1:
+            tables = save(tables)
+    still = (tables.groupBy("key").agg(F.min("id").alias("f"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("n > 2 AND lo <> hi").select("key", "f", "n"))
+    rows_left = save(tables.select("key", "id", "comp").join(still, "key"))
+    found = found.unionByName(confirmed(_listed(rows_left)))
+    return found.unionByName(save(_compared(rows_left, halves, sets, percent, least)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 10, rows: int = 3) -> DataFrame:

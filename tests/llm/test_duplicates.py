@@ -3,6 +3,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import line_dedup, near_dup
@@ -64,6 +65,31 @@ def test_a_large_group_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
 
 
+def test_buckets_that_leaders_and_neighbours_do_not_settle(spark, monkeypatch):
+    """Pairs of near copies of one template, in a single table of small and large buckets: every similar pair of a bucket is linked."""
+    import random
+    rng = random.Random(15)
+    texts = []
+    for group, pairs in enumerate([40, 3, 3, 3, 3, 3]):
+        base = [f"g{group}w{k}" for k in range(90)]
+        for pair in range(pairs):
+            t = base[:70] + [f"g{group}p{pair}w{k}" for k in range(20)]
+            texts += [" ".join(t), " ".join(t[:-1] + [f"end{pair}"])]
+    rng.shuffle(texts)
+    sets = [set(near_dup.shingle_sets(pa.array([t]), 3).__next__().tolist()) for t in texts]
+    hashes = [tuple(near_dup.minhashes(np.array(sorted(s), np.uint64), 2).tolist()) for s in sets]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if hashes[i] == hashes[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                want[i] = want[j]
+    size = collections.Counter(hashes).values()
+    assert max(size) > 40 and any(3 <= n <= 8 for n in size) and len(set(want.values())) < len(texts) - 20
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 16, raising=False)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(plain(spark, *texts), bands=1, rows=1).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark).limit(0)).count() == 0
     r = near_dup.near_duplicates(plain(spark, None, "", "a")).orderBy("doc_id").collect()
