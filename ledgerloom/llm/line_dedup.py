@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join (operator 3).
 
-A line is the set of its words (A-Z as a-z); lines of fewer than `least` different words are left alone. A line goes if an earlier one,
-in order of doc_id and line number, has the same set or one of Jaccard similarity 0.8 or more.
+A line is the set of its words (A-Z as a-z); lines of fewer than `least` different words are left alone (the query sets 1: no line is). A
+line goes if an earlier one, in order of doc_id and line number, has the same set or one of Jaccard similarity 0.8 or more. Sets of up to
+three words can only match an equal set; they are grouped by their signature and take no part in the join.
 
 Tokens are ordered by rarity, then by hash. Rarity is read from a table of counts of fixed size (2 ** `bits` hash buckets), which is all
 that is broadcast for it: any one order for all lines makes the prefix filter exact, rarity only makes it selective. Two lines of n and
@@ -33,6 +34,7 @@ from .words import word_hashes
 
 FLAG_BITS = 26             # of the bit tables: 8 MB
 HASH_BITS = 48             # of a token's order value, below its rarity
+MEETS = 4                  # words from which a line can match another set than its own: 4 of 5 words are 0.8, 3 of 4 are not
 
 
 class Lines:
@@ -141,6 +143,7 @@ def _buckets(counts, least: int, tokens=None, ids=None):
                 doc_id = part.column("doc_id").to_numpy()
                 by = np.lexsort((lines.number, doc_id[lines.doc], lines.one))      # equal lines of a block: the first
                 once = by[np.concatenate([[True], lines.one[by][1:] != lines.one[by][:-1]])]
+                once = once[lines.size[once] >= MEETS]
                 at, line = lines.prefixes(once)
                 if some is not None:
                     hit = flagged(lines.value[at], some)

@@ -41,7 +41,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"), least=1)
 
 
 @query("op2_secrets", secrets.SQL)

@@ -131,6 +131,16 @@ def test_lines_against_all_pairs(spark, seed):
     assert line_dedup.dedup_report(d).count() == len(data)
 
 
+def test_the_query_takes_short_lines(spark, tmp_path):
+    from ledgerloom.llm.queries import QUERIES
+    texts = ["all rights reserved.\nhome\na b c d", "Home\nall rights reserved.\nhome page", "a b c d e\na b c\nd\n\n", "a b c x\nreserved. ALL rights\na b c d f g", "c b a\nhome\n\nx y\na b c"]
+    plain(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    want = brute_lines(list(enumerate(texts)), least=1)
+    assert got == {i: ",".join(map(str, want.get((i, t), []))) for i, t in enumerate(texts)}
+    assert want[1, texts[1]] == [0, 1] and want[2, texts[2]] == [0]
+
+
 def test_lines_of_a_large_group(spark):
     import random
     rng = random.Random(6)
