@@ -55,7 +55,7 @@ def _learned(langs: list[str], bits: int):
     return run
 
 
-def _likelihoods(table: np.ndarray, bits: int):
+def _likelihoods(table: np.ndarray, bits: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -63,8 +63,7 @@ def _likelihoods(table: np.ndarray, bits: int):
                 n = np.bincount(text, minlength=part.num_rows)
                 sums = np.stack([np.bincount(text, row[code], part.num_rows) for row in table], 1) / np.sqrt(np.maximum(n, 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(table)), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "declared", "suffix", "host", "domain")), lists],
-                                                 names=["doc_id", "declared", "suffix", "host", "domain", "text_log"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, "text_log"])
     return run
 
 
@@ -80,17 +79,18 @@ def _sum(*logs: Column) -> Column:
 
 
 def identify(rows: DataFrame, bits: int = 15) -> DataFrame:
-    """`rows` has doc_id, text, declared, suffix, host (any of the last four may be NULL).
-    Gives doc_id, lang, posterior, text_lang (by the text alone), declared."""
+    """`rows` has doc_id, text, declared, suffix, host (any of the last four may be NULL), and may have `kind`, which is passed on.
+    Gives doc_id, lang, posterior, text_lang (by the text alone), declared, and `kind` where there is one."""
+    kind = [c for c in rows.columns if c == "kind"]
     # the domain of www.a.example is a.example; a name without dots is its own
     domain = F.substring_index("host", ".", -2)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "declared", "suffix", "host", domain.alias("domain"))
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "declared", "suffix", "host", domain.alias("domain"), *kind)
     langs = [r[0] for r in rows.filter("declared IS NOT NULL").select("declared").distinct().orderBy("declared").limit(1001).collect()]
     if len(langs) > 1000:
         raise ValueError("over 1,000 declared languages: map them to codes first")
     if not langs:
         return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"),
-                           F.lit(None).cast("string").alias("text_lang"), "declared")
+                           F.lit(None).cast("string").alias("text_lang"), "declared", *kind)
     size = len(langs)
     names = F.array(*[F.lit(x) for x in langs])
     learn = rows.filter(F.col("declared").isNotNull() & ~held_out()).select("text", "declared")
@@ -100,7 +100,9 @@ def identify(rows: DataFrame, bits: int = 15) -> DataFrame:
     table = table.reshape(size, -1) + 0.5
     table = np.log(table / table.sum(1, keepdims=True))
 
-    d = save(rows.mapInArrow(_likelihoods(table, bits), "doc_id bigint, declared string, suffix string, host string, domain string, text_log array<double>")
+    keep = ["doc_id", "declared", "suffix", "host", "domain", *kind]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    d = save(rows.mapInArrow(_likelihoods(table, bits, keep), f"{schema}, text_log array<double>")
              .withColumn("own", _best(F.col("text_log"))))
 
     def counts(frame: DataFrame, *by: str) -> DataFrame:
@@ -126,7 +128,7 @@ def identify(rows: DataFrame, bits: int = 15) -> DataFrame:
     d = d.withColumn("logs", _sum(F.col("text_log"), F.transform("prior", lambda x: F.log(x)), F.coalesce("declared_log", flat), F.coalesce("suffix_log", flat)))
     return d.select("doc_id", F.get(names, _best(F.col("logs"))).alias("lang"),
                     (1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logs")))).alias("posterior"),
-                    F.get(names, "own").alias("text_lang"), "declared")
+                    F.get(names, "own").alias("text_lang"), "declared", *kind)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
@@ -144,3 +146,13 @@ def of_pages(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(c("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
     return pages.select(c("page_id").alias("doc_id"), text.alias("text"), first(c("html"), r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([a-z]+)""").alias("declared"),
                         F.nullif(F.substring_index(host, ".", -1), host).alias("suffix"), host.alias("host"))
+
+
+def identify_all(docs: DataFrame, pages: DataFrame, **options) -> DataFrame:
+    """Both tables as one table of evidence: doc_id (NULL for pages), lang, posterior, text_lang, declared, kind (document or page), page_id
+    (NULL for documents)."""
+    d, p = of_documents(docs), of_pages(pages)
+    own = lambda rows, kind: rows.withColumns({"doc_id": F.col("doc_id").cast("string"), "kind": F.lit(kind)})
+    found = identify(own(d, "document").unionByName(own(p, "page")), **options)
+    of = lambda kind, rows: F.when(F.col("kind") == kind, F.col("doc_id").cast(rows.schema["doc_id"].dataType))
+    return found.select(of("document", d).alias("doc_id"), "lang", "posterior", "text_lang", "declared", "kind", of("page", p).alias("page_id"))

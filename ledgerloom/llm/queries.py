@@ -71,4 +71,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(language_id.of_documents(table(spark, sf_dir, "documents")))
+    return language_id.identify_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))

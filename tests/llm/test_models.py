@@ -172,6 +172,17 @@ def test_host_and_markup_decide_where_the_text_cannot(spark):
     assert got[500] == "de" and got[501] == "fr" and got[502] in TEXT and len(got) == 183
 
 
+def test_the_query_identifies_pages_and_documents(spark):
+    from ledgerloom.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["op7_language_id"](spark, sf).collect()
+    for kind, name, key in (("document", "documents", "doc_id"), ("page", "pages", "page_id")):
+        want = [r[0] for r in spark.read.parquet(f"{sf}/{name}.parquet").select(key).collect()]
+        assert sorted((r[key] for r in got if r.kind == kind), key=str) == sorted(want, key=str)
+    pages = [r for r in got if r.kind == "page" and r.declared]
+    assert pages and all(r.doc_id is None for r in pages) and np.mean([r.lang == r.declared for r in pages]) > 0.8
+
+
 def test_trigrams_do_not_cross_texts():
     from ledgerloom.llm.common import utf8
     code, text = language_id.trigrams(*utf8(pa.array(["abc", "d", None, "efgh"])), 15)
