@@ -7,8 +7,8 @@
    most `fit_passages` passages of documents, chosen by hash; everything else covers all documents.
 3. All passages of all documents (windows of about an item's length that overlap by half) are projected and compared with all items by cosine.
 4. Near items (cosine `near` or more) are compared word by word with the passage and its surroundings: a longest common subsequence of
-   `same` of the item's words is a leak; from `paraphrase` on it is one if the item's answer is there as well (its `answer` column, or else its
-   last sentence).
+   `same` of the item's words is a leak; from `paraphrase` on it is one if the item's answer (its `answer` column) is there as well. An item
+   without an answer has nothing apart from its words that could be asked for: the subsequence alone decides.
 
 Documents never meet each other and nothing is shuffled: a passage is judged in the task that reads it. Items are a query set, taken in
 blocks of `block_items`, each of which is broadcast as a few MB; a larger benchmark means more passes. Items of under five words are not
@@ -81,8 +81,7 @@ def read_items(rows: list) -> Items:
     """`rows` have item_id, text and answer (or NULL)."""
     texts = [r["text"] or "" for r in rows]
     h, first = words_of(pa.array(texts, pa.string()))
-    last = [r["answer"] or t.rstrip(" .?!\n\t").replace("?", ".").replace("!", ".").rsplit(".", 1)[-1] for r, t in zip(rows, texts)]
-    a, a_first = words_of(pa.array(last, pa.string()))
+    a, a_first = words_of(pa.array([r["answer"] or "" for r in rows], pa.string()))
     use = [i for i in range(len(rows)) if first[i + 1] - first[i] >= LEAST_WORDS]
     words = [h[first[i]:first[i + 1]] for i in use]
     return Items([rows[i]["item_id"] for i in use], words, [a[a_first[i]:a_first[i + 1]] for i in use],
@@ -218,7 +217,7 @@ def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same
             b = min(first[d] + (end[i] - begin[d]) * BLOCK, first[d + 1])
             around = h[max(first[d], a - n // 2):min(first[d + 1], b + n // 2)].tolist()
             share = common(words[0], n, around) / n
-            if share >= same or share >= paraphrase and words[2] and common(words[1], words[2], around) >= 0.9 * words[2]:
+            if share >= same or share >= paraphrase and common(words[1], words[2], around) >= 0.9 * words[2]:
                 found[d][item] = max(share, found[d].get(item, 0.0))
     return found
 

@@ -63,6 +63,32 @@ def test_leaks_found_and_clean_texts_left(spark, leaks):
         assert i % 4 or str(i // 4 % 30) in got[i].items.split(",")
 
 
+def changed(rng, item, share):
+    """The item with so many words replaced, evenly, that `share` of them stay."""
+    w = item.split(" ")
+    keep = -(-len(w) * share // 1)
+    return " ".join(x if k * keep // len(w) != (k + 1) * keep // len(w) else f"other{rng.randrange(9999)}" for k, x in enumerate(w))
+
+
+@pytest.mark.parametrize("one_sentence", [True, False])
+def test_paraphrases_without_an_answer_column(spark, one_sentence):
+    rng = random.Random(13)
+    items = [words(rng, n) + ("" if one_sentence else ". " + words(rng, n) + ".") for n in range(16, 32)]
+    shares = [0.62, 0.7, 0.75, 0.8]
+    texts = [f"{words(rng, 60)} {changed(rng, items[i], s)} {words(rng, 60)}" for i in range(16) for s in shares] + [words(rng, 200) for _ in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: r.items for r in decontaminate.leak_report(plain(spark, *texts), bench).collect()}
+    assert got == {i: str(i // 4) if i < 64 else "" for i in range(len(texts))}
+
+
+def test_an_answer_column_is_asked_for(spark):
+    rng = random.Random(14)
+    item = words(rng, 24)
+    bench = spark.createDataFrame([(0, item, "forty two")], "item_id bigint, text string, answer string")
+    texts = [f"{words(rng, 30)} {changed(rng, item, 0.7)} {end} {words(rng, 30)}" for end in ("forty two", "forty three")]
+    assert [r.contaminated for r in decontaminate.leak_report(plain(spark, *texts), bench).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_items_in_blocks_and_odd_tables(spark, leaks):
     bench, texts = leaks
     d = plain(spark, *texts[:40])
