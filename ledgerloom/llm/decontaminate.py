@@ -2,23 +2,23 @@
 
 1. Words (letters and digits, A-Z as a-z) that benchmark items hold make the vocabulary. Their frequencies are counted over the passages
    (blocks of 16 words) of all documents.
-2. A randomised singular value decomposition of the TF-IDF matrix of passages gives the latent space: tasks multiply their passages with a
-   random matrix and back, the small sums are orthogonalised, and one more round sharpens the space. It is fitted on the items and on at
-   most `fit_passages` passages of documents, chosen by hash; everything else covers all documents.
+2. A randomised singular value decomposition of the TF-IDF matrix of all passages of all documents and of the items gives the latent space.
+   The scan that counts the frequencies also counts, per task, how often two vocabulary words share a passage (AᵀA before weights), and
+   writes these tables; a round multiplies each of them with a random matrix and adds the products up, and one more round sharpens the space.
 3. All passages of all documents (windows of about an item's length that overlap by half) are projected and compared with all items by cosine.
 4. Near items (cosine `near` or more) are compared word by word with the passage and its surroundings: a longest common subsequence of
    `same` of the item's words is a leak; from `paraphrase` on it is one if the item's answer (its `answer` column) is there as well. An item
    without an answer has nothing apart from its words that could be asked for: the subsequence alone decides.
 
 Documents never meet each other and nothing is shuffled: a passage is judged in the task that reads it. Items are a query set, taken in
-blocks of `block_items`, each of which is broadcast as a few MB; a larger benchmark means more passes. Items of under five words are not
-searched for. NULL or empty texts and an empty benchmark give no leaks. Repeated item_ids are items of their own with one name; NULL doc_ids
+blocks of `block_items`, each of which is broadcast as a few MB; a larger benchmark means more passes. Items of under five words, for which
+there is no latent space to speak of, leak where their words stand one after the other. NULL or empty texts and an empty benchmark give no leaks. Repeated item_ids are items of their own with one name; NULL doc_ids
 are kept.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from .words import word_hashes
 BLOCK = 16                 # words; passages are two or four blocks
 SLICE_BYTES = 256 << 10
 LEAST_WORDS = 5
+DENSE = 4096               # words of a vocabulary whose square is counted in a dense table (128 MB)
 _plain = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 
 
@@ -59,7 +60,7 @@ def passages(begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 @dataclass
 class Items:
-    """One block of benchmark items, as tasks get it."""
+    """One block of benchmark items, as tasks get it. `ids` has the items of `words`, then those of `short_words`, of under five words."""
 
     ids: list
     words: list[np.ndarray]
@@ -69,6 +70,7 @@ class Items:
     space: np.ndarray | None = None    # weighted term vectors
     vectors: np.ndarray | None = None  # of the items, of length 1
     sizes: np.ndarray | None = None    # blocks of the passages that an item is compared with
+    short_words: list[np.ndarray] = field(default_factory=list)
 
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are in the vocabulary, and their numbers."""
@@ -84,13 +86,50 @@ def read_items(rows: list) -> Items:
     a, a_first = words_of(pa.array([r["answer"] or "" for r in rows], pa.string()))
     use = [i for i in range(len(rows)) if first[i + 1] - first[i] >= LEAST_WORDS]
     words = [h[first[i]:first[i + 1]] for i in use]
-    return Items([rows[i]["item_id"] for i in use], words, [a[a_first[i]:a_first[i + 1]] for i in use],
-                 np.unique(np.concatenate(words)) if use else np.zeros(0, np.uint64))
+    short = [i for i in range(len(rows)) if 0 < first[i + 1] - first[i] < LEAST_WORDS]
+    return Items([rows[i]["item_id"] for i in use + short], words, [a[a_first[i]:a_first[i + 1]] for i in use],
+                 np.unique(np.concatenate(words)) if use else np.zeros(0, np.uint64), short_words=[h[first[i]:first[i + 1]] for i in short])
+
+
+class Together:
+    """How often two vocabulary words share a block: dense while the square of the vocabulary is small, else sorted cells."""
+
+    def __init__(self, size: int):
+        self.size, self.dense, self.held = size, np.zeros(size * size, np.int64) if size <= DENSE else None, []
+
+    def add(self, term: np.ndarray, block: np.ndarray) -> None:
+        cells = [term * self.size + term]
+        for lag in range(1, BLOCK):            # words of a block come one after the other
+            same = np.flatnonzero(block[lag:] == block[:-lag]) if len(term) > lag else np.zeros(0, np.int64)
+            if not len(same):
+                break
+            x, y = term[same], term[same + lag]
+            cells += [x * self.size + y, y * self.size + x]
+        cells = np.concatenate(cells)
+        if self.dense is not None:
+            np.add.at(self.dense, cells, 1)
+            return
+        self.held.append((cells, np.ones(len(cells), np.int64)))
+        if sum(len(c) for c, _ in self.held) > 1 << 23:
+            self.held = [self.counted()]
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.dense is not None:
+            at = np.flatnonzero(self.dense)
+            return at, self.dense[at]
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cell, n = (np.concatenate(c) for c in zip(*self.held))
+        by = np.argsort(cell)
+        cell, n = cell[by], n[by]
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        return cell[new], np.add.reduceat(n, new)
 
 
 def _frequencies(items: Items):
+    """One row per task: the number of blocks, and as bytes the blocks of each word and the cells of `Together` with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(items.vocabulary), np.int64), 0
+        df, n, together = np.zeros(len(items.vocabulary), np.int64), 0, Together(len(items.vocabulary))
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 h, first = words_of(part.column("text"))
@@ -98,57 +137,55 @@ def _frequencies(items: Items):
                 at, term = items.terms(h)
                 n += int(begin[-1])
                 df += np.bincount(np.unique(block[at] * len(df) + term) % len(df), minlength=len(df))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
+                together.add(term, block[at])
+        cell, count = together.counted()
+        yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([x.tobytes()], pa.binary()) for x in (df, cell, count))], names=["n", "df", "cell", "count"])
     return run
 
 
-def _times(items: Items, right: np.ndarray):
-    """AᵀA·right over a partition's blocks, as bytes."""
+def _times(weights: np.ndarray, right: np.ndarray):
+    """AᵀA·right over the blocks of each task that counted, summed, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(right.shape)
+        weighted = weights[:, None] * right
         for batch in batches:
-            for part in slices(batch, limit=SLICE_BYTES):
-                total += gram(items, right, *words_of(part.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["m"])
+            for r in batch.to_pylist():
+                cell, count = np.frombuffer(r["cell"], np.int64), np.frombuffer(r["count"], np.int64)
+                for a in range(0, len(cell), 1 << 16):      # cells are sorted: the rows of AᵀA are runs
+                    row, column = np.divmod(cell[a:a + (1 << 16)], len(weights))
+                    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    total[row[new]] += np.add.reduceat(count[a:a + (1 << 16), None] * weighted[column], new)
+        yield pa.RecordBatch.from_arrays([pa.array([(weights[:, None] * total).tobytes()], pa.binary())], names=["m"])
     return run
 
 
-def gram(items: Items, right: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    begin, block = blocks_of(first)
-    at, term = items.terms(h)
-    total = np.zeros(right.shape)
-    if not len(at):
-        return total
-    row = block[at]
-    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    w = items.weights[term][:, None]
-    left = np.add.reduceat(w * right[term], new)                 # A·right
-    each = w * np.repeat(left, np.diff(np.append(new, len(row))), 0)
-    by = np.argsort(term, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], term[by][1:] != term[by][:-1]]))
-    total[term[by][heads]] = np.add.reduceat(each[by], heads)    # Aᵀ of that
-    return total
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for m in batch.column("m"):
+            x = np.frombuffer(m.as_py())
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
 
-def fit(d: DataFrame, items: Items, rank: int, fit_passages: int, seed: int = 5) -> Items:
-    """Document frequencies over all of `d`, the latent space, and the items in it."""
-    counted = dict(d.mapInArrow(_frequencies(items), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
-    n = counted.pop(-1, 0)
-    df = np.zeros(len(items.vocabulary))
-    df[list(counted)] = list(counted.values())
+def fit(d: DataFrame, items: Items, rank: int, seed: int = 5) -> Items:
+    """Document frequencies and the latent space over all of `d`, and the items in it."""
+    counted = save(d.mapInArrow(_frequencies(items), "n bigint, df binary, cell binary, count binary"))
+    n, df = 0, np.zeros(len(items.vocabulary))
+    for r in counted.select("n", "df").toLocalIterator():
+        n, df = n + r["n"], df + np.frombuffer(r["df"], np.int64)
     items.weights = np.log((n + 1) / (df + 1)) + 0.1
-    sample = d.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 20)) < min(1.0, fit_passages / max(n, 1)) * (1 << 20))
-    sample = save(sample.repartition(8))
     wide = min(len(items.vocabulary), rank + 8)
     basis = np.random.Generator(np.random.PCG64(seed)).normal(size=(len(items.vocabulary), wide))
-    # the items count as much as the passages of the sample together
+    # the items count as much as all passages together
     own = np.concatenate(items.words), np.concatenate([[0], np.cumsum([len(w) for w in items.words])])
-    share = max(1.0, min(fit_passages, n) / len(items.words))
+    share = max(1.0, n / len(items.words))
     for _ in range(2):
         total = share * gram_of_items(items, basis, *own)
-        for r in sample.mapInArrow(_times(items, basis), "m binary").toLocalIterator():      # one small matrix from each of 8 tasks, one by one
-            total += np.frombuffer(r["m"], np.float32).reshape(basis.shape)
+        parts = counted.select("cell", "count").mapInArrow(_times(items.weights, basis), "m binary").repartition(8).mapInArrow(_summed, "m binary")
+        for r in parts.toLocalIterator():      # one small matrix from each of 8 tasks, one by one
+            total += np.frombuffer(r["m"]).reshape(basis.shape)
         basis, _ = np.linalg.qr(total)
     core = basis.T @ total
     value, turn = np.linalg.eigh((core + core.T) / 2)
@@ -192,6 +229,15 @@ def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same
     """Per row: item number -> share of the item's words that the text has in order."""
     h, first = words_of(part.column("text"))
     found: list[dict] = [{} for _ in range(part.num_rows)]
+    for k, w in enumerate(items.short_words):
+        at = np.flatnonzero(h[:len(h) - len(w) + 1] == w[0]) if len(h) >= len(w) else np.zeros(0, np.int64)
+        for j in range(1, len(w)):
+            at = at[h[at + j] == w[j]]
+        text = np.searchsorted(first, at, side="right") - 1
+        for d in np.unique(text[at + len(w) <= first[text + 1]]):
+            found[d][len(items.words) + k] = 1.0
+    if not items.words:
+        return found
     begin, block = blocks_of(first)
     at, term = items.terms(h)
     if not len(at):
@@ -235,8 +281,8 @@ def _searched(items: Items, near: float, same: float, paraphrase: float):
     return run
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], rank: int = 128, near: float = 0.45, same: float = 0.8, paraphrase: float = 0.6,
-           fit_passages: int = 50_000, block_items: int = 1000) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], rank: int = 128, near: float = 0.3, same: float = 0.8, paraphrase: float = 0.6,
+           block_items: int = 1000) -> DataFrame:
     """The columns `keep` of `docs` (text among them) as c0, c1, ..., then `items`, the item_ids that leak into a row, and `best`, the largest
     share of an item's words found in order."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -252,7 +298,7 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], rank: int = 1
         items = read_items(rows)
         if not items.ids:
             continue
-        run = _searched(fit(texts, items, rank, fit_passages), near, same, paraphrase)
+        run = _searched(fit(texts, items, rank) if items.words else items, near, same, paraphrase)
 
         def named(batches, run=run):
             yield from run(pa.RecordBatch.from_arrays(x.columns, names=["text" if i == place else f"c{i}" for i in range(x.num_columns)]) for x in batches)

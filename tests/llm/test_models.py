@@ -81,6 +81,47 @@ def test_paraphrases_without_an_answer_column(spark, one_sentence):
     assert got == {i: str(i // 4) if i < 64 else "" for i in range(len(texts))}
 
 
+def test_recall_of_candidates_against_all_windows(spark):
+    """At each share from 0.6 on, the cosine search finds nine in ten of what the longest common subsequence finds anywhere in the text."""
+    rng = random.Random(16)
+    items = [words(rng, rng.randint(16, 64), pool=60) for _ in range(40)]
+    shares = [0.6, 0.7, 0.8, 0.9, 1.0]
+    texts = [f"{words(rng, rng.randint(40, 200), pool=60)} {changed(rng, items[i], s)} {words(rng, 90, pool=60)}" for i in range(40) for s in shares]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: r.items.split(",") for r in decontaminate.leak_report(plain(spark, *texts), bench).collect()}
+    for k, share in enumerate(shares):
+        found = [str(i) in got[5 * i + k] for i in range(40)
+                 if brute_lcs(items[i].split(" "), texts[5 * i + k].split(" ")) >= 0.6 * len(items[i].split(" "))]
+        assert len(found) == 40 and np.mean(found) >= 0.9, (share, np.mean(found))
+
+
+def test_the_space_is_fitted_on_all_passages(spark):
+    rng = random.Random(17)
+    items = decontaminate.read_items([{"item_id": i, "text": words(rng, 30, pool=40), "answer": None} for i in range(5)])
+    texts = [words(rng, rng.randint(1, 70), pool=40) for _ in range(30)]
+    rows = [r for b in decontaminate._frequencies(items)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
+    size = len(items.vocabulary)
+    want, number = np.zeros((size, size)), {int(w): k for k, w in enumerate(items.vocabulary)}
+    for t in texts:
+        h, _ = decontaminate.words_of(pa.array([t]))
+        for a in range(0, len(h), decontaminate.BLOCK):
+            x = np.bincount([number[int(w)] for w in h[a:a + decontaminate.BLOCK] if int(w) in number], minlength=size)
+            want += np.outer(x, x)
+    got = np.zeros(size * size)
+    got[np.frombuffer(rows[0]["cell"], np.int64)] = np.frombuffer(rows[0]["count"], np.int64)
+    assert (got.reshape(size, size) == want).all()
+    together = decontaminate.Together(size)
+    together.dense = None
+    together.add(np.array([0, 1, 1, 2]), np.array([0, 0, 0, 1]))
+    assert dict(zip(*(x.tolist() for x in together.counted()))) == {0: 1, 1: 2, size: 2, size + 1: 4, 2 * size + 2: 1}
+
+
+def test_short_items_match_word_by_word(spark):
+    bench = spark.createDataFrame([(5, "one Two three"), (6, "lone"), (7, "")], "item_id bigint, text string")
+    got = [r.items for r in decontaminate.leak_report(plain(spark, "x one two, three y", "one two", "three a lone", "one two x three", None), bench).orderBy("doc_id").collect()]
+    assert got == ["5", "", "6", "", ""]
+
+
 def test_an_answer_column_is_asked_for(spark):
     rng = random.Random(14)
     item = words(rng, 24)
