@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import digests
 from .common import table
 from .token_counts import token_counts
-from . import byte_cnn, decontaminate, language_id, line_dedup, merkle, near_dup, quality_rules, secrets, sharding
+from . import byte_cnn, decontaminate, language_id, line_dedup, merkle, near_dup, quality_rules, secrets, sharding, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_sevenths())
+
+
+@query("op13_spelling_variants", spelling.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
