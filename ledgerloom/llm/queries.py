@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import digests
 from .common import table
 from .token_counts import token_counts
-from . import byte_cnn, decontaminate, language_id, line_dedup, merkle, near_dup, quality_rules, secrets, sharding, spelling
+from . import byte_cnn, decontaminate, language_id, line_dedup, merkle, near_dup, quality_rules, secrets, sharding, spelling, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_sevenths())
 
 
+@query("op12_vector_dedup", vector_dedup.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_spelling_variants", spelling.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
