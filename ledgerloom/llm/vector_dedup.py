@@ -2,11 +2,11 @@
 
 1. Vectors that are equal, under the same label, form a class; classes go on with their number of rows.
 2. A cell starts as a label (and a number of components). Cells with more than `cell_rows` classes are split by spherical k-means, fitted on
-   a bounded sample of each cell (`fit_rows`, about; picked by a hash), again and again until cells are small or a split no longer shrinks
-   them, as in a dense group of near copies.
-3. A vector lies in the cell of its nearest centre, and in those whose boundary to it is no farther than `margin`: a partner at the
-   threshold may lie on the other side of a boundary at distance d with the probability that a normal deviate exceeds
-   d * sqrt(dim - 1) / tan(angle), so `reach` is a number of standard deviations. There is no limit on the number of cells.
+   a bounded sample of each cell (`fit_rows`, about; picked by a hash), again and again until cells are small. A split that saves too few
+   comparisons, as in a dense group of near copies, is taken back.
+3. A vector lies in the cell of its nearest centre, and in those whose boundary to it is no farther than `reach` standard deviations of
+   what a partner at the threshold differs in that direction, tan(angle) / sqrt(dim - 1). Both vectors of a pair may reach over the boundary, so a
+   pair is missed only beyond twice that. There is no limit on the number of cells. `reach` sets the recall of pairs near the threshold.
 4. A cell's pairs are products of blocks of at most about `BLOCK` rows; small cells share a task. A pair is counted in the first of the
    cells that it shares. A task returns a row per linked vector: its number of links in the block, and one link towards the block's
    component, never the pairs.
@@ -100,31 +100,38 @@ def _assign(threshold: float, reach: float):
         inside = s[np.arange(len(s)), nearest][:, None] - s <= margin * apart
         row, child = np.nonzero(inside)
         cell = key[0].as_py()
-        return pa.table({"id": rows.column("id").take(pa.array(row)), "cell": pa.array([f"{cell}|{j}" for j in child.tolist()], pa.string()),
-                         "up": pa.array(np.full(len(row), fitted.column("n")[0].as_py(), np.int64)), "vec": rows.column("vec").take(pa.array(row))})
+        take = pa.array(row)
+        return pa.table({"id": rows.column("id").take(take), "parent": pa.array([cell] * len(row), pa.string()),
+                         "cell": pa.array([f"{cell}|{j}" for j in child.tolist()], pa.string()), "vec": rows.column("vec").take(take)})
     return run
 
 
-def cells(classes: DataFrame, threshold: float, cell_rows: int, fit_rows: int, reach: float, shrink: float = 0.7) -> DataFrame:
-    """(id, cell, vec): the cells of every class; `classes` is (id, cell, vec)."""
-    shape = "id binary, cell string, up bigint, vec binary"
-    rows, settled = classes.select("id", "cell", F.lit(None).cast("bigint").alias("up"), "vec"), None
+def cells(classes: DataFrame, threshold: float, cell_rows: int, fit_rows: int, reach: float, gain: float = 0.8) -> DataFrame:
+    """(id, cell, vec): the cells of every class; `classes` is (id, cell, vec). A split that leaves more than `gain` of a cell's pairs to be
+    compared is taken back."""
+    rows, settled = classes.select("id", "cell", "vec"), []
     for _ in range(LEVELS):
-        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up"))
-        large = save(sizes.filter((F.col("n") > cell_rows) & (F.col("up").isNull() | (F.col("n") <= shrink * F.col("up"))))
-                     .select("cell", "n", F.ceil(F.col("n") / BLOCK).alias("parts")))
+        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        large = save(sizes.filter(F.col("n") > cell_rows).select("cell", "n", F.ceil(F.col("n") / BLOCK).alias("parts")))
         if large.isEmpty():
             break
-        still = rows.join(large, "cell", "left_anti")
-        settled = still if settled is None else settled.unionByName(still)
         of_large = rows.join(large, "cell")
         sample = of_large.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < F.lit(fit_rows << 30))
         fitted = save(sample.groupBy("cell").applyInArrow(_fit(cell_rows), "cell string, n bigint, centres binary"))
         # a large cell is dealt into parts, and its centres go to each of them
         part = of_large.select("cell", "id", "vec", F.pmod(F.xxhash64("id", F.lit(1)), "parts").alias("part"))
         each = fitted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / BLOCK) - 1)))
-        rows = save(part.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInArrow(_assign(threshold, reach), shape))
-    return (rows if settled is None else settled.unionByName(rows)).select("id", "cell", "vec")
+        split = save(part.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInArrow(
+            _assign(threshold, reach), "id binary, parent string, cell string, vec binary"))
+        left = (split.groupBy("parent", "cell").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")))
+        good = save(left.join(large.withColumnRenamed("cell", "parent"), "parent").filter(F.col("pairs") <= gain * F.col("n").cast("double") * F.col("n")).select("parent"))
+        settled.append(rows.join(good.withColumnRenamed("parent", "cell"), "cell", "left_anti").select("id", "cell", "vec"))
+        rows = save(split.join(good, "parent", "left_semi").select("id", "cell", "vec"))
+        if rows.isEmpty():
+            break
+    for part in settled:
+        rows = rows.unionByName(part)
+    return rows
 
 
 def spanning(near: np.ndarray, square: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,7 +218,7 @@ def links(classes: DataFrame, threshold: float, cell_rows: int, fit_rows: int, r
     return dealt.groupBy("unit", "p", "q").applyInArrow(_compare(threshold), "id binary, links bigint, root binary")
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.93, cell_rows: int = 1024, fit_rows: int = 4096, reach: float = 2.5) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.93, cell_rows: int = 1024, fit_rows: int = 4096, reach: float = 0.75) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     d = columns(table, "vec_id", "label", "embedding").withColumn("label", F.col("label").cast("string"))
     rows = save(d.mapInArrow(_prepare, "vec_id bigint, id binary, cell string, vec binary"))

@@ -68,9 +68,9 @@ def test_equals_all_pairs(spark):
 
 def test_recall_of_cells(spark):
     """Links found with production reach in cells of a few dozen vectors, many of them near the threshold; none is made up."""
-    data = sample(5, groups=300, dim=48, labels=1)
+    data = sample(5, groups=300, dim=64, labels=1)
     want = brute(data)
-    got = found(vector_dedup.near_vectors(spark.createDataFrame(data, SCHEMA), cell_rows=40, fit_rows=400))
+    got = found(vector_dedup.near_vectors(spark.createDataFrame(data, SCHEMA), cell_rows=200, fit_rows=400))
     total, seen = sum(r[1] for r in want), sum(r[1] for r in got)
     assert 0.97 * total <= seen <= total
     assert sum(a != b for a, b in zip(sorted(got, key=lambda r: r[0]), sorted(want, key=lambda r: r[0]))) <= 0.03 * len(want)
