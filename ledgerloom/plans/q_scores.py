@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEV_PAIRS, LOCK_PAIRS, PURGED_FOLDS, SEGMENTS, STACK_FOLDS
 from ..functions import tokens as tk
-from ..operators import blend as bl, chains, checks as ck, entity as en, folds as fo, graph as gr, ranks as rk, report as rp, search as se
+from ..operators import backtest as bt, blend as bl, chains, checks as ck, entity as en, folds as fo, graph as gr, ranks as rk, report as rp, search as se
 from ..operators import segments as sg
 from .q_rows import OR, POOL, POOL_SQL, cat, itok, pool_keys, tok
 from .q_stats import CH, CHAIN, CLIENT, GROUPS, counters, membership_sql
@@ -313,6 +313,42 @@ def _(t):
     return fo.pair_counts(unit(t), "u", DEV_PAIRS + LOCK_PAIRS)
 
 
+ROLL = (2, 3, 4, 5, 10, 20)
+PAIR_DAY = 22 * 86400      # the bounds of the pairs are in units of 22 days of the test tables
+PAIR_COLUMNS = ("pair:s id:i side:s segment:s known_rows:i known_positives:i known_rate_smoothed:f known_since_positive:i order:i since_previous:i "
+                + " ".join(f"gap_mean_{k}:f gap_std_{k}:f" for k in ROLL) + " entity_rows:i entity_mean_amt:f entity_std_amt:f entity_span:i amt_zscore:f addr1_nunique:i email_nunique:i")
+
+
+@query("V5_pair_features", PAIR_COLUMNS, f"""WITH x AS (SELECT *, card1 % 200 AS entity, card1 % 20 AS c20, addr1 % 4 AS a4, dt % 8640000 AS back FROM {{tx}}),
+       u AS (SELECT *, {cat(tok('c20'), tok('a4'), f"COALESCE(CAST(CAST(round_even(back / 86400 - d1, 0) AS BIGINT) AS VARCHAR), '<MISSING>')", tok('email'))} AS strict,
+         {cat(tok('c20'), tok('a4'), "COALESCE(CAST(CAST(round_even(back / 86400 - d1, 0) AS BIGINT) AS VARCHAR), '<MISSING>')")} AS card,
+         {cat("COALESCE(CAST(CAST(round_even(back / 86400 - d1, 0) AS BIGINT) AS VARCHAR), '<MISSING>')", tok('email'))} AS mail,
+         a4 IS NOT NULL AND d1 IS NOT NULL AS v, d1 IS NOT NULL AND email IS NOT NULL AS w FROM x),
+       pairs(pair, e, s, t) AS (VALUES {', '.join(f"('{n}', {a * PAIR_DAY}, {b * PAIR_DAY}, {c * PAIR_DAY})" for n, _, _, a, b, c in DEV_PAIRS + LOCK_PAIRS)}),
+       m AS (SELECT *, dt < e AS past FROM pairs JOIN u ON dt < e OR (dt >= s AND dt < t)),
+       h AS (SELECT pair, entity, count(*) AS n, sum(label) AS y, max(CASE WHEN label = 1 THEN dt END) AS at FROM m WHERE past GROUP BY ALL),
+       r AS (SELECT pair, avg(label) AS rate FROM m WHERE past GROUP BY pair),
+       g AS (SELECT *, dt - lag(dt) OVER o AS gap, row_number() OVER o - 1 AS "order", count(*) OVER q AS cn, COALESCE(sum(label) OVER q, 0) AS cy,
+         max(CASE WHEN label = 1 THEN dt END) OVER q AS cat FROM m WINDOW o AS (PARTITION BY pair, entity ORDER BY dt, id),
+         q AS (PARTITION BY pair, entity ORDER BY dt RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+       f AS (SELECT *, gap AS since_previous, {', '.join(f'avg(gap) OVER (o ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS gap_mean_{k}, '
+                                                     f'stddev_samp(gap) OVER (o ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS gap_std_{k}' for k in ROLL)},
+         CASE WHEN past THEN cn ELSE COALESCE(h.n, 0) END AS known_rows, CASE WHEN past THEN cy ELSE COALESCE(h.y, 0) END AS known_positives,
+         dt - CASE WHEN past THEN cat ELSE h.at END AS known_since_positive, rate FROM g LEFT JOIN h USING (pair, entity) JOIN r USING (pair) WINDOW o AS (PARTITION BY pair, entity ORDER BY dt, id)),
+       a AS (SELECT pair, entity, count(*) AS entity_rows, avg(amt) AS entity_mean_amt, stddev_samp(amt) AS entity_std_amt, max(dt) - min(dt) AS entity_span,
+         count(DISTINCT addr1) AS addr1_nunique, count(DISTINCT email) AS email_nunique FROM m GROUP BY ALL),
+       ks AS (SELECT DISTINCT pair, strict FROM m WHERE past AND v), kc AS (SELECT DISTINCT pair, card FROM m WHERE past AND v), km AS (SELECT DISTINCT pair, mail FROM m WHERE past AND w)
+       SELECT f.*, a.* EXCLUDE (pair, entity), CASE WHEN past THEN 'history' ELSE 'future' END AS side, (known_positives + 20 * rate) / (known_rows + 20) AS known_rate_smoothed,
+         CASE WHEN entity_std_amt > 1e-9 THEN (amt - entity_mean_amt) / entity_std_amt END AS amt_zscore,
+         CASE WHEN past THEN NULL WHEN v AND ks.strict IS NOT NULL THEN 'strict' WHEN (v AND kc.card IS NOT NULL) OR (w AND km.mail IS NOT NULL) THEN 'partial' ELSE 'cold' END AS segment
+       FROM f JOIN a USING (pair, entity) LEFT JOIN ks ON ks.pair = f.pair AND ks.strict = f.strict LEFT JOIN kc ON kc.pair = f.pair AND kc.card = f.card
+       LEFT JOIN km ON km.pair = f.pair AND km.mail = f.mail""")
+def _(t):
+    d = t.tx().withColumns({"entity": F.col("card1") % 200, "c20": F.col("card1") % 20, "a4": F.col("addr1") % 4, "back": F.col("dt") % 8640000})
+    d = sg.uid_metadata(d, "back", "d1", ["c20", "a4"], "email", "round")
+    return bt.pair_frames(d, ["entity"], "dt", "id", "label", "amt", ["addr1", "email"], DEV_PAIRS + LOCK_PAIRS, PAIR_DAY)
+
+
 @query("V6_time_holdout", "holdout:i n:i", "SELECT dt > (SELECT quantile_cont(dt, 0.8) FROM {tx}) AS holdout, count(*) AS n FROM {tx} GROUP BY 1")
 def _(t):
     return fo.time_holdout(t.tx(), "dt").groupBy("holdout").agg(F.count(F.lit(1)).alias("n"))

@@ -77,7 +77,7 @@ def runner(binding: Binding) -> Callable[[SparkSession, str], DataFrame]:
 
 #: queries that also run with keys forced to be cut, against the same SQL: the plan that large tables get
 SLICED = ("W1_", "W5_", "W9_", "W11_", "W13_velocity", "A6_", "A7_", "A13_", "A18_", "R1_", "R2_", "R3_", "R4_", "R6_", "B3_",
-          "G5_", "G7_", "J9_")
+          "G5_", "G7_", "J9_", "V5_pair_features")
 
 
 def add_sliced(rows: int = 16) -> None:
