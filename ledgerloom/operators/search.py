@@ -7,10 +7,13 @@ matrix for all (g,a) x (h,b); any blend is then a sum of nine of its cells.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import SEGMENTS
 from ..sources.store import save
@@ -18,7 +21,7 @@ from .blend import with_bounded
 from .entity import pool_tables
 from .joins import attach
 from .ranks import auc, ordinal, quantiles, rank_many
-from .timeline import SLICE, Timeline
+from .timeline import Timeline
 
 
 def simplex(spark: SparkSession, names: list[str], denominator: int) -> DataFrame:
@@ -55,12 +58,85 @@ def candidate_auc(df: DataFrame, label: str, sources: list[str], weights: list[d
     return auc(d, label, "_score", ["candidate", *by], weight="_count", max_rows=max_rows)
 
 
+# bounds -------------------------------------------------------------------------------------------------------
+BINS = 2048
+
+
+def _histograms(matrix: np.ndarray, low: float, width: float, bins: int):
+    """(g, c, b, pos, neg): rows of each class per group, candidate and bin of the candidate's score; one table per task."""
+    weights, size = matrix.T, len(matrix) * bins * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for g, table in held.items():
+                table = table.reshape(-1, 2)
+                at = np.flatnonzero(table.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array((at // bins).astype(np.int32)), pa.array((at % bins).astype(np.int32)),
+                                                  pa.array(table[at, 1]), pa.array(table[at, 0])], names=["g", "c", "b", "pos", "neg"])
+            held.clear()
+
+        for batch in batches:
+            groups = batch.column(0).dictionary_encode()
+            code, label = groups.indices.to_numpy(), batch.column(1).to_numpy()
+            x = np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
+            for k, g in enumerate(groups.dictionary.to_pylist()):
+                mine = np.flatnonzero(code == k)
+                if g not in held and (len(held) + 1) * size > 1 << 24:
+                    yield from emptied()
+                table = held.setdefault(g, np.zeros(size, np.int64))
+                for a in range(0, len(mine), 2048):
+                    rows = mine[a:a + 2048]
+                    b = np.clip(((x[rows] @ weights - low) / width).astype(np.int64), 0, bins - 1)
+                    table += np.bincount(((np.arange(len(matrix)) * bins + b) * 2 + label[rows, None]).ravel(), minlength=size)
+        yield from emptied()
+    return run
+
+
+def auc_bounds(df: DataFrame, label: str, sources: list[str], weights: list[dict], by: list[str], bins: int = BINS) -> dict[tuple, tuple[float, float]]:
+    """{(*by as text, candidate): (low, high)} that hold the AUC of every convex candidate, from one scan.
+
+    Only histograms are shuffled. Pairs in bins that are two or more apart are certain, the others may count for nothing or for one; so neither
+    ties nor the last digits of a score matter.
+    """
+    rows = df.filter(reduce(lambda a, b: a & b, (F.col(s).isNotNull() for s in sources)) & F.col(label).isNotNull())
+    edge = rows.agg(F.min(F.least(*sources) if len(sources) > 1 else F.col(sources[0])), F.max(F.greatest(*sources) if len(sources) > 1 else F.col(sources[0]))).first()
+    if edge[0] is None:
+        return {}
+    low, width = float(edge[0]), max(float(edge[1]) - float(edge[0]), 1e-300) / bins
+    group = F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
+    matrix = np.array([[float(w[s]) for s in sources] for w in weights])
+    tally = (rows.select(group.alias("_g"), (F.col(label) == 1).cast("int").alias("_y"), *[F.col(s).cast("double").alias(f"_x{i}") for i, s in enumerate(sources)])
+             .mapInArrow(_histograms(matrix, low, width, bins), "g string, c int, b int, pos bigint, neg bigint")
+             .groupBy("g", "c", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    w = Window.partitionBy("g", "c").orderBy("b")
+    sure = F.coalesce(F.sum("neg").over(w.rangeBetween(Window.unboundedPreceding, -2)), F.lit(0))
+    most = F.sum("neg").over(w.rangeBetween(Window.unboundedPreceding, 1))
+    found = (tally.select("g", "c", "pos", "neg", sure.alias("sure"), most.alias("most")).groupBy("g", "c").agg(
+        F.sum(F.col("pos").cast("double") * F.col("sure")).alias("low"), F.sum(F.col("pos").cast("double") * F.col("most")).alias("high"),
+        (F.sum("pos").cast("double") * F.sum("neg")).alias("pairs")).filter("pairs > 0").collect())     # a row per group and candidate
+    return {(*r["g"].split("\x1f")[1:], r["c"]): (r["low"] / r["pairs"], r["high"] / r["pairs"]) for r in found}
+
+
+def reaching(bounds: list[tuple[float, float] | None], top: int = 1) -> list[int]:
+    """Candidates whose interval reaches the `top`-th largest lower end: the best `top` are among them."""
+    ends = sorted((b[0] for b in bounds if b is not None), reverse=True)
+    least = ends[min(top, len(ends)) - 1] if ends else 0.0
+    return [i for i, b in enumerate(bounds) if b is not None and b[1] >= least - 1e-12]
+
+
 def best_mean_auc(df: DataFrame, label: str, sources: list[str], weights: list[dict], fold: str,
                   max_rows: int | None = None) -> list[tuple[float, dict]]:
-    """Candidates with their mean fold AUC, best first; equal ones in grid order."""
-    scored = candidate_auc(df, label, sources, weights, [fold], max_rows)
-    rows = scored.groupBy("candidate").agg(F.avg("auc").alias("m")).filter("m is not null").collect()   # one per candidate
-    return sorted(((round(r["m"], 12), weights[r["candidate"]], r["candidate"]) for r in rows), key=lambda r: (-r[0], r[2]))
+    """The best candidates by mean fold AUC, best first; equal ones in grid order. Bounds leave few candidates, only these are scored."""
+    found = auc_bounds(df, label, sources, weights, [fold])
+    per = [[b for (_, c), b in found.items() if c == i] for i in range(len(weights))]
+    left = reaching([tuple(sum(x) / len(p) for x in zip(*p)) if p else None for p in per])
+    if not left:
+        return []
+    scored = candidate_auc(df, label, sources, [weights[i] for i in left], [fold], max_rows)
+    rows = scored.groupBy("candidate").agg(F.avg("auc").alias("m")).filter("m is not null").collect()   # one per candidate left
+    return sorted(((round(r["m"], 12), weights[left[r["candidate"]]], left[r["candidate"]]) for r in rows), key=lambda r: (-r[0], r[2]))
 
 
 def coarse_to_fine(df: DataFrame, label: str, sources: list[str], fold: str, denominator: int = 10, coarse: int = 5,
@@ -89,30 +165,51 @@ def shrink(local: DataFrame, common: DataFrame, key: list[str], columns: list[st
 
 
 # segment grids ----------------------------------------------------------------------------------------------
+HALVES = ("first", "second")
+
+
+def _products(size: int):
+    """Per half and for the whole, the sum over scores of positives of one cell times wins of another."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {p: np.zeros((size, size)) for p in ("all", *HALVES)}
+        for batch in batches:
+            p0, p1, w0, w1 = (batch.column(c).flatten().to_numpy().reshape(-1, size) for c in ("p0", "p1", "w0", "w1"))
+            for part, p, w in (("all", p0 + p1, w0 + w1), ("first", p0, w0), ("second", p1, w1)):
+                total[part] += p.T @ w
+        for part, m in total.items():
+            i, j = np.nonzero(m)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])],
+                                             names=["part", "i", "j", "x"])
+    return run
+
+
 class BlendMatrix:
     """AUC of any combination of one option per segment, from the pair matrix."""
 
     def __init__(self, options: DataFrame, label: str, score: str, segment: str, option: str, segments: Iterable[str],
-                 n_options: int, part: str = "part", max_rows: int | None = None):
-        """`options`: rows repeated per option index of their segment, with the score they have under it."""
+                 n_options: int, half: str = "half", max_rows: int | None = None):
+        """`options`: rows repeated per option index of their segment, with the score they have under it and their half.
+
+        Halves are counted side by side, so the whole is their sum and rows are not copied; the cells are sums of products of two arrays,
+        added up per task.
+        """
         self.segments, self.n = list(segments), n_options
         cells = [(g, a) for g in range(len(self.segments)) for a in range(n_options)]
-        at = lambda g, a: (F.col(segment) == self.segments[g]) & (F.col(option) == a)
-        tally = options.groupBy(part, F.col(score).alias("_v")).agg(
-            *[F.count_if(at(g, a) & (F.col(label) == 1)).alias(f"p{g}_{a}") for g, a in cells],
-            *[F.count_if(at(g, a) & (F.col(label) == 0)).alias(f"n{g}_{a}") for g, a in cells])
-        below = Timeline(tally, [part], ["_v"], max_rows).prefix({f"b{g}_{a}": F.col(f"n{g}_{a}") for g, a in cells}).drop(SLICE)
-        wins = F.array(*[F.col(f"b{h}_{b}") + F.col(f"n{h}_{b}") / 2.0 for h, b in cells])
-        plus = F.array(*[F.col(f"p{g}_{a}") for g, a in cells])
-        size = len(cells)
-        long = below.select(part, F.posexplode(plus).alias("_i", "_p"), wins.alias("_w")).filter("_p > 0")
-        long = long.select(part, "_i", F.posexplode(F.transform("_w", lambda x: x * F.col("_p"))).alias("_j", "_x"))
-        got = long.groupBy(part, "_i", "_j").agg(F.sum("_x").alias("x")).collect()      # options^2 rows
-        counts = options.filter(F.col(option) == 0).groupBy(part).agg(
+        at = lambda h, g, a: (F.col(half) == HALVES[h]) & (F.col(segment) == self.segments[g]) & (F.col(option) == a)
+        tally = options.groupBy(F.lit(0).alias("_one"), F.col(score).alias("_v")).agg(
+            *[F.count_if(at(h, g, a) & (F.col(label) == 1)).alias(f"p{h}_{g}_{a}") for h in (0, 1) for g, a in cells],
+            *[F.count_if(at(h, g, a) & (F.col(label) == 0)).alias(f"n{h}_{g}_{a}") for h in (0, 1) for g, a in cells])
+        below = Timeline(tally, ["_one"], ["_v"], max_rows).prefix({f"b{h}_{g}_{a}": F.col(f"n{h}_{g}_{a}") for h in (0, 1) for g, a in cells})
+        number = lambda c: c.cast("double")
+        arrays = below.select(*[F.array(*[number(F.col(f"p{h}_{g}_{a}")) for g, a in cells]).alias(f"p{h}") for h in (0, 1)],
+                              *[F.array(*[number(F.col(f"b{h}_{g}_{a}")) + F.col(f"n{h}_{g}_{a}") / 2.0 for g, a in cells]).alias(f"w{h}") for h in (0, 1)])
+        got = arrays.mapInArrow(_products(len(cells)), "part string, i int, j int, x double").groupBy("part", "i", "j").agg(F.sum("x").alias("x")).collect()     # options^2 rows
+        counts = options.filter(F.col(option) == 0).groupBy(half).agg(
             F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).collect()
-        self.wins = {(r[part], r["_i"], r["_j"]): r["x"] for r in got}
-        self.pairs = {r[part]: r["p"] * r["n"] for r in counts}
-        self.size = size
+        self.wins = {(r["part"], r["i"], r["j"]): r["x"] for r in got}
+        sides = {r[half]: (r["p"], r["n"]) for r in counts}
+        both = [sum(x) for x in zip(*sides.values())] or [0, 0]
+        self.pairs = {h: p * n for h, (p, n) in sides.items()} | {"all": both[0] * both[1]}
 
     def auc(self, choice: tuple[int, ...], part: str = "all") -> float | None:
         if not self.pairs.get(part):
@@ -159,7 +256,7 @@ def pick(rows: list[dict]) -> dict:
 def grid_search(options: DataFrame, label: str, segment: str, weights: tuple, base: dict[str, float],
                 segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, list[dict]]:
     """All combinations of weights over the segments."""
-    m = BlendMatrix(in_parts(options), label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
+    m = BlendMatrix(options, label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
     rows = [m.row(c, base) for c in product(range(len(weights)), repeat=len(segments))]
     return pick(rows), rows
 
@@ -167,7 +264,7 @@ def grid_search(options: DataFrame, label: str, segment: str, weights: tuple, ba
 def coordinate_search(options: DataFrame, label: str, segment: str, weights: tuple, base: dict[str, float],
                       starts: tuple, segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, list[dict]]:
     """Two sweeps over the segments from every start, then the neighbours of where they end."""
-    m = BlendMatrix(in_parts(options), label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
+    m = BlendMatrix(options, label, "score", segment, "option", segments, len(weights), max_rows=max_rows)
     seen: dict[tuple, dict] = {}
 
     def visit(choice: tuple) -> dict:
@@ -204,14 +301,30 @@ def candidate_search(df: DataFrame, label: str, segment: str, weights: tuple, bl
                        F.least(F.col("first") - base["first"], F.col("second") - base["second"]).alias("min_half_gain"))
 
 
+def _may_be_chosen(bounds: dict, n: int, own: int, segments: tuple, top: int) -> list[int]:
+    """Candidates that can be among the `top` of a segment: not surely worse than `own` in a half, nor than `top` others that surely are not."""
+    left = {own}
+    for g in segments:
+        none = (-1.0, 2.0)
+        get = lambda i, p: bounds.get((g, p, i), none)
+        gain = {i: [(get(i, p)[0] - get(own, p)[1], get(i, p)[1] - get(own, p)[0]) for p in ("all", "first", "second")] for i in range(n)}
+        gain[own] = [(0.0, 0.0)] * 3
+        may = [i for i in range(n) if min(gain[i][1][1], gain[i][2][1]) >= -1e-12]
+        sure = sorted((gain[i][0][0] for i in may if min(gain[i][1][0], gain[i][2][0]) >= 0), reverse=True)
+        least = sure[top - 1] if len(sure) >= top else -2.0
+        left |= {i for i in may if gain[i][0][1] >= least - 1e-12}
+    return sorted(left)
+
+
 def two_stage_recipe(df: DataFrame, label: str, sources: list[str], baseline: str, segment: str, denominator: int, top: int,
                      segments: tuple = SEGMENTS, max_rows: int | None = None) -> tuple[dict, dict]:
     """Best stable mixes per segment, then the best combination of them. `df` needs `half`."""
     weights = [r.asDict() for r in simplex(df.sparkSession, sources, denominator).orderBy(*sources).collect()]
     parts = in_parts(df)
-    scored = candidate_auc(parts, label, sources, weights, [segment, "part"], max_rows).collect()    # grid x segments x 3
-    table = {(r["candidate"], r[segment], r["part"]): r["auc"] for r in scored}
     own = next(i for i, w in enumerate(weights) if w[baseline] == 1.0)
+    left = _may_be_chosen(auc_bounds(parts, label, sources, weights, [segment, "part"]), len(weights), own, segments, top)
+    scored = candidate_auc(parts, label, sources, [weights[i] for i in left], [segment, "part"], max_rows).collect()    # left x segments x 3
+    table = {(left[r["candidate"]], r[segment], r["part"]): r["auc"] for r in scored}
     chosen = {}
     for g in segments:
         rows = []
@@ -229,7 +342,7 @@ def two_stage_recipe(df: DataFrame, label: str, sources: list[str], baseline: st
     d = df.select("*", F.posexplode(lookup[F.col(segment)]).alias("option", "_w"))
     mix = [F.col("_w")[i] * F.col(s) for i, s in enumerate(sources)]
     d = d.withColumn("score", F.round(sum(mix[1:], mix[0]), 12)).drop("_w")
-    m = BlendMatrix(in_parts(d), label, "score", segment, "option", segments, pad, max_rows=max_rows)
+    m = BlendMatrix(d, label, "score", segment, "option", segments, pad, max_rows=max_rows)
     base = base_aucs(df, label, baseline, max_rows)
     rows = [m.row(c, base) for c in product(*[range(len(chosen[g])) for g in segments])]
     best = pick(rows)

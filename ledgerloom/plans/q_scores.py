@@ -553,7 +553,12 @@ def _(t):
     return scored.groupBy("candidate", "segment").agg(F.avg("auc").alias("mean_auc"))
 
 
-@query("B8_coarse_to_fine", "s1:f s2:f s3:f auc:f")
+@query("B8_coarse_to_fine", "s1:f s2:f s3:f auc:f", f"""WITH g AS (SELECT d, a / d AS w1, b / d AS w2, (d - a - b) / d AS w3, row_number() OVER (PARTITION BY d ORDER BY a, b) AS k
+       FROM (SELECT unnest([5.0, 10.0]) AS d), range(11) x(a), range(11) y(b) WHERE a + b <= d), l AS (SELECT d, k, day % 2 AS fold, label, round(w1 * s1 + w2 * s2 + w3 * s3, 12) AS x
+       FROM g, {{part3}}), a AS ({auc_sql('l', 'x', 'd, k, fold')}), m AS (SELECT g.*, round(avg(auc), 12) AS auc FROM a JOIN g USING (d, k) GROUP BY ALL),
+       c AS (SELECT * FROM m WHERE d = 5 ORDER BY auc DESC, k LIMIT 1), f AS (SELECT m.* FROM m, c WHERE m.d = 10 AND abs(m.w1 - c.w1) + abs(m.w2 - c.w2) + abs(m.w3 - c.w3) <= 0.4 + 1e-12
+       ORDER BY m.auc DESC, m.k LIMIT 1) SELECT CASE WHEN b THEN f.w1 ELSE c.w1 END AS s1, CASE WHEN b THEN f.w2 ELSE c.w2 END AS s2, CASE WHEN b THEN f.w3 ELSE c.w3 END AS s3,
+       CASE WHEN b THEN f.auc ELSE c.auc END AS auc FROM (SELECT f.auc > c.auc + 1e-12 AS b FROM f, c) t, f, c""")
 def _(t):
     d = t.part3().withColumn("fold", F.col("day") % 2)
     best, w = se.coarse_to_fine(d, "label", ["s1", "s2", "s3"], "fold")
@@ -631,7 +636,17 @@ def _(t):
     return list_frame(t, [(*[TENTHS[i] for i in r["choice"]], r["auc"], r["gain"])], "strict double, partial double, cold double, auc double, gain double")
 
 
-@query("B12_two_stage_recipe", "segment:s s1:f s2:f s3:f auc:f gain:f")
+@query("B12_two_stage_recipe", "segment:s s1:f s2:f s3:f auc:f gain:f", f"""WITH {SIMPLEX}, c AS (SELECT *, row_number() OVER (ORDER BY w1, w2, w3) - 1 AS i FROM w), h AS (SELECT *, {HALF} AS half FROM {{part3}}),
+       l AS (SELECT i, segment, label, half, round(w1 * s1 + w2 * s2 + w3 * s3, 12) AS x FROM c, h), sc AS ({auc_sql(parts_sql('l'), 'x', 'i, segment, part')}),
+       o AS (SELECT segment, part, auc FROM sc JOIN c USING (i) WHERE w1 = 1), gs AS (SELECT i, segment, max(sc.auc - o.auc) FILTER (part = 'all') AS gain, min(sc.auc - o.auc) FILTER (part <> 'all') AS worst
+         FROM sc JOIN o USING (segment, part) GROUP BY ALL),
+       top AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY round(gain, 12) DESC, round(worst, 12) DESC, i) AS r FROM gs WHERE gain IS NOT NULL AND worst >= 0 QUALIFY r <= 4),
+       k AS (SELECT x.i AS a, y.i AS b, z.i AS d, x.r AS ra, y.r AS rb, z.r AS rd FROM top x, top y, top z WHERE x.segment = 'strict' AND y.segment = 'partial' AND z.segment = 'cold'),
+       rw AS (SELECT a, b, d, label, half, x AS score FROM k JOIN l ON (segment = 'strict' AND i = a) OR (segment = 'partial' AND i = b) OR (segment = 'cold' AND i = d)),
+       s2 AS ({auc_sql(parts_sql('rw'), 'score', 'a, b, d, part')}), base AS ({auc_sql(parts_sql('h'), 's1', 'part')}),
+       e AS (SELECT a, b, d, max(s2.auc) FILTER (part = 'all') AS auc, max(s2.auc - base.auc) FILTER (part = 'all') AS gain, min(s2.auc - base.auc) FILTER (part <> 'all') AS worst FROM s2 JOIN base USING (part) GROUP BY ALL),
+       best AS (SELECT e.* FROM e JOIN k USING (a, b, d) WHERE worst >= 0 ORDER BY round(gain, 12) DESC, round(worst, 12) DESC, ra, rb, rd LIMIT 1)
+       SELECT segment, w1 AS s1, w2 AS s2, w3 AS s3, auc, gain FROM (SELECT unnest(['strict', 'partial', 'cold']) AS segment, unnest([a, b, d]) AS i, auc, gain FROM best) JOIN c USING (i)""")
 def _(t):
     best, _ = se.two_stage_recipe(halved(t), "label", ["s1", "s2", "s3"], "s1", "segment", 5, 4)
     return list_frame(t, [(g, w["s1"], w["s2"], w["s3"], best["auc"], best["gain"]) for g, w in best["weights"].items()],
