@@ -1,31 +1,20 @@
 """Value distribution inside an entity and co-occurrence of two columns.
 
-Raw rows are shuffled once, into counts per (entity, value); everything else is computed from those counts.
+Rows become narrow rows (row number, what is wanted, value) once; counts, totals and lookups run over all wanted columns together, and the
+results come back in one join. The number of exchanges does not depend on how much is wanted.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.tokens import token
-from .joins import attach
+from .stacked import ROW, numbered, stack, widen
 
 
-def _distribution_table(df: DataFrame, key: list[str], column: str, prefix: str) -> DataFrame:
-    pairs = df.withColumn("_v", token(column)).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = F.sum("_c").cast("double")
-    per_key = pairs.groupBy(*key).agg(
-        F.sum("_c").alias("_n"), F.count(F.lit(1)).alias(f"{prefix}_nunique"), F.max("_c").alias("_mode"),
-        (F.log(n) - F.sum(F.col("_c") * F.log("_c")) / n).alias("_h"))
-    t = attach(pairs, per_key, key)
-    share = F.col("_c") / F.col("_n")
-    # entropy of one value is 0 by definition; the difference of logs may leave a last-digit residue
-    h = F.when(F.col(f"{prefix}_nunique") == 1, 0.0).otherwise(F.col("_h"))
-    return t.select(*key, "_v", f"{prefix}_nunique", share.alias(f"{prefix}_share"),
-                 (-F.log(F.greatest(share, F.lit(1e-8)))).alias(f"{prefix}_surprise"),
-                 (F.col("_mode") / F.col("_n")).alias(f"{prefix}_mode_share"),
-                 (F.col("_c") == F.col("_mode")).cast("int").alias(f"{prefix}_is_mode"), h.alias(f"{prefix}_entropy"),
-                 (h / F.log(F.greatest(F.col(f"{prefix}_nunique"), F.lit(2)).cast("double")))
-                 .alias(f"{prefix}_normalized_entropy"))
+def _key(key: list[str]):
+    """The key as one text, different for different keys: every part with its length."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.concat(*[part(c) for c in key])
 
 
 def value_distributions(df: DataFrame, wanted: list[tuple[list[str], str, str]]) -> DataFrame:
@@ -33,11 +22,20 @@ def value_distributions(df: DataFrame, wanted: list[tuple[list[str], str, str]])
 
     For every (key, column, prefix); all tables are counted from `df` itself.
     """
-    out = df
-    for key, column, prefix in wanted:
-        table = _distribution_table(df, key, column, prefix)
-        out = attach(out.withColumn("_v", token(column)), table, [*key, "_v"]).drop("_v")
-    return out
+    rows = numbered(df)
+    long = stack(rows, [{"_k": _key(key), "_v": token(column)} for key, column, _ in wanted], [ROW])
+    pairs = long.groupBy("_c", "_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.sum("_n").cast("double")
+    per_key = pairs.groupBy("_c", "_k").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_u"), F.max("_n").alias("_mode"),
+                                            (F.log(n) - F.sum(F.col("_n") * F.log("_n")) / n).alias("_h"))
+    t = long.join(pairs.join(per_key, ["_c", "_k"]), ["_c", "_k", "_v"])
+    share = F.col("_n") / F.col("_all")
+    # entropy of one value is 0 by definition; the difference of logs may leave a last-digit residue
+    h = F.when(F.col("_u") == 1, 0.0).otherwise(F.col("_h"))
+    stats = {"nunique": F.col("_u"), "share": share, "surprise": -F.log(F.greatest(share, F.lit(1e-8))), "mode_share": F.col("_mode") / F.col("_all"),
+             "is_mode": (F.col("_n") == F.col("_mode")).cast("int"), "entropy": h,
+             "normalized_entropy": h / F.log(F.greatest(F.col("_u"), F.lit(2)).cast("double"))}
+    return widen(rows, t, {f"{prefix}_{name}": (i, c) for i, (_, _, prefix) in enumerate(wanted) for name, c in stats.items()})
 
 
 def value_distribution(df: DataFrame, key: list[str], column: str, prefix: str) -> DataFrame:
@@ -46,18 +44,16 @@ def value_distribution(df: DataFrame, key: list[str], column: str, prefix: str)
 
 def cooccurrences(df: DataFrame, wanted: list[tuple[str, str, str]]) -> DataFrame:
     """Log pair count, both conditional shares, both fan-outs for every (first, second, prefix)."""
-    out = df
-    for first, second, prefix in wanted:
-        pairs = df.groupBy(token(first).alias("_a"), token(second).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        t = pairs
-        for side in ("_a", "_b"):
-            t = attach(t, pairs.groupBy(side).agg(F.sum("_c").alias(f"{side}_n"), F.count(F.lit(1)).alias(f"{side}_u")), [side])
-        t = t.select("_a", "_b", F.log1p("_c").alias(f"{prefix}_log_pairs"),
-                     (F.col("_c") / F.col("_a_n")).alias(f"{prefix}_given_first"),
-                     (F.col("_c") / F.col("_b_n")).alias(f"{prefix}_given_second"),
-                     F.col("_a_u").alias(f"{prefix}_first_nunique"), F.col("_b_u").alias(f"{prefix}_second_nunique"))
-        out = attach(out.withColumns({"_a": token(first), "_b": token(second)}), t, ["_a", "_b"]).drop("_a", "_b")
-    return out
+    rows = numbered(df)
+    long = stack(rows, [{"_a": token(first), "_b": token(second)} for first, second, _ in wanted], [ROW])
+    pairs = long.groupBy("_c", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    t = pairs
+    for side in ("_a", "_b"):
+        t = t.join(pairs.groupBy("_c", side).agg(F.sum("_n").alias(f"{side}_n"), F.count(F.lit(1)).alias(f"{side}_u")), ["_c", side])
+    t = long.join(t, ["_c", "_a", "_b"])
+    stats = {"log_pairs": F.log1p("_n"), "given_first": F.col("_n") / F.col("_a_n"), "given_second": F.col("_n") / F.col("_b_n"),
+             "first_nunique": F.col("_a_u"), "second_nunique": F.col("_b_u")}
+    return widen(rows, t, {f"{prefix}_{name}": (i, c) for i, (_, _, prefix) in enumerate(wanted) for name, c in stats.items()})
 
 
 def cooccurrence(df: DataFrame, first: str, second: str, prefix: str) -> DataFrame:

@@ -7,6 +7,7 @@ from ..functions.rowwise import divide
 from ..functions.tokens import token
 from .joins import attach
 from .ranks import quantiles
+from .stacked import distinct_per_key, with_distinct
 from .timeline import HALO, Timeline
 
 
@@ -86,7 +87,7 @@ def profile(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, id
 def wide_profile(df: DataFrame, key: list[str], full: list[str], short: list[str], prefix: str = "wide") -> DataFrame:
     """Mean, deviation, z-score of every column in the entity; for `full` also range, distinct rate, difference.
 
-    One partially aggregated group-by holds all statistics of all columns.
+    One partially aggregated group-by holds all statistics of all columns, one more the distinct values of all columns.
     """
     p = lambda c, n: f"{prefix}_{c}_{n}"
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -95,9 +96,9 @@ def wide_profile(df: DataFrame, key: list[str], full: list[str], short: list[str
     for c in full:
         aggs += [(F.max(c) - F.min(c)).alias(p(c, "range"))]
     table = df.groupBy(*key).agg(*aggs)
-    for c in full:
-        n = df.groupBy(*key, c).agg(F.lit(1).alias("_1")).groupBy(*key).agg(F.count(c).alias("_u"))
-        table = attach(table, n, key).withColumn(p(c, "nunique_rate"), F.col("_u") / F.col("_n")).drop("_u")
+    if full:
+        table = with_distinct(table, distinct_per_key(df, key, full), key, [f"_u{i}" for i in range(len(full))])
+        table = table.withColumns({p(c, "nunique_rate"): F.col(f"_u{i}") / F.col("_n") for i, c in enumerate(full)}).drop(*[f"_u{i}" for i in range(len(full))])
     d = attach(df, table.drop("_n"), key)
     return d.withColumns({p(c, "diff_mean"): F.col(c) - F.col(p(c, "mean")) for c in full}
                          | {p(c, "zscore"): _z(c, p(c, "mean"), p(c, "std")) for c in [*full, *short]})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.tokens import token
 from ..sources.store import save
 from .joins import attach, attach_bounded
+from .stacked import ROW, distinct_per_key, numbered, stack, widen, with_distinct
 
 
 def with_total(table: DataFrame, rows: DataFrame, out: str, count: Column | None = None) -> DataFrame:
@@ -26,6 +27,16 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def _shares(df: DataFrame, counts: DataFrame, columns: list[str], value: Callable[[str], Column], suffix: str, missing: float) -> DataFrame:
+    """{column}{suffix}: `_q` of the row's value; `counts` is (_c column name, _t value, _q). One lookup serves all columns."""
+    rows = numbered(df)
+    long = stack(rows, [{"_t": value(c)} for c in columns], [ROW])
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    found = long.join(counts.select(place[F.col("_c")].alias("_c"), "_t", "_q"), ["_c", "_t"])
+    out = widen(rows, found, {c + suffix: (i, F.col("_q")) for i, c in enumerate(columns)})
+    return out.withColumns({c + suffix: F.coalesce(c + suffix, F.lit(missing)) for c in columns})
+
+
 def frequency(df: DataFrame, source: DataFrame, columns: list[str], suffix: str = "_freq") -> DataFrame:
     """Share of `source` rows with the same value; missing is a value, unseen is 0."""
     if not columns:
@@ -33,10 +44,7 @@ def frequency(df: DataFrame, source: DataFrame, columns: list[str], suffix: str
     counts = value_counts(source, columns, token)
     one = counts.filter(F.col("_c") == columns[0])      # missing is a value, so every column adds up to all rows
     counts = with_total(counts, one, "_all", F.sum("_n"))
-    for c in columns:
-        share = counts.filter(F.col("_c") == c).select("_t", (F.col("_n") / F.col("_all")).alias(c + suffix))
-        df = attach(df.withColumn("_t", token(c)), share, ["_t"]).drop("_t").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(0.0)))
-    return df
+    return _shares(df, counts.withColumn("_q", F.col("_n") / F.col("_all")), columns, token, suffix, 0.0)
 
 
 def informative(history: DataFrame, source: DataFrame, columns: list[str]) -> list[str]:
@@ -61,10 +69,7 @@ def normalized_frequency(df: DataFrame, columns: list[str], suffix: str = "_fe")
         return df
     counts = value_counts(df, columns, _text).filter(F.col("_t").isNotNull())
     counts = attach_bounded(counts, counts.groupBy("_c").agg(F.sum("_n").alias("_all")), ["_c"])      # one row per column
-    for c in columns:
-        share = counts.filter(F.col("_c") == c).select("_t", (F.col("_n") / F.col("_all")).alias(c + suffix))
-        df = attach(df.withColumn("_t", _text(c)), share, ["_t"]).drop("_t").withColumn(c + suffix, F.coalesce(c + suffix, F.lit(-1.0)))
-    return df
+    return _shares(df, counts.withColumn("_q", F.col("_n") / F.col("_all")), columns, _text, suffix, -1.0)
 
 
 AGGREGATES = {"mean": F.avg, "std": F.stddev_samp}
@@ -87,7 +92,5 @@ def distinct_counts(df: DataFrame, columns: list[str], keys: list[str]) -> DataF
     """{key}_{column}_ct: distinct present values of the column in the key."""
     base = df
     for k in keys:
-        for c in columns:
-            n = (base.groupBy(k, c).agg(F.lit(1).alias("_1")).groupBy(k).agg(F.count(c).alias(f"{k}_{c}_ct")))
-            df = attach(df, n, [k])
+        df = with_distinct(df, distinct_per_key(base, [k], columns), [k], [f"{k}_{c}_ct" for c in columns])
     return df

@@ -45,6 +45,22 @@ def with_client_keys(df: DataFrame, dt: str, back: str, mail: str) -> DataFrame:
     return df.withColumns({"origin": origin_day(dt, back, "round"), "clean_email": clean_mail(mail)})
 
 
+def _known(d: DataFrame, history: dict[str, Column], query: dict[str, Column], groups: dict) -> DataFrame:
+    """The membership columns from the counts of each group."""
+    out = {}
+    for name, (keys, _) in groups.items():
+        h = F.coalesce(history[name], F.lit(0))
+        out |= {f"{name}_valid": all_present(*keys).cast("int"), f"{name}_seen": (h > 0).cast("int"), f"{name}_history_count": F.log1p(h),
+                f"{name}_query_count": F.log1p(F.coalesce(query[name], F.lit(0)))}
+    d = d.withColumns(out)
+    names = list(groups)
+    strict = F.col(f"{names[0]}_seen") == 1
+    broad = F.greatest(*[F.col(f"{n}_seen") for n in names[1:]]) == 1
+    return d.withColumns({"segment_strict": strict.cast("int"), "segment_partial": (~strict & broad).cast("int"),
+                          "segment_cold": (~strict & ~broad).cast("int"),
+                          "seen_keys": sum((F.col(f"{n}_seen") for n in names), F.lit(0))})
+
+
 def membership(query: DataFrame, history: DataFrame, groups: dict = MEMBERSHIP) -> DataFrame:
     """Per key group: validity, seen, log history count, log query count; then the segment flags.
 
@@ -56,18 +72,32 @@ def membership(query: DataFrame, history: DataFrame, groups: dict = MEMBERSHIP)
         ok = all_present(*keys)
         sides = [side.filter(ok).select(*keys, F.lit(i).alias("_side")) for i, side in enumerate((history, query))]
         counts = (sides[0].unionByName(sides[1]).groupBy(*keys)
-                  .agg(F.count_if(F.col("_side") == 0).alias("_h"), F.count_if(F.col("_side") == 1).alias("_q")))
+                  .agg(F.count_if(F.col("_side") == 0).alias(f"_h_{name}"), F.count_if(F.col("_side") == 1).alias(f"_q_{name}")))
         d = attach(d, counts, list(keys))
-        h = F.coalesce(F.col("_h"), F.lit(0))
-        d = d.withColumns({f"{name}_valid": ok.cast("int"), f"{name}_seen": (h > 0).cast("int"),
-                           f"{name}_history_count": F.log1p(h),
-                           f"{name}_query_count": F.log1p(F.coalesce(F.col("_q"), F.lit(0)))}).drop("_h", "_q")
-    names = list(groups)
-    strict = F.col(f"{names[0]}_seen") == 1
-    broad = F.greatest(*[F.col(f"{n}_seen") for n in names[1:]]) == 1
-    return d.withColumns({"segment_strict": strict.cast("int"), "segment_partial": (~strict & broad).cast("int"),
-                          "segment_cold": (~strict & ~broad).cast("int"),
-                          "seen_keys": sum((F.col(f"{n}_seen") for n in names), F.lit(0))})
+    out = _known(d, {n: F.col(f"_h_{n}") for n in groups}, {n: F.col(f"_q_{n}") for n in groups}, groups)
+    return out.drop(*[f"_{x}_{n}" for n in groups for x in "hq"])
+
+
+def fold_membership(df: DataFrame, day: str, folds: tuple, groups: dict = MEMBERSHIP) -> DataFrame:
+    """Membership of every fold's validation rows against the rows before that fold's cut.
+
+    One row per key holds the history and validation counts of all folds as arrays: one pass over the rows and one lookup per group, and rows
+    are copied into their folds after it.
+    """
+    t = F.col(day)
+    inside = [(t < end, (t >= start) & (F.lit(True) if stop is None else t < stop)) for end, start, stop in folds]
+    used = F.lit(False)
+    for _, valid in inside:
+        used = used | valid
+    d = df.filter(used)
+    for name, (keys, _) in groups.items():
+        counts = df.filter(all_present(*keys)).groupBy(*keys).agg(F.array(*[F.count_if(past) for past, _ in inside]).alias(f"_h_{name}"),
+                                                                F.array(*[F.count_if(valid) for _, valid in inside]).alias(f"_q_{name}"))
+        d = attach(d, counts, list(keys))
+    mine = F.filter(F.array(*[F.when(valid, F.lit(n)) for n, (_, valid) in enumerate(inside)]), lambda x: x.isNotNull())
+    d = d.withColumn("fold", F.explode(mine))
+    at = lambda x, n: F.get(f"_{x}_{n}", F.col("fold"))
+    return _known(d, {n: at("h", n) for n in groups}, {n: at("q", n) for n in groups}, groups).drop(*[f"_{x}_{n}" for n in groups for x in "hq"])
 
 
 def segment_label(df: DataFrame, out: str = "segment") -> DataFrame:
@@ -75,19 +105,6 @@ def segment_label(df: DataFrame, out: str = "segment") -> DataFrame:
                          .when(F.col("segment_partial") == 1, "partial").otherwise("cold"))
 
 
-def fold_membership(df: DataFrame, day: str, folds: tuple, groups: dict = MEMBERSHIP) -> DataFrame:
-    """Membership of every fold's validation rows against the rows before that fold's cut."""
-    from .folds import windows
-    parts = []
-    for n, (end, start, stop) in enumerate(folds):
-        history, valid = windows(df, day, end, start, stop)
-        parts.append(membership(valid, history, groups).withColumn("fold", F.lit(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def segment_shares(df: DataFrame, segment: str) -> DataFrame:
     n = df.groupBy(segment).count()
     total = n.agg(F.sum("count").alias("_t")).withColumn("_one", F.lit(1))

@@ -39,7 +39,7 @@ def test_bounds_hold_the_auc(spark, scores, bins):
             rows = [(r[1], round(w["a"] * r[2] + w["b"] * r[3] + w["c"] * r[4], 12)) for r in data if r[5] == fold and r[2] is not None]
             low, high = found[(fold or "", i)]
             assert low - 1e-12 <= brute_auc(rows) <= high + 1e-12
-            assert high - low <= (1 if bins == 4 else 0.05)
+            assert w["c"] == 0 or high - low <= (1 if bins == 4 else 0.05)      # without c most scores are tied
 
 
 def test_best_mean_equals_the_full_grid(spark, scores):
