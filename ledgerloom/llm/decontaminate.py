@@ -3,10 +3,10 @@
 1. Words (letters and digits, A-Z as a-z) that benchmark items hold make the vocabulary. Their frequencies are counted over the passages
    (blocks of 16 words) of all documents.
 2. A randomised singular value decomposition of the TF-IDF matrix of all passages of all documents and of the items gives the latent space.
-   The scan that counts the frequencies also counts, per task, how often two vocabulary words share a passage (AᵀA before weights), and
-   writes these tables; a round multiplies each of them with a random matrix and adds the products up, and one more round sharpens the space.
+   The scan that counts the frequencies also counts how often two vocabulary words share a passage (AᵀA before weights); an aggregation adds
+   these cells up, and a round multiplies their table with a random matrix; one more round sharpens the space.
 3. All passages of all documents (windows of about an item's length that overlap by half) are projected and compared with all items by cosine.
-4. Near items (cosine `near` or more) are compared word by word with the passage and its surroundings: a longest common subsequence of
+4. Near items (cosine `near` or more) whose words the passage and its surroundings hold often enough are compared word by word: a longest common subsequence of
    `same` of the item's words is a leak; from `paraphrase` on it is one if the item's answer (its `answer` column) is there as well. An item
    without an answer has nothing apart from its words that could be asked for: the subsequence alone decides.
 
@@ -31,7 +31,7 @@ from .words import word_hashes
 BLOCK = 16                 # words; passages are two or four blocks
 SLICE_BYTES = 256 << 10
 LEAST_WORDS = 5
-DENSE = 4096               # words of a vocabulary whose square is counted in a dense table (128 MB)
+DENSE = 4096               # words of a vocabulary whose square is counted in a dense table (64 MB)
 _plain = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 
 
@@ -70,6 +70,7 @@ class Items:
     space: np.ndarray | None = None    # weighted term vectors
     vectors: np.ndarray | None = None  # of the items, of length 1
     sizes: np.ndarray | None = None    # blocks of the passages that an item is compared with
+    counts: np.ndarray | None = None   # how often each item has each vocabulary word
     short_words: list[np.ndarray] = field(default_factory=list)
 
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,101 +92,105 @@ def read_items(rows: list) -> Items:
                  np.unique(np.concatenate(words)) if use else np.zeros(0, np.uint64), short_words=[h[first[i]:first[i + 1]] for i in short])
 
 
-class Together:
-    """How often two vocabulary words share a block: dense while the square of the vocabulary is small, else sorted cells."""
+EMITTED = 1 << 16          # cells of a batch
+HELD_CELLS = 1 << 21       # cells that a task holds for a large vocabulary
 
-    def __init__(self, size: int):
-        self.size, self.dense, self.held = size, np.zeros(size * size, np.int64) if size <= DENSE else None, []
 
-    def add(self, term: np.ndarray, block: np.ndarray) -> None:
-        cells = [term * self.size + term]
+def _frequencies(items: Items):
+    """(cell, n): how often two vocabulary words share a block, cell = row * size + column with row <= column; blocks that hold a word under
+    -1 - its number; and the number of blocks under NO_WORD."""
+    size = len(items.vocabulary)
+
+    def rows(cell: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(cell), EMITTED):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[a:a + EMITTED].astype(np.int64)), pa.array(n[a:a + EMITTED].astype(np.int64))], names=["cell", "n"])
+
+    def pairs(term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        cells = [term * size + term]
         for lag in range(1, BLOCK):            # words of a block come one after the other
             same = np.flatnonzero(block[lag:] == block[:-lag]) if len(term) > lag else np.zeros(0, np.int64)
             if not len(same):
                 break
             x, y = term[same], term[same + lag]
-            cells += [x * self.size + y, y * self.size + x]
-        cells = np.concatenate(cells)
-        if self.dense is not None:
-            np.add.at(self.dense, cells, 1)
-            return
-        self.held.append((cells, np.ones(len(cells), np.int64)))
-        if sum(len(c) for c, _ in self.held) > 1 << 23:
-            self.held = [self.counted()]
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.dense is not None:
-            at = np.flatnonzero(self.dense)
-            return at, self.dense[at]
-        if not self.held:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cell, n = (np.concatenate(c) for c in zip(*self.held))
-        by = np.argsort(cell)
-        cell, n = cell[by], n[by]
-        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        return cell[new], np.add.reduceat(n, new)
-
+            cells.append(np.minimum(x, y) * size + np.maximum(x, y))
+            twice = x == y                      # a word with itself stands on both sides of the diagonal
+            cells.append(x[twice] * size + y[twice])
+        return np.concatenate(cells)
 
-def _frequencies(items: Items):
-    """One row per task: the number of blocks, and as bytes the blocks of each word and the cells of `Together` with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, together = np.zeros(len(items.vocabulary), np.int64), 0, Together(len(items.vocabulary))
+        df, n = np.zeros(size, np.int64), 0
+        dense, held, many = np.zeros(size * size if size <= DENSE else 0, np.int32), [], 0
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 h, first = words_of(part.column("text"))
                 begin, block = blocks_of(first)
                 at, term = items.terms(h)
                 n += int(begin[-1])
-                df += np.bincount(np.unique(block[at] * len(df) + term) % len(df), minlength=len(df))
-                together.add(term, block[at])
-        cell, count = together.counted()
-        yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([x.tobytes()], pa.binary()) for x in (df, cell, count))], names=["n", "df", "cell", "count"])
+                df += np.bincount(np.unique(block[at] * size + term) % size, minlength=size)
+                cells = pairs(term, block[at])
+                if size <= DENSE:
+                    np.add.at(dense, cells, 1)
+                    continue
+                held.append(np.unique(cells, return_counts=True))
+                many += len(held[-1][0])
+                if many > HELD_CELLS:
+                    for cell, count in held:
+                        yield from rows(cell, count)
+                    held, many = [], 0
+        at = np.flatnonzero(dense)
+        yield from rows(at, dense[at])
+        for cell, count in held:
+            yield from rows(cell, count)
+        yield from rows(np.append(-1 - np.arange(size), NO_WORD), np.append(df, n))
     return run
 
 
+NO_WORD = -(1 << 62)
+
+
 def _times(weights: np.ndarray, right: np.ndarray):
-    """AᵀA·right over the blocks of each task that counted, summed, as bytes."""
+    """(i, m): the row i of AᵀA·right, as bytes, from cells (i, j, n) sorted by i; a row has all its cells in one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(right.shape)
+        total: dict[int, np.ndarray] = {}
         weighted = weights[:, None] * right
         for batch in batches:
-            for r in batch.to_pylist():
-                cell, count = np.frombuffer(r["cell"], np.int64), np.frombuffer(r["count"], np.int64)
-                for a in range(0, len(cell), 1 << 16):      # cells are sorted: the rows of AᵀA are runs
-                    row, column = np.divmod(cell[a:a + (1 << 16)], len(weights))
-                    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    total[row[new]] += np.add.reduceat(count[a:a + (1 << 16), None] * weighted[column], new)
-        yield pa.RecordBatch.from_arrays([pa.array([(weights[:, None] * total).tobytes()], pa.binary())], names=["m"])
+            row, column, count = (batch.column(c).to_numpy() for c in ("i", "j", "n"))
+            for a in range(0, len(row), 1 << 14):
+                r = row[a:a + (1 << 14)]
+                new = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                sums = np.add.reduceat(count[a:a + (1 << 14), None] * weighted[column[a:a + (1 << 14)]], new)
+                for k, x in zip(r[new].tolist(), sums):
+                    total[k] = total[k] + x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([(weights[k] * x).tobytes() for k, x in total.items()], pa.binary())], names=["i", "m"])
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for m in batch.column("m"):
-            x = np.frombuffer(m.as_py())
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-
 def fit(d: DataFrame, items: Items, rank: int, seed: int = 5) -> Items:
-    """Document frequencies and the latent space over all of `d`, and the items in it."""
-    counted = save(d.mapInArrow(_frequencies(items), "n bigint, df binary, cell binary, count binary"))
-    n, df = 0, np.zeros(len(items.vocabulary))
-    for r in counted.select("n", "df").toLocalIterator():
-        n, df = n + r["n"], df + np.frombuffer(r["df"], np.int64)
+    """Document frequencies and the latent space over all of `d`, and the items in it.
+
+    What comes to the driver has the size of the items' vocabulary, not of `d`: frequencies, and per round a small vector for each word.
+    """
+    size = len(items.vocabulary)
+    counted = save(d.mapInArrow(_frequencies(items), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")))
+    n, df = 0, np.zeros(size)
+    for r in counted.filter("cell < 0").toLocalIterator():
+        if r["cell"] == NO_WORD:
+            n = r["n"]
+        else:
+            df[-1 - r["cell"]] = r["n"]
+    i, j = F.floor(F.col("cell") / size), F.col("cell") % size
+    half = counted.filter("cell >= 0").select(i.alias("i"), j.alias("j"), "n")
+    cells = save(half.unionByName(half.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n")).repartition("i").sortWithinPartitions("i"))
     items.weights = np.log((n + 1) / (df + 1)) + 0.1
-    wide = min(len(items.vocabulary), rank + 8)
-    basis = np.random.Generator(np.random.PCG64(seed)).normal(size=(len(items.vocabulary), wide))
+    wide = min(size, rank + 8)
+    basis = np.random.Generator(np.random.PCG64(seed)).normal(size=(size, wide))
     # the items count as much as all passages together
     own = np.concatenate(items.words), np.concatenate([[0], np.cumsum([len(w) for w in items.words])])
     share = max(1.0, n / len(items.words))
     for _ in range(2):
         total = share * gram_of_items(items, basis, *own)
-        parts = counted.select("cell", "count").mapInArrow(_times(items.weights, basis), "m binary").repartition(8).mapInArrow(_summed, "m binary")
-        for r in parts.toLocalIterator():      # one small matrix from each of 8 tasks, one by one
-            total += np.frombuffer(r["m"]).reshape(basis.shape)
+        for r in cells.mapInArrow(_times(items.weights, basis), "i bigint, m binary").toLocalIterator():
+            total[r["i"]] += np.frombuffer(r["m"])
         basis, _ = np.linalg.qr(total)
     core = basis.T @ total
     value, turn = np.linalg.eigh((core + core.T) / 2)
@@ -193,6 +198,7 @@ def fit(d: DataFrame, items: Items, rank: int, seed: int = 5) -> Items:
     items.space = (items.weights[:, None] * space).astype(np.float32)
     vectors = np.stack([items.space[items.terms(w)[1]].sum(0) for w in items.words])
     items.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    items.counts = np.stack([np.minimum(np.bincount(items.terms(w)[1], minlength=size), 65535).astype(np.uint16) for w in items.words])
     items.sizes = np.where([len(w) <= 2 * BLOCK for w in items.words], 2, 4)
     return items
 
@@ -225,6 +231,31 @@ def bits_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+def possible(items: Items, item: np.ndarray, term: np.ndarray, low: np.ndarray, high: np.ndarray, needed: np.ndarray) -> list[int]:
+    """Candidates whose window of vocabulary words (`term` from low to high) can have a common subsequence of `needed` words with the item:
+    first by the window's words that the item has, then by the item's words that the window has, repeats counted."""
+    out = []
+    size = high - low
+    group = np.cumsum(size) >> 20       # so that windows are read in bounded pieces
+    for g in np.unique(group):
+        mine = np.flatnonzero((group == g) & (size >= needed))
+        for turn in (0, 1):
+            if not len(mine):
+                break
+            n = size[mine]
+            begin = np.cumsum(n) - n
+            word = term[np.repeat(low[mine] - begin, n) + np.arange(n.sum())]
+            if turn:
+                both = np.unique(np.repeat(np.arange(len(mine)), n) * items.counts.shape[1] + word)
+                of, word = np.divmod(both, items.counts.shape[1])
+                bound = np.bincount(of, items.counts[item[mine][of], word], len(mine))
+            else:
+                bound = np.add.reduceat((items.counts[np.repeat(item[mine], n), word] > 0).astype(np.int64), begin)
+            mine = mine[bound >= needed[mine]]
+        out += mine.tolist()
+    return out
+
+
 def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same: float, paraphrase: float) -> list[dict]:
     """Per row: item number -> share of the item's words that the text has in order."""
     h, first = words_of(part.column("text"))
@@ -242,6 +273,7 @@ def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same
     at, term = items.terms(h)
     if not len(at):
         return found
+    lengths = np.array([len(w) for w in items.words])
     sums = np.zeros((begin[-1] + 1, items.space.shape[1]))
     row = block[at]
     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -254,23 +286,26 @@ def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same
         text, start, end = passages(begin, size)
         p = (sums[end] - sums[start]).astype(np.float32)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
-        for i, j in zip(*np.nonzero(p @ items.vectors[which].T >= near)):
-            item, d = int(which[j]), int(text[i])
-            words, n = tables[item], len(items.words[item])
-            if found[d].get(item, 0.0) >= 1:
+        i, j = np.nonzero(p @ items.vectors[which].T >= near)
+        item, d = which[j], text[i]
+        a = first[d] + (start[i] - begin[d]) * BLOCK
+        b = np.minimum(first[d] + (end[i] - begin[d]) * BLOCK, first[d + 1])
+        low, high = np.maximum(first[d], a - lengths[item] // 2), np.minimum(first[d + 1], b + lengths[item] // 2)
+        low_known, high_known = np.searchsorted(at, low), np.searchsorted(at, high)
+        for k in possible(items, item, term, low_known, high_known, np.ceil(min(same, paraphrase) * lengths[item] - 1e-9)):
+            of, row = int(item[k]), int(d[k])
+            words, n = tables[of], int(lengths[of])
+            if found[row].get(of, 0.0) >= 1:
                 continue
-            a = first[d] + (start[i] - begin[d]) * BLOCK
-            b = min(first[d] + (end[i] - begin[d]) * BLOCK, first[d + 1])
-            around = h[max(first[d], a - n // 2):min(first[d + 1], b + n // 2)].tolist()
-            share = common(words[0], n, around) / n
-            if share >= same or share >= paraphrase and common(words[1], words[2], around) >= 0.9 * words[2]:
-                found[d][item] = max(share, found[d].get(item, 0.0))
+            share = common(words[0], n, term[low_known[k]:high_known[k]].tolist()) / n      # other words match nothing
+            if share >= same or share >= paraphrase and common(words[1], words[2], h[low[k]:high[k]].tolist()) >= 0.9 * words[2]:
+                found[row][of] = max(share, found[row].get(of, 0.0))
     return found
 
 
 def _searched(items: Items, near: float, same: float, paraphrase: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [(bits_of(w), bits_of(a), len(a)) for w, a in zip(items.words, items.answers)]
+        tables = [(bits_of(items.terms(w)[1]), bits_of(a), len(a)) for w, a in zip(items.words, items.answers)]
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 found = leaks_in(part, items, tables, near, same, paraphrase)

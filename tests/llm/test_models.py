@@ -95,11 +95,11 @@ def test_recall_of_candidates_against_all_windows(spark):
         assert len(found) == 40 and np.mean(found) >= 0.9, (share, np.mean(found))
 
 
-def test_the_space_is_fitted_on_all_passages(spark):
+@pytest.mark.parametrize("dense", [4096, 0])
+def test_the_space_is_fitted_on_all_passages(monkeypatch, dense):
     rng = random.Random(17)
     items = decontaminate.read_items([{"item_id": i, "text": words(rng, 30, pool=40), "answer": None} for i in range(5)])
     texts = [words(rng, rng.randint(1, 70), pool=40) for _ in range(30)]
-    rows = [r for b in decontaminate._frequencies(items)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for r in b.to_pylist()]
     size = len(items.vocabulary)
     want, number = np.zeros((size, size)), {int(w): k for k, w in enumerate(items.vocabulary)}
     for t in texts:
@@ -107,13 +107,33 @@ def test_the_space_is_fitted_on_all_passages(spark):
         for a in range(0, len(h), decontaminate.BLOCK):
             x = np.bincount([number[int(w)] for w in h[a:a + decontaminate.BLOCK] if int(w) in number], minlength=size)
             want += np.outer(x, x)
-    got = np.zeros(size * size)
-    got[np.frombuffer(rows[0]["cell"], np.int64)] = np.frombuffer(rows[0]["count"], np.int64)
-    assert (got.reshape(size, size) == want).all()
-    together = decontaminate.Together(size)
-    together.dense = None
-    together.add(np.array([0, 1, 1, 2]), np.array([0, 0, 0, 1]))
-    assert dict(zip(*(x.tolist() for x in together.counted()))) == {0: 1, 1: 2, size: 2, size + 1: 4, 2 * size + 2: 1}
+    monkeypatch.setattr(decontaminate, "DENSE", dense)
+    monkeypatch.setattr(decontaminate, "HELD_CELLS", 50)
+    got = np.zeros((size, size))
+    df, blocks = np.zeros(size), 0
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["text"]) for x in (texts[:20], texts[20:])]
+    for r in (r for b in decontaminate._frequencies(items)(iter(batches)) for r in b.to_pylist()):
+        if r["cell"] == decontaminate.NO_WORD:
+            blocks += r["n"]
+        elif r["cell"] < 0:
+            df[-1 - r["cell"]] += r["n"]
+        else:
+            got[divmod(r["cell"], size)] += r["n"]
+    assert (np.tril(got, -1) == 0).all() and (got + np.triu(got, 1).T == want).all()
+    assert blocks == sum(-(-len(t.split()) // decontaminate.BLOCK) for t in texts) and (df <= np.diag(want)).all() and ((df > 0) == (np.diag(want) > 0)).all()
+
+
+def test_the_bound_on_common_words_loses_nothing(spark):
+    rng = random.Random(21)
+    items = decontaminate.read_items([{"item_id": i, "text": words(rng, 24, pool=30), "answer": None} for i in range(6)])
+    size = len(items.vocabulary)
+    items.counts = np.stack([np.bincount(items.terms(w)[1], minlength=size) for w in items.words])
+    term = np.array([rng.randrange(size) for _ in range(4000)])
+    low = np.arange(0, 3900, 20)
+    item, needed = np.array([rng.randrange(6) for _ in low]), np.full(len(low), 8.0)
+    kept = set(decontaminate.possible(items, item, term, low, low + 60, needed))
+    shares = [decontaminate.common(decontaminate.bits_of(items.terms(items.words[i])[1]), len(items.words[i]), term[a:a + 60].tolist()) for i, a in zip(item, low)]
+    assert kept >= {k for k, x in enumerate(shares) if x >= 8} and len(kept) < len(low)
 
 
 def test_short_items_match_word_by_word(spark):
