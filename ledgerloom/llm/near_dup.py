@@ -4,11 +4,11 @@ Two collections of `bands` keys of `rows` minhashes each are made per text. A ta
 2 * bands * rows minhashes serve bands * bands tables of 2 * rows minhashes: about the square root of the usual work. For two texts
 of similarity s a table agrees with probability s ** (2 * rows), and some table with (1 - (1 - s ** rows) ** bands) ** 2.
 
-1. Texts with equal shingle sets form a class (128-bit signature), named by its smallest doc_id. Only classes go on.
+1. Texts with equal shingle sets form a class (128-bit signature), which gets a number. Only classes go on.
 2. Classes whose keys are alone in either collection can't share a table and are left out before tables are formed.
-3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most. Where buckets still hold several
+3. Each class is paired with the smallest of the first classes of its buckets: one pair a class. Where buckets still hold several
    components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other first classes and with their
-   neighbours in the order of further keys; pairs that are connected already are left out.
+   neighbours in the order of further keys, one pair for each class and component that it meets; pairs that are connected are left out.
    Buckets that stay open are settled exactly: of small ones (`SMALL` rows) all pairs of different components are listed; larger ones
    that share classes form a group, whose rows are dealt into blocks, and a task compares two blocks by size, minhashes and full sets.
    Every two classes of a bucket are compared or connected in the end, so `rounds` decides the speed only.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import components
 from .common import columns, mix, save, shingle_hashes, slices, text_or_empty, utf8
@@ -58,8 +59,9 @@ def _sketches(k: int, count: int):
                 n, one, two, values = [], [], [], []
                 for s in shingle_sets(part.column("text"), k):
                     n.append(len(s))
-                    one.append(np.bitwise_xor.reduce(mix(s * np.uint64(3))) if len(s) else np.uint64(0))
-                    two.append(mix(s + np.uint64(7)).sum() if len(s) else np.uint64(0))
+                    first, second = _signature(s)
+                    one.append(first)
+                    two.append(second)
                     values.append(minhashes(s, count) if len(s) else np.zeros(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)), pa.array(np.concatenate(values)))
                 yield pa.RecordBatch.from_arrays(
@@ -68,19 +70,40 @@ def _sketches(k: int, count: int):
     return run
 
 
+def _signature(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return (np.bitwise_xor.reduce(mix(s * np.uint64(3))), mix(s + np.uint64(7)).sum()) if len(s) else (np.uint64(0), np.uint64(0))
+
+
 def _sets(k: int):
+    """The shingle sets of rows whose text has the class's signature (another text may have the same doc_id)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                want = np.stack([part.column(c).to_numpy() for c in ("s1", "s2")], 1)
+                sets = [s if tuple(int(x.view(np.int64)) for x in _signature(s)) == tuple(w) else None
+                        for s, w in zip(shingle_sets(part.column("text"), k), want.tolist())]
+                use = [i for i, s in enumerate(sets) if s is not None]
+                flat = np.concatenate([sets[i] for i in use]) if use else np.zeros(0, np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(sets[i]) for i in use])]).astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(use, pa.int64())), lists], names=["id", "items"])
+    return run
+
+
+def _signed(k: int):
+    """(row, n_shingles, s1, s2) of (text, row)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column("text"), k))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)),
-                                                 pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["id", "items"])
+                signs = [_signature(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+                                                  *(pa.array(np.array([x[i] for x in signs], np.uint64).view(np.int64)) for i in (0, 1))], names=["row", "n_shingles", "s1", "s2"])
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that follow each other with the same table key, in a sorted partition."""
+    """Rows that follow each other with the same table key, in a sorted partition, where they are of different components: the class, and the
+    component and class after it."""
     last = None
     for batch in batches:
         key, node, group = (batch.column(c).to_numpy() for c in ("key", "id", "comp"))
@@ -89,8 +112,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(key):
             last = key[-1], node[-1], group[-1]
             pair = (key[1:] == key[:-1]) & (group[1:] != group[:-1])
-            a, b = node[:-1][pair], node[1:][pair]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[:-1][pair], group[1:][pair], node[1:][pair])], names=["id", "fc", "f"])
 
 
 SMALL = 8                  # rows of an open bucket all of whose pairs are listed
@@ -153,8 +175,8 @@ def _between(percent: int, least: int):
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """All pairs of different components of small buckets, but those with the first class, which the first round has looked at."""
-    met = rows.filter((F.col("n") <= SMALL) & (F.col("id") != F.col("f"))).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+    """All pairs of different components of small buckets."""
+    met = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(
         F.filter("m", lambda y: (y["id"] > x["id"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
     return met.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
@@ -186,7 +208,8 @@ def _half(side: int, bands: int, rows: int):
 
 
 def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows: int, slack: float = 5.5, rounds: int = 3) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to connect every component. `classes` is (id, mh)."""
+    """Confirmed links (a, b) between classes, enough to connect every component. `classes` is (id, mh, least, s1, s2), `least` being a doc_id
+    of the class."""
     count, s = 2 * bands * rows, percent / 100
     least = math.floor(count * s - slack * math.sqrt(count * s * (1 - s)))
     halves = classes.select("id", "mh", _half(0, bands, rows).alias("one"), _half(1, bands, rows).alias("two"))
@@ -200,8 +223,9 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
     shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     tables = save(tables.join(shared, "key").withColumn("comp", F.col("id")))
     # the ids grow with the corpus: never broadcast
-    sets = save(docs.join(halves.select("id").hint("merge"), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text")
-                .mapInArrow(_sets(k), "id bigint, items array<bigint>"))
+    wanted = classes.select("id", "least", "s1", "s2").join(halves.select("id"), "id", "left_semi").hint("merge")
+    sets = save(docs.join(wanted, docs["doc_id"] == F.col("least")).select("id", "s1", "s2", "text")
+                .mapInArrow(_sets(k), "id bigint, items array<bigint>").groupBy("id").agg(F.any_value("items").alias("items")))
     agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
     both = F.size(F.array_intersect("p", "q"))
 
@@ -220,10 +244,13 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
                  .filter("lo <> hi").select("key", F.col("first.id").alias("f"), F.col("first.comp").alias("fc")))
         tail = [f"t{h}{n % rounds}" for n in range(turn, turn + 2) for h in ("one", "two")]
         open_rows = tables.select("key", "id", "comp", *tail).join(first, "key")
-        pairs = open_rows.filter("comp <> fc").select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
+        # at first one leader for each class; then one class of each other component that it meets
+        by = ["id", "fc"] if turn else ["id"]
+        pairs = open_rows.filter("comp <> fc").select("id", "fc", "f")
         if turn:
             side = open_rows.repartitionByRange(F.col("key"), *tail, "id").sortWithinPartitions("key", *tail, "id")
-            pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "a bigint, b bigint"))
+            pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "id bigint, fc bigint, f bigint"))
+        pairs = pairs.groupBy(*by).agg(F.min("f").alias("f")).select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
         sure = confirmed(pairs.distinct())
         found = sure if found is None else found.unionByName(sure)
         if sure.isEmpty():
@@ -233,21 +260,41 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
         if turn < rounds - 1:
             tables = save(tables)
     still = (tables.groupBy("key").agg(F.min("id").alias("f"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("n > 2 AND lo <> hi").select("key", "f", "n"))
+             .filter("lo <> hi").select("key", "f", "n"))
     rows_left = save(tables.select("key", "id", "comp").join(still, "key"))
     found = found.unionByName(confirmed(_listed(rows_left)))
     return found.unionByName(save(_compared(rows_left, halves, sets, percent, least)))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 10, rows: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (the row is its component's smallest doc_id)."""
+def judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Every row's doc_id, n_shingles, s1 and s2 (signature of its set), component_id and kept."""
     d = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
     sketch = save(d.mapInArrow(_sketches(k, 2 * bands * rows), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, mh array<int>"))
     real = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = save(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("mh").alias("mh")))
-    comp = components(links(classes.groupBy("id").agg(F.min("mh").alias("mh")), d, k, percent, bands, rows))
-    named = (classes.select("s1", "s2", "n_shingles", "id").join(comp, F.col("id") == F.col("node"), "left")
-             .select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("of_class")))
+    # numbered, because texts that differ may have the same doc_id
+    classes = save(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min("mh").alias("mh")).withColumn("id", F.monotonically_increasing_id()))
+    comp = save(components(links(classes, d, k, percent, bands, rows)).join(classes.select(F.col("id").alias("node"), "least"), "node"))
+    smallest = comp.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = (classes.select("s1", "s2", "n_shingles", "id", "least").join(comp.join(smallest, "component").select(F.col("node").alias("id"), "smallest"), "id", "left")
+             .select("s1", "s2", "n_shingles", F.coalesce("smallest", "least").alias("of_class")))
     out = sketch.drop("mh").join(named, ["s1", "s2", "n_shingles"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("of_class"))).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 10, rows: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (the row is its component's smallest doc_id)."""
+    return judged(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_first(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = 10, rows: int = 3) -> DataFrame:
+    """The rows of `docs` that are kept, all columns. Of rows with one doc_id and different texts each is judged by its own text."""
+    found = save(judged(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "s1", "s2", "kept").filter("doc_id IS NOT NULL"))
+    ids = save(found.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).filter("NOT all").withColumnRenamed("doc_id", "_of"))
+    out = docs.join(ids, F.col("doc_id") == F.col("_of"), "left_anti")
+    mixed = docs.join(ids.filter("any"), F.col("doc_id") == F.col("_of"), "left_semi")
+    rows_in = mixed.select(text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    signed = rows_in.mapInArrow(_signed(k), StructType([rows_in.schema["row"], *(StructField(c, LongType()) for c in ("n_shingles", "s1", "s2"))]))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_of"), "n_shingles", "s1", "s2").distinct()
+    left = signed.withColumn("_of", F.col("row.doc_id")).join(gone, ["_of", "n_shingles", "s1", "s2"], "left_anti").select("row.*")
+    return out.unionByName(left)

@@ -1,5 +1,6 @@
 """Operators 3 and 10 against brute force over all pairs."""
 import collections
+import random
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from ledgerloom.llm import line_dedup, near_dup
 
-from .helpers import docs, plain, rows
+from .helpers import docs, plain, rows, words
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -90,6 +91,20 @@ def test_buckets_that_leaders_and_neighbours_do_not_settle(spark, monkeypatch):
     assert got == want
 
 
+def test_one_id_with_different_texts(spark):
+    """Rows are judged by their own text: links of texts that share a doc_id are not lost, and none of them takes the other along."""
+    rng = random.Random(31)
+    x, y, z = (words(rng, 60) for _ in range(3))
+    near = lambda t: t + " one"
+    data = [(3, x), (5, near(x)), (5, y), (7, near(y)), (8, z), (9, near(z)), (5, near(x)), (None, x)]
+    d = docs(spark, [(i, t, "en", "s0", None, None, None, None) for i, t in data])
+    got = sorted((r.doc_id if r.doc_id is not None else -1, -1 if r.component_id is None else r.component_id, r.kept) for r in near_dup.near_duplicates(d).collect())
+    assert got == [(-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 5, False), (8, 8, True), (9, 8, False)]
+    kept = near_dup.keep_first(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(-1, x), (3, x), (5, y), (8, z)])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark).limit(0)).count() == 0
     r = near_dup.near_duplicates(plain(spark, None, "", "a")).orderBy("doc_id").collect()
