@@ -3,7 +3,7 @@ benchmark items go, and what is left is encoded."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe_codec, byte_cnn, decontaminate, line_dedup, near_dup
 from ledgerloom.llm.common import save, table
@@ -21,8 +21,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the smallest id stays."""
-    found = near_dup.near_duplicates(docs, k=5, percent=80, bands=12, rows=3).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.keep_first(docs, k=5, percent=80, bands=12, rows=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
