@@ -6,7 +6,7 @@ of similarity s a table agrees with probability s ** (2 * rows), and some table
 
 1. Texts with equal shingle sets form a class (128-bit signature), which gets a number. Only classes go on.
 2. Classes whose keys are alone in either collection can't share a table and are left out before tables are formed.
-3. Each class is paired with the smallest of the first classes of its buckets: one pair a class. Where buckets still hold several
+3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most. Where buckets still hold several
    components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other first classes and with their
    neighbours in the order of further keys, one pair for each class and component that it meets; pairs that are connected are left out.
    Buckets that stay open are settled exactly: of small ones (`SMALL` rows) all pairs of different components are listed; larger ones
@@ -175,8 +175,8 @@ def _between(percent: int, least: int):
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """All pairs of different components of small buckets."""
-    met = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+    """All pairs of different components of small buckets, but those with the first class, which the first round has looked at."""
+    met = rows.filter((F.col("n") <= SMALL) & (F.col("id") != F.col("f"))).groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x: F.transform(
         F.filter("m", lambda y: (y["id"] > x["id"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
     return met.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b").distinct()
@@ -244,13 +244,14 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
                  .filter("lo <> hi").select("key", F.col("first.id").alias("f"), F.col("first.comp").alias("fc")))
         tail = [f"t{h}{n % rounds}" for n in range(turn, turn + 2) for h in ("one", "two")]
         open_rows = tables.select("key", "id", "comp", *tail).join(first, "key")
-        # at first one leader for each class; then one class of each other component that it meets
-        by = ["id", "fc"] if turn else ["id"]
         pairs = open_rows.filter("comp <> fc").select("id", "fc", "f")
         if turn:
             side = open_rows.repartitionByRange(F.col("key"), *tail, "id").sortWithinPartitions("key", *tail, "id")
             pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "id bigint, fc bigint, f bigint"))
-        pairs = pairs.groupBy(*by).agg(F.min("f").alias("f")).select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
+        if turn:
+            # groups have formed: one class of each other component that a class meets
+            pairs = pairs.groupBy("id", "fc").agg(F.min("f").alias("f"))
+        pairs = pairs.select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
         sure = confirmed(pairs.distinct())
         found = sure if found is None else found.unionByName(sure)
         if sure.isEmpty():
@@ -260,7 +261,7 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
         if turn < rounds - 1:
             tables = save(tables)
     still = (tables.groupBy("key").agg(F.min("id").alias("f"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo <> hi").select("key", "f", "n"))
+             .filter("n > 2 AND lo <> hi").select("key", "f", "n"))
     rows_left = save(tables.select("key", "id", "comp").join(still, "key"))
     found = found.unionByName(confirmed(_listed(rows_left)))
     return found.unionByName(save(_compared(rows_left, halves, sets, percent, least)))
