@@ -13,10 +13,11 @@ m tokens can be similar only if
   * the parities of 128 hashed bits differ in no more places than the sets may (bitmap filter).
 What passes is confirmed on the full sets.
 
-A bucket is a stream in order of the lines. In the first round every line names the earlier line that the bitmap says is nearest, so
-a bucket gives as many pairs as it has rows; confirmed ones settle most lines. In the second round the lines that are still there and had
-further candidates meet all of them in the buckets where they had them, so no match is lost, and matches of lines already removed are not
-listed. A bucket's pairs are weighed in blocks of bounded size and never leave the task.
+A bucket is a stream in order of the lines, each set once, at its first line. In the first round every line names the earlier line that
+the bitmap says is nearest, or the `NEAREST` nearest where the bitmap leaves doubt, so a bucket gives pairs in proportion to its rows; confirmed
+ones settle most lines. In the second round the lines that are still there and had further candidates meet them in the buckets where they had
+them, among lines of a size that can match, until the first that is similar, so no match is lost and none is listed twice. A bucket's pairs are
+weighed in blocks of bounded size and never leave the task.
 
 Which lines need full sets, and which buckets the second round is about, is told to the scans by bit tables of fixed size; a wrong hit in them
 only sends a row too many. NULL texts are empty. Rows with a NULL doc_id are left alone. Identical repeated rows are one record.
@@ -34,6 +35,8 @@ from .words import word_hashes
 
 FLAG_BITS = 26             # of the bit tables: 8 MB
 HASH_BITS = 48             # of a token's order value, below its rarity
+NEAREST = 8                # candidates a line names in a bucket where the bitmaps do not settle it
+SIZES = 2654435761         # odd: spreads set sizes over the places of a bit table
 MEETS = 4                  # words from which a line can match another set than its own: 4 of 5 words are 0.8, 3 of 4 are not
 
 
@@ -132,7 +135,7 @@ def flagged(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _buckets(counts, least: int, tokens=None, ids=None):
-    """Rows (token, line) of prefixes; with `tokens`, only those flagged there, and whether the line is flagged in `ids`."""
+    """Rows (token, line) of prefixes; with `tokens`, only those flagged there with the line's size, and whether the line is flagged in `ids`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, some, own = counts.value, tokens and tokens.value, ids and ids.value
         for batch in batches:
@@ -146,7 +149,7 @@ def _buckets(counts, least: int, tokens=None, ids=None):
                 once = once[lines.size[once] >= MEETS]
                 at, line = lines.prefixes(once)
                 if some is not None:
-                    hit = flagged(lines.value[at], some)
+                    hit = flagged(lines.value[at] ^ lines.size[line].astype(np.uint64) * np.uint64(SIZES), some)
                     at, line = at[hit], line[hit]
                 if not len(at):
                     continue
@@ -170,16 +173,27 @@ BUCKET_ROWS = ", ".join(f"{n} bigint" for n in ROW_NAMES)
 
 def _candidates(everything: bool):
     """Pairs (id, an earlier line's id) within buckets. First round: the nearest by the bitmaps, and the token with place of the line if
-    there were more. Second round, for lines that ask: all whose full sets are similar."""
+    there were more. Second round, for lines that ask: the nearest whose full set is similar."""
     names = [*ROW_NAMES, "items"] if everything else ROW_NAMES
 
     def similar(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ok = np.fromiter((9 * len(np.intersect1d(c["items"][i], c["items"][j], assume_unique=True)) >= 4 * (len(c["items"][i]) + len(c["items"][j]))
-                          for i, j in zip(x.tolist(), y.tolist())), bool, len(x))
-        x, y = x[ok], y[ok]
+        items, found, done = c["items"], [], -1
+        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+            if j != done and 9 * len(np.intersect1d(items[i], items[j], assume_unique=True)) >= 4 * (len(items[i]) + len(items[j])):
+                found.append(k)
+                done = j
+        x, y = x[found], y[found]
         yield _batch(PAIR_NAMES, c["id"][y], c["id"][x], c["token"][y], c["doc_id"][y], c["number"][y])
 
+    def once(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Each set of a bucket at its first line."""
+        by = np.lexsort((c["id"], c["token"]))      # stable: rows come in order of the lines
+        t, i = c["token"][by], c["id"][by]
+        first = np.sort(by[np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])])])
+        return c if len(first) == len(by) else {k: v[first] for k, v in c.items()}
+
     def weigh(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        c = once(c)
         token = c["token"]
         new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         rank = np.arange(len(token)) - np.repeat(new, np.diff(np.append(new, len(token))))
@@ -197,23 +211,29 @@ def _candidates(everything: bool):
                 continue
             r = rank[rows]
             y = np.repeat(rows, r)
-            first = np.cumsum(r) - r
-            x = np.repeat(rows - r, r) + np.arange(r.sum()) - np.repeat(first, r)
+            x = np.repeat(rows - r, r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
             n, m = size[x], size[y]
             apart = sum(np.bitwise_count((c[b][x] ^ c[b][y]).view(np.uint64)).astype(np.int64) for b in ("b0", "b1"))
             need = (4 * (n + m) + 8) // 9
             passes = ((c["id"][x] != c["id"][y]) & (4 * np.maximum(n, m) <= 5 * np.minimum(n, m)) & ((n + m - apart) // 2 >= need)
                       & (np.minimum(n - place[x], m - place[y]) + np.minimum(place[x], place[y]) >= need))
+            hit = np.flatnonzero(passes)
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((hit, apart[hit], y[hit]))]       # nearest first
+            x, y, apart = x[hit], y[hit], apart[hit]
             if everything:
-                yield from similar(c, x[passes], y[passes])
+                yield from similar(c, x, y)
                 continue
-            score = np.where(passes, apart << 40 | np.arange(len(x)) - np.repeat(first, r), np.iinfo(np.int64).max)
-            best = np.minimum.reduceat(score, first)
-            ok = best < np.iinfo(np.int64).max
-            many = (np.add.reduceat(passes.astype(np.int64), first) > 1)[ok]
-            chosen = (rows - r + (best & ((1 << 40) - 1)))[ok]
-            rows = rows[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(c["id"][rows]), pa.array(c["id"][chosen]), *(pa.array(c[k][rows], mask=~many) for k in ("token", "doc_id", "number"))],
+            start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+            count = np.diff(np.append(start, len(y)))
+            # sets may differ in (n + m) / 9 words: where the bitmaps see no more than half of that, the nearest is enough
+            named = np.where(18 * apart[start] <= size[x[start]] + size[y[start]], 1, NEAREST)
+            nth = np.arange(len(y)) - np.repeat(start, count)
+            keep = nth < np.repeat(named, count)
+            tells = ((nth == 0) & np.repeat(count > named, count))[keep]
+            x, y = x[keep], y[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(c["id"][y]), pa.array(c["id"][x]), *(pa.array(c[k][y], mask=~tells) for k in ("token", "doc_id", "number"))],
                                              names=PAIR_NAMES)
 
     def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -304,7 +324,11 @@ def removed_lines(docs: DataFrame, least: int = 5, bits: int = 18) -> DataFrame:
     saw = pairs.filter(F.size("more") > 0).select("id", F.explode("more").alias("m")).select("id", "m.*").join(gone, "id", "left_anti")
     asking = save(saw.join(classes.select("id", "first"), "id").filter("doc_id = first.doc_id AND number = first.line").select("id", "token").distinct())
     if not asking.isEmpty():
-        similar = meet(send(flags(asking, "token")), send(flags(asking, "id"))).select("id", "other").distinct()
+        n = F.size("items")
+        fits = F.explode(F.sequence(F.ceil(n * 4 / 5), F.floor(n * 5 / 4)))       # sizes that can match
+        at = (asking.join(sets, "id").select("token", fits.alias("m")).distinct()
+              .select(F.col("token").bitwiseXOR(F.col("m") * F.lit(SIZES)).alias("at")))
+        similar = meet(send(flags(at, "at")), send(flags(asking, "id"))).select("id", "other").distinct()
         gone = gone.unionByName(losers(save(similar))).distinct()
     hits = classes.join(gone.withColumn("near", F.lit(True)), "id", "left").filter("near OR n > 1").drop("n")
     return (lines.select("doc_id", "of_text", "line", "id", "id2").join(hits, ["id", "id2"])
@@ -324,12 +348,14 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """`docs` without the removed lines, `n_chars` counted anew where there is one. A row all of whose words went is dropped."""
     gone = removed_lines(docs, **options).select(F.col("doc_id").alias("_doc_id_of"), F.col("of_text").alias("_of_text"), F.col("removed").alias("_removed"))
-    text = text_or_empty()
-    d = docs.join(gone, (F.col("doc_id") == F.col("_doc_id_of")) & (F.xxhash64(text) == F.col("_of_text")), "left")
-    lines = F.split("text", "\n")
+    row = F.col("_row")         # packed, so that no column of the table can clash with the three above
+    text, cut = row["text"], F.col("_removed").isNotNull()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    d = d.join(gone, (row["doc_id"] == F.col("_doc_id_of")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_of_text")), "left")
+    lines = F.split(text, "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed"), lambda i: F.get(lines, i)), "\n")
-    d = d.withColumn("text", F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col("text")))
-    d = d.filter(F.col("_removed").isNull() | F.col("text").rlike("[^ \\t-\\r]"))
+    d = d.withColumn("_text", F.when(cut, kept).otherwise(text)).filter(~cut | F.col("_text").rlike("[^ \\t-\\r]"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_removed").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return d.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])

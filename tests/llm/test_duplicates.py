@@ -180,6 +180,31 @@ def test_lines_cut_out(spark):
     assert line_dedup.dedup_report(d.limit(0)).count() == 0
 
 
+def test_lines_whose_nearest_by_bitmap_are_not_similar(spark, monkeypatch):
+    """The first candidates of most lines fail, so that the second round has to find the match."""
+    rng = random.Random(4)
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(250):
+        t = list(base)
+        for k in rng.sample(range(60), rng.randint(2, 12)):
+            t[k] = f"n{rng.randrange(400)}"
+        texts.append(" ".join(t) + "\n" + " ".join(rng.sample(t, rng.randint(45, 60))))
+    data = list(enumerate(texts))
+    got = {(r.doc_id, texts[r.doc_id]): list(r.removed) for r in line_dedup.removed_lines(plain(spark, *texts)).collect()}
+    assert got == dict(brute_lines(data))
+
+
+def test_lines_cut_out_beside_clashing_columns(spark):
+    d = plain(spark, "one two three four five six", "new words\none two three four five SIX")
+    for extra in ("_removed", "_of_text", "_doc_id_of", "_row", "_text", "removed", "a.b"):
+        d = d.withColumn(extra, d.doc_id * 10)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert got[1].text == "new words" and got[1]["_row"] == got[1]["_removed"] == got[1]["a.b"] == 10
+    assert line_dedup.dedup_lines(d).columns == d.columns
+
+
 @pytest.mark.parametrize("everything", [False, True])
 def test_bucket_pairs_in_any_batches(everything):
     import pyarrow as pa
