@@ -48,8 +48,8 @@ MOBILE_DEVICE = "android|ios|iphone|ipad|^sm-|moto|huawei|redmi|xiaomi"
 MOBILE_BROWSER = "mobile|android|ios"
 
 # fixed values: key columns and largest group size of the two entity graphs
-GRAPH_KEYS = ((("card1", "addr1", "origin"), 200), (("card1", "origin", "email"), 200),
-              (("card1", "card2", "card3", "card5", "origin"), 150), (("card1", "addr1", "origin", "device"), 100))
+GRAPH_KEYS = ((("card1", "addr1", "origin"), 200), (("card1", "origin", "P_emaildomain"), 200),
+              (("card1", "card2", "card3", "card5", "origin"), 150), (("card1", "addr1", "origin", "DeviceInfo"), 100))
 # fixed values: graph2 keys
 GRAPH2_KEYS = ((("card1", "addr1", "origin"), 200), (("card1", "origin", "clean_email"), 150),
                (("card1", "card2", "card3", "card5", "origin"), 150))
@@ -61,7 +61,7 @@ MEMBERSHIP = {"strict_clean_email": (("card1", "addr1", "origin", "clean_email")
               "card_addr_origin": (("card1", "addr1", "origin"), 500),
               "card_origin_clean_email": (("card1", "origin", "clean_email"), 250),
               "card_full_origin": (("card1", "card2", "card3", "card5", "origin"), 250),
-              "card_addr_origin_product": (("card1", "addr1", "origin", "product"), 500),
+              "card_addr_origin_product": (("card1", "addr1", "origin", "ProductCD"), 500),
               "origin_clean_email": (("origin", "clean_email"), 150)}
 
 # fixed values: raw columns a meta model may see, by name, by pattern, by prefix of a frequency column

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.blend import with_bounded
 from ..operators.folds import hash_sample, windows
+from ..operators.joins import attach_bounded
 from ..operators.ranks import auc, quantiles
 from ..sources.store import save
 
@@ -78,6 +79,42 @@ def seed_subsets(scores: DataFrame, label: str, columns: list[str]) -> DataFrame
     return auc(long, label, "x", ["subset"])
 
 
+def _subset_means(columns: list[str], low: int, high: int):
+    """(mask, mean of its columns) of the subsets low..high-1, bit k of a mask for column k. Masks share their sums: the sum of a mask is that of
+    the mask without its highest bit plus one column, built up as one array."""
+    sums = F.array(F.lit(0.0))
+    for c in columns:
+        value = F.col(c).cast("double")
+        sums = F.concat(sums, F.transform(sums, lambda s: s + value))
+    part = F.slice(sums, low + 1, high - low)
+    mask = lambda i: i + F.lit(low)
+    return F.transform(part, lambda s, i: F.struct(mask(i).alias("mask"), F.round(s / F.bit_count(mask(i)), 12).alias("x")))
+
+
+def subset_lattice(scores: DataFrame, label: str, columns: list[str], batch: int = 64) -> DataFrame:
+    """(mask, rows, auc) for the mean of every subset of score columns.
+
+    Subsets are scored `batch` at a time, each batch's result written before the next, so rows are never multiplied by more than `batch`.
+    """
+    d, out = scores.select(label, *columns), None
+    for low in range(1, 1 << len(columns), batch):
+        high = min(low + batch, 1 << len(columns))
+        long = d.select(label, F.explode(_subset_means(columns, low, high)).alias("_s")).select(label, "_s.*")
+        one = save(auc(long, label, "x", ["mask"]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def apply_best_subset(scores: DataFrame, lattice: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """The mean of the subset of the largest AUC (to 12 digits; of equals the fewest columns, then the smallest mask) on every row."""
+    key = F.struct(F.round("auc", 12), -F.bit_count("mask"), -F.col("mask"))
+    best = lattice.agg(F.max_by("mask", key).alias("_mask")).withColumn("_one", F.lit(1))
+    d = attach_bounded(scores.withColumn("_one", F.lit(1)), best, ["_one"])
+    bits = [F.col("_mask").bitwiseAND(F.lit(1 << k)) != 0 for k in range(len(columns))]
+    total = sum((F.when(b, F.col(c)).otherwise(0.0) for b, c in zip(bits, columns)), F.lit(0.0))
+    return d.withColumn(out, total / F.bit_count("_mask")).drop("_mask", "_one")
+
+
 def leave_one_month(history: DataFrame, query: DataFrame, month: str, months: list, features: list[str], label: str,
                     row_id: str, out: str, extra: list[str] = (), **params) -> DataFrame:
     """Mean score of models that each leave one month of the history out."""

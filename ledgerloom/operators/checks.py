@@ -61,10 +61,28 @@ def metric_reproduced(measured: DataFrame, metric: str, stored: float, tolerance
     return measured.withColumn("reproduced", (F.abs(F.col(metric) - F.lit(stored)) <= tolerance).cast("int"))
 
 
-def forbidden_inputs(df: DataFrame, patterns: list[str]) -> list[str]:
-    """Input files of the plan whose name matches a forbidden pattern."""
-    import re
-    return [f for f in df.inputFiles() if any(re.search(p, f) for p in patterns)]
+def metrics_reproduced(measured: DataFrame, stored: DataFrame, name: str, metric: str, tolerance: float) -> DataFrame:
+    """Measured metrics against a stored table of them; a name that one side lacks is not reproduced."""
+    s = stored.select(F.col(name).alias("_name"), F.col(metric).alias("stored"))
+    d = measured.select(name, metric).join(s, F.col(name) == F.col("_name"), "full")
+    near = F.coalesce(F.abs(F.col(metric) - F.col("stored")) <= tolerance, F.lit(False))
+    return d.select(F.coalesce(name, "_name").alias(name), metric, "stored", near.cast("int").alias("reproduced"))
+
+
+def input_files(sources: list[DataFrame]) -> DataFrame:
+    """(path, rows) of every file the tables as read (`spark.read`, no further step) consist of. No column of the files is read, and
+    the list of files stays a table. A file without rows does not show."""
+    paths = [d.select(F.col("_metadata.file_path").alias("path")) for d in sources]
+    d = paths[0]
+    for p in paths[1:]:
+        d = d.unionByName(p)
+    return d.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def forbidden_inputs(sources: list[DataFrame], patterns: list[str]) -> DataFrame:
+    """(path, rows, pattern) of input files whose name matches a forbidden pattern, one row per pattern."""
+    hits = F.array(*[F.when(F.col("path").rlike(p), F.lit(p)) for p in patterns])
+    return input_files(sources).withColumn("pattern", F.explode(F.filter(hits, lambda h: h.isNotNull())))
 
 
 def reader_contract(df: DataFrame, dt: str, row_id: str, label: str | None) -> DataFrame:

@@ -70,7 +70,7 @@ def base(raw: DataFrame) -> DataFrame:
 
 def profile(d: DataFrame) -> DataFrame:
     """Components of the first graph and the profile of each component."""
-    g = d.withColumns({"origin": F.rint("D1_origin_day"), "email": F.col("P_emaildomain"), "device": F.col("DeviceInfo")})
+    g = d.withColumn("origin", F.rint("D1_origin_day"))
     keys = [(list(k), cap) for k, cap in cf.GRAPH_KEYS]
     comp = gr.entity_components(g, ID, keys, cf.COMPONENT_CAP)
     cols = list(dict.fromkeys([ID, DT, AMT, "component", *cf.PROFILE_IDS, *cf.PROFILE_NUMBERS]))

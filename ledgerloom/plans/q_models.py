@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from ..models import scoring as sc
 from ..operators import blend as bl, checks as ck, ranks as rk
 from ..sources import store, tables as tb
+from ..operators.joins import attach_bounded
+from .q_scores import auc_sql
 from .registry import query
 
 FEATURES = ["amt", "card1", "card2", "addr1", "d1", "d15", "d3", "c13", "day"]
@@ -48,6 +50,27 @@ def _(t):
     return sc.seed_subsets(d, "label", ["b_1", "b_2"])
 
 
+MASKS = ((1, "s1"), (2, "s2"), (3, "(s1 + s2) / 2"), (4, "s3"), (5, "(s1 + s3) / 2"), (6, "(s2 + s3) / 2"), (7, "(s1 + s2 + s3) / 3"))
+LATTICE = "WITH s AS (SELECT id, label, s1, s2, (s1 + 2 * s2 * s2) / 3 AS s3 FROM {tx})"
+SCORED = [auc_sql(f"(SELECT label, round({e}, 12) AS x FROM s)", "x") for _, e in MASKS]
+
+
+def lattice(t):
+    return t.tx().select("id", "label", "s1", "s2", ((F.col("s1") + 2 * F.col("s2") * F.col("s2")) / 3).alias("s3"))
+
+
+@query("M4_subset_lattice", "mask:i auc:f", f"{LATTICE} " + " UNION ALL ".join(f"SELECT {m} AS mask, auc FROM ({a})" for (m, _), a in zip(MASKS, SCORED)))
+def _(t):
+    return sc.subset_lattice(lattice(t), "label", ["s1", "s2", "s3"], batch=3)
+
+
+@query("M4_best_subset", "id:i best:f", f"{LATTICE}, g AS (" + " UNION ALL ".join(f"SELECT {m} AS mask, {m.bit_count()} AS n, auc FROM ({a})" for (m, _), a in zip(MASKS, SCORED)) + "), "
+       "b AS (SELECT mask FROM g ORDER BY round(auc, 12) DESC, n, mask LIMIT 1) SELECT id, CASE mask " + " ".join(f"WHEN {m} THEN {e}" for m, e in MASKS) + " END AS best FROM s, b")
+def _(t):
+    d = lattice(t)
+    return sc.apply_best_subset(d, sc.subset_lattice(d, "label", ["s1", "s2", "s3"]), ["s1", "s2", "s3"], "best")
+
+
 @query("M5_month_bagging", "id:i m:f")
 def _(t):
     h, q = frames(t)
@@ -157,12 +180,26 @@ def _(t):
 
 @query("S7_input_manifest", "name:s rows:i same:i", "SELECT 'orders' AS name, count(*) AS rows, 1 AS same FROM orders UNION ALL SELECT 'events', count(*), 1 FROM events")
 def _(t):
-    rows = []
+    out = None
     for name in ("orders", "events"):
-        a, b = tb.fingerprint(t.read(name)), tb.fingerprint(t.read(name).repartition(3))
-        hashes = tb.file_hashes(t.spark, f"{t.dir}/{name}.parquet").filter(F.length("sha256") == 64).count()
-        rows.append((name, a["rows"], int(a == b and hashes >= 1)))
-    return t.spark.createDataFrame(rows, "name string, rows long, same int")
+        prints = [tb.fingerprint_row(d) for d in (t.read(name), t.read(name).repartition(3))]
+        same = (F.count_distinct("rows", "hash") == 1) & F.bool_and("hashed")
+        hashed = tb.file_hashes(t.spark, f"{t.dir}/{name}.parquet").agg((F.count_if(F.length("sha256") == 64) >= 1).alias("hashed"))
+        d = attach_bounded(prints[0].unionByName(prints[1]).withColumn("_one", F.lit(1)), hashed.withColumn("_one", F.lit(1)), ["_one"])
+        d = d.agg(F.max("rows").alias("rows"), same.cast("int").alias("same")).withColumn("name", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("S7_streamed_hashes", "files:i same:i changed:i missing:i", "SELECT 2 AS files, 1 AS same, 1 AS changed, 1 AS missing")
+def _(t):
+    """Hashes streamed block by block against those of whole files, one of them stored wrongly, one file gone."""
+    found = [tb.file_hashes(t.spark, f"{t.dir}/{n}.parquet", whole=w) for w in (0, tb.WHOLE_FILE) for n in ("orders", "customer")]
+    known = found[2].unionByName(found[3]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    stored = known.withColumn("sha256", F.when(F.col("name").startswith("customer"), F.reverse("sha256")).otherwise(F.col("sha256")))
+    stored = stored.unionByName(known.filter("name LIKE 'orders%'").withColumn("name", F.concat(F.lit("lost-"), "name")))
+    d = tb.check_hashes(found[0].unionByName(found[1]), stored)
+    return d.agg(F.count_if(F.col("status") != "missing").alias("files"), *[F.count_if(F.col("status") == s).alias(s) for s in ("same", "changed", "missing")])
 
 
 @query("S8_prediction_sink", "id:i s1:f", "SELECT id, s1 FROM {tx} WHERE split = 'query'")

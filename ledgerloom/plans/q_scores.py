@@ -7,6 +7,8 @@ from ..config import DEV_PAIRS, LOCK_PAIRS, PURGED_FOLDS, SEGMENTS, STACK_FOLDS
 from ..functions import tokens as tk
 from ..operators import backtest as bt, blend as bl, chains, checks as ck, entity as en, folds as fo, graph as gr, ranks as rk, report as rp, search as se
 from ..operators import segments as sg
+from ..operators.joins import attach_bounded
+from ..sources.store import save
 from .q_rows import OR, POOL, POOL_SQL, cat, itok, pool_keys, tok
 from .q_stats import CH, CHAIN, CLIENT, GROUPS, counters, membership_sql
 from .registry import query
@@ -767,5 +769,27 @@ def _(t):
 
 @query("K8_forbidden_inputs", "n:i forbidden:i", "SELECT count(*) AS n, 0 AS forbidden FROM orders")
 def _(t):
-    bad = ck.forbidden_inputs(t.tx(), ["benchmark", "submission"])
-    return t.read("orders").agg(F.count(F.lit(1)).alias("n")).withColumn("forbidden", F.lit(len(bad)))
+    bad = ck.forbidden_inputs([t.read("orders")], ["benchmark", "submission"]).agg(F.count(F.lit(1)).alias("forbidden"))
+    n = t.read("orders").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    return attach_bounded(n, bad.withColumn("_one", F.lit(1)), ["_one"])
+
+
+@query("K8_forbidden_report", "table_name:s pattern:s rows:i", """SELECT 'benchmark.parquet' AS table_name, 'benchmark' AS pattern, count(*) AS rows FROM benchmark
+       UNION ALL SELECT 'labels.parquet', '/lab', count(*) FROM labels""")
+def _(t):
+    """A forbidden table among the inputs is found, with the rows that come from it."""
+    d = ck.forbidden_inputs([t.read(n).select("*") for n in ("orders", "benchmark", "labels")], ["benchmark", "submission", "/lab"])
+    name = F.regexp_extract("path", "([^/]+[.]parquet)(/[^/]*)?$", 1)
+    return d.groupBy(name.alias("table_name"), "pattern").agg(F.sum("rows").alias("rows"))
+
+
+@query("K7_stored_metrics", "name:s auc:f reproduced:i", f"""SELECT 's1' AS name, auc, 1 AS reproduced FROM ({auc_sql('{tx}', 's1')}) UNION ALL
+       SELECT 's2', auc, 0 FROM ({auc_sql('{tx}', 's2')}) UNION ALL SELECT 'gone', NULL, 0 FROM (SELECT count(*) FROM {{tx}})""")
+def _(t):
+    """Two metrics measured anew against a stored table, in which one is off by a millionth and one belongs to a score that is gone."""
+    measured = [rk.auc(t.tx(), "label", s).select(F.lit(s).alias("name"), "auc") for s in ("s1", "s2")]
+    measured = measured[0].unionByName(measured[1])
+    off = F.when(F.col("name") == "s2", F.col("auc") + 1e-6).otherwise(F.col("auc"))
+    stored = measured.withColumn("auc", off)
+    stored = save(stored.unionByName(stored.filter("name = 's1'").withColumn("name", F.lit("gone"))))
+    return ck.metrics_reproduced(measured, stored, "name", "auc", 1e-9)

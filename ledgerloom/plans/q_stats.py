@@ -6,6 +6,7 @@ from ..operators import causal, chains, distribution as di, entity as en, freque
 from ..operators.joins import attach
 from ..functions import rowwise as rw, tokens as tk
 from .q_rows import OR, cat, itok, tok
+from ..operators.timeline import Timeline
 from .registry import query
 
 NOGAP = "{tx} WHERE split <> 'gap'"
@@ -88,13 +89,12 @@ CHAIN = PARENT + """,
 
 
 def counters(t):
-    from pyspark.sql import Window
     d = t.tx().select("id", "dt", (F.col("card1") % 60).alias("uid"), "label", "split",
                       (F.rint(F.col("amt") * 100).cast("long") * 10).alias("a"))
-    w = Window.partitionBy("uid", F.col("id") % 2).orderBy("dt", "id").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum(F.coalesce("a", F.lit(0))).over(w), F.lit(0))
-    d = d.withColumn("s", total + F.when(F.col("id") % 6 == 0, 7).otherwise(F.col("id") % 3 - 1))
-    return d.withColumn("e", F.col("s") + F.col("a"))
+    tl = Timeline(d.withColumn("_odd", F.col("id") % 2), ["uid", "_odd"], ["dt", "id"])
+    d = tl.settle(tl.prefix({"_total": F.coalesce("a", F.lit(0))}))
+    d = d.withColumn("s", F.col("_total") + F.when(F.col("id") % 6 == 0, 7).otherwise(F.col("id") % 3 - 1))
+    return d.withColumn("e", F.col("s") + F.col("a")).drop("_odd", "_total")
 
 
 @query("J8_band_self_join", "id:i pid:i", f"WITH {PARENT} SELECT id, pid FROM par")

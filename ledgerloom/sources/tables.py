@@ -1,8 +1,12 @@
 """Reading and writing: labelled and unlabelled splits, caches with a manifest, predictions and reports."""
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -33,10 +37,49 @@ def fingerprint(df: DataFrame) -> dict:
     return {"rows": r["rows"], "hash": f"{r['x']}:{r['s']}", "columns": df.columns}
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and length per file; a file is one task's value, so this is for published files of up to 2 GB."""
-    d = spark.read.format("binaryFile").load(path)
-    return d.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def fingerprint_row(df: DataFrame) -> DataFrame:
+    """`fingerprint` as a table of one row (rows, hash), to be compared inside a plan."""
+    h = F.xxhash64(*df.columns)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.bit_xor(h), F.sum(F.shiftright(h, 16))).alias("hash"))
+
+
+WHOLE_FILE = 64 << 20      # bytes up to which a file is hashed as one value of a row
+FILE_BLOCK = 8 << 20       # bytes of a larger file that a task holds at a time
+
+
+def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+    for batch in batches:
+        for path, length in zip(batch["path"], batch["length"]):
+            local = path.startswith("file:") or "://" not in path
+            store, at = (fs.LocalFileSystem(), re.sub("^file:(//)?(?=/)", "", path)) if local else fs.FileSystem.from_uri(path)
+            h = hashlib.sha256()
+            with store.open_input_stream(at) as stream:
+                while block := stream.read(FILE_BLOCK):
+                    h.update(block)
+            yield pd.DataFrame({"path": [path], "length": [length], "sha256": [h.hexdigest()]})
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """(path, length, sha256) per file of any size.
+
+    Files of up to `whole` bytes are hashed as a value of their row. Larger ones are only listed by the reader, and the task that a
+    file falls to streams it block by block, so no task holds more than `whole` bytes or a block. Streams are opened by Arrow's file systems.
+    Files without any byte are not listed by Spark's readers and have no row here.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", "length").repartition(F.col("path"))
+    return small.unionByName(large.mapInPandas(_hash_streams, "path string, length bigint, sha256 string"))
+
+
+def check_hashes(found: DataFrame, expected: DataFrame, name: str = "name", sha: str = "sha256") -> DataFrame:
+    """(name, status): 'same', 'changed', 'missing' (expected only) or 'unexpected' (found only). Files are known by the last part of the path."""
+    f = found.select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.col("sha256").alias("_found"))
+    e = expected.select(F.col(name).alias("_want"), F.lower(sha).alias("_sha"))
+    status = (F.when(F.col("_file").isNull(), "missing").when(F.col("_want").isNull(), "unexpected")
+              .when(F.col("_sha").eqNullSafe(F.col("_found")), "same").otherwise("changed"))
+    return f.join(e, F.col("_file") == F.col("_want"), "full").select(F.coalesce("_want", "_file").alias("name"), status.alias("status"))
 
 
 def cached_matrix(spark: SparkSession, path: str, recipe: str, inputs: dict[str, dict], build) -> tuple[DataFrame, bool]:
