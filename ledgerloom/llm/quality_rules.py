@@ -2,13 +2,14 @@
 
 Per document: words, word characters, symbols, repeated lines and words inside five-word windows that occur twice. Across
 documents: lines, normalised (lower case, white space as one space, ends trimmed) and hashed, are counted per host by the
-distinct texts that hold them, so exact copies of one text count once and do not make its lines boilerplate. A line above
-both limits (`min_texts`, and `max_share` of the host's distinct texts) is removed wherever it stands in that host; a
-document that loses more than `max_removed` of its words is depleted and rejected.
+distinct documents that hold them (copies of a text are documents like any other). A line in more than `max_documents` of a
+host is removed wherever it stands in that host, however large the host is; a document that loses more than `max_removed`
+of its words is depleted and rejected.
 
-Counting starts with a partial aggregation by (host, line, text), so a host with a third of all rows or a line in a third of
-all texts is spread over many tasks. NULL and empty texts have no words and fail the base rule; a NULL host is one host
-of its own; NULL doc_ids are kept; repeated rows are judged row by row.
+Counting starts with a partial aggregation by (host, line, document), so a host with a third of all rows or a line in a third of
+all documents is spread over many tasks. NULL and empty texts have no words and fail the base rule; a NULL host is one host
+of its own; a row with a NULL doc_id is kept and is a document of its own; rows that repeat a doc_id are one document in
+counts and are judged row by row.
 """
 from __future__ import annotations
 
@@ -40,7 +41,7 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
             F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[w(i) for w in word]))),
     })
     d = d.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "host", F.xxhash64("text").alias("of_text"), "n_words",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "host", "n_words",
         _without(F.col("text"), SEPARATORS).cast("bigint").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -58,15 +59,14 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     return d.select(*[c for c in d.columns if c != "ordered"], F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_texts: int = 5, max_share: float = 0.02, max_removed: float = 0.8,
+def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 5, max_removed: float = 0.8,
                   min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
-    """doc_id, the counts, base_failed, removed_words (in lines above the limits), kept."""
+    """doc_id, the counts, base_failed, removed_words (in lines above the limit), kept."""
     m = save(measured(columns(docs, *dict.fromkeys(["doc_id", "text", host])), host))
-    lines = m.select("host", "of_text", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    often = lines.groupBy("host", "h").agg(F.count_distinct("of_text").alias("texts")).filter(F.col("texts") > min_texts)
-    hosts = m.groupBy("host").agg(F.count_distinct("of_text").alias("all_texts"))
-    above = (often.join(hosts, often["host"].eqNullSafe(hosts["host"])).filter(F.col("texts") > max_share * F.col("all_texts"))
-             .select(often["host"].alias("at_host"), "h"))
+    lines = m.select("host", "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("alone"),
+                     F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    above = (lines.distinct().groupBy("host", "h").count().filter(F.col("count") > max_documents)
+             .select(F.col("host").alias("at_host"), "h"))
     held = m.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("of_line"), "line.w")
     removed = (held.join(above, (F.col("of_line") == F.col("h")) & F.col("host").eqNullSafe(F.col("at_host")))
                .groupBy("row").agg(F.sum("w").cast("bigint").alias("removed_words")))
@@ -86,15 +86,13 @@ pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE
 grams AS (SELECT doc_id, i, words[i:i + 4] AS g FROM pos),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(5) AS r(j) GROUP BY 1),
-lines AS (SELECT doc_id, source, text, line,
+lines AS (SELECT doc_id, source, line,
     lower(array_to_string(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> ''), ' ')) AS norm,
     len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> '')) AS n
   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^ \t-\r]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1),
-above AS (SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, l.norm, h.n HAVING count(DISTINCT text) > 5 AND count(DISTINCT text) > 0.02 * h.n),
+above AS (SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT doc_id) > 5),
 gone AS (SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN above a ON a.norm = l.norm AND a.source IS NOT DISTINCT FROM l.source GROUP BY 1),
 m AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ \t-\r]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

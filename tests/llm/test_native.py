@@ -61,9 +61,23 @@ def test_common_lines_deplete(spark):
     common = "this line is everywhere and says nothing"
     own = [f"own text {i} " + " ".join(f"v{i}x{k}" for k in range(12)) for i in range(12)]
     data = [(i, common + "\n" + own[i], "en", "s0", None, None, None, None) for i in range(12)] + [(20, common + "\n" + common + " \nx y", "en", "s0", None, None, None, None)]
-    data += [(30 + i, own[0], "en", "s0", None, None, None, None) for i in range(30)]       # copies of one text are one text
+    data += [(30 + i, own[0], "en", "s0", None, None, None, None) for i in range(30)]       # copies are documents like any other
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, data)).collect()}
-    assert all(got[i].kept and got[i].removed_words == 7 for i in range(12)) and not got[20].kept and got[40].removed_words == 0 and got[40].kept
+    assert all(got[i].kept and got[i].removed_words == 7 for i in range(1, 12)) and not got[20].kept
+    assert all(not got[i].kept and got[i].removed_words == got[i].n_words for i in [0, *range(30, 60)])
+
+
+def test_lines_are_counted_by_document_and_host(spark):
+    """Five documents of a host leave a line alone, a sixth removes it: not a repeated row, not another host, not a larger one."""
+    line, rest = "seen here and there", " ".join(f"w{k}" for k in range(20))
+    row = lambda i, host, head, own: (i, f"{head}\n{rest} {own}", "en", host, None, None, None, None)
+    data = [row(i, "five", line, f"a{i}") for i in range(5)] + [row(0, "five", line, "a0")]
+    data += [row(10 + i, "six", "  Seen HERE\tand there", f"b{i}") for i in range(6)] + [row(100 + i, "six", f"only {i}", f"c{i}") for i in range(400)]
+    data += [row(None, None, line, f"d{i}") for i in range(6)]
+    got = quality_rules.quality_rules(docs(spark, data)).collect()
+    assert all(r.kept for r in got)
+    assert sorted((str(r.doc_id), r.removed_words) for r in got) == sorted(
+        (str(i), 4 if host is None or (host == "six" and i < 100) else 0) for i, _, _, host, *_ in data)
 
 
 @pytest.mark.parametrize("name", ["secrets", "quality"])
