@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join (operator 3).
 
-A line is the set of its words (A-Z as a-z); lines of fewer than `least` different words are left alone (the query sets 1: no line is). A
+A line is the set of its words (A-Z as a-z); lines of fewer than `least` different words are left alone (1, the default: no line is). A
 line goes if an earlier one, in order of doc_id and line number, has the same set or one of Jaccard similarity 0.8 or more. Sets of up to
 three words can only match an equal set; they are grouped by their signature and take no part in the join.
 
@@ -286,7 +286,7 @@ def _sets(counts, least: int, ids):
 SET_ROWS = "doc_id bigint, of_text bigint, line int, id bigint, id2 bigint, items array<bigint>"
 
 
-def removed_lines(docs: DataFrame, least: int = 5, bits: int = 18) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = 1, bits: int = 18) -> DataFrame:
     """(doc_id, of_text, removed): the numbers, from 0, of the lines that go, for rows that lose any."""
     spark = docs.sparkSession
     text = text_or_empty()

@@ -120,7 +120,7 @@ def test_minhashes_estimate_similarity():
     assert abs(agree - 900 / 1100) < 0.06
 
 
-def brute_lines(data, least=5):
+def brute_lines(data, least=1):
     """Removed line numbers by (doc_id, text)."""
     records = sorted({(r[0], r[1] or "") for r in data if r[0] is not None})
     lines = sorted((d, i, t) for d, t in records for i in range(t.count("\n") + 1))
