@@ -5,9 +5,9 @@ consecutive chunks). Each byte is embedded; one more input says whether a window
 text that repeats itself. Filters of `WIDTH` bytes are applied every `STRIDE` bytes, and every filter's responses are max-pooled over all chunks; besides the maximum, the mean response is kept, so that how often a
 pattern occurs counts as well as whether it occurs. One hidden layer combines them into a probability.
 
-Training: at most `sample` labelled rows (default 3,000, chosen by a hash of doc_id among rows that are not held out) and of each
-at most `train_chunks` chunks spread over the whole text; both bound what a single machine has to fit. Labels are the only column used
-besides the text. Scoring has no bounds and sees whole texts.
+Training: at most `sample` labelled rows (default 3,000, chosen by a hash of doc_id among rows that are not held out), which bounds what
+a single machine has to fit. Their texts are learned from whole, chunk by chunk: a first pass pools, a second one hands gradients back.
+Labels are the only column used besides the text. Scoring has no bounds.
 
 NULL and empty texts are scored as no bytes. NULL doc_ids are kept and not held out. Repeated rows get equal scores. An
 empty label table, or one with a single class, gives the same score to all.
@@ -26,6 +26,7 @@ DIM, FILTERS, HIDDEN = 6, 24, 16
 WIDTH, STRIDE = 8, 3
 LAGS = range(2, 25)        # how far before, in bytes
 CHUNK = 2048               # windows of a chunk
+TRAIN_CHUNK = 1 << 15      # windows of a chunk in learning
 LOW_WEIGHT = 2.0           # what a row of label 0 weighs in learning; there are fewer of them
 
 
@@ -35,7 +36,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Net:
-    """Weights, forward pass over whole texts, and training steps on small ones."""
+    """Weights, forward pass and training steps, both over whole texts."""
 
     def __init__(self, seed: int = 7):
         r = np.random.Generator(np.random.PCG64(seed))
@@ -94,32 +95,48 @@ class Net:
         return self.head(self.pooled(raw, off))[1].astype(float)
 
     def gradients(self, batch: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over texts given as windows."""
-        ends = np.cumsum([len(b) for b in batch])
-        starts = ends - [len(b) for b in batch]
-        all_windows = np.concatenate(batch)
-        x = self.inputs(all_windows)
-        h = np.maximum(x @ self.w["conv"] + self.w["bias"], 0)
-        size = (ends - starts).astype(np.float32)[:, None]
-        pooled = np.concatenate([np.maximum.reduceat(h, starts), np.add.reduceat(h, starts) / size], 1)
+        """Of the mean log loss over whole texts given as windows; responses are held for one chunk of windows at a time."""
+        size = np.array([len(b) for b in batch])
+        all_windows, owner = np.concatenate(batch), np.repeat(np.arange(len(batch)), size)
+        chunks = [slice(k, k + TRAIN_CHUNK) for k in range(0, len(owner), TRAIN_CHUNK)]
+        pooled = np.zeros((len(batch), 2 * FILTERS), self.w["conv"].dtype)
+        for part in chunks:
+            h, own = self.responses(all_windows[part]), owner[part]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            at = own[first]
+            pooled[at, :FILTERS] = np.maximum(pooled[at, :FILTERS], np.maximum.reduceat(h, first))
+            pooled[at, FILTERS:] += np.add.reduceat(h, first) / size[at, None]
         hid, p = self.head(pooled)
         weight = np.where(y == 0, LOW_WEIGHT, 1.0)
-        dz = ((p - y) * weight / weight.sum()).astype(np.float32)
+        dz = ((p - y) * weight / weight.sum()).astype(self.w["conv"].dtype)
         dhid = np.outer(dz, self.w["out"]) * (hid > 0)
         dpool = dhid @ self.w["hid"].T
-        owner = np.repeat(np.arange(len(batch)), ends - starts)
-        top = h == pooled[owner, :FILTERS]
-        share = top / np.maximum(np.add.reduceat(top.astype(np.float32), starts), 1)[owner]
-        dh = (share * dpool[owner, :FILTERS] + (dpool[:, FILTERS:] / size)[owner]) * (h > 0)
-        dx = (dh @ self.w["conv"][:-1].T).reshape(-1, DIM)
-        flat = all_windows[:, :WIDTH].ravel()
-        dembed = np.stack([np.bincount(flat, dx[:, j], 257) for j in range(DIM)], 1).astype(np.float32)
-        dembed[256] = 0
-        return {"embed": dembed, "conv": x.T @ dh, "bias": dh.sum(0), "hid": pooled.T @ dhid, "hid_bias": dhid.sum(0),
-                "out": hid.T @ dz, "out_bias": np.array([dz.sum()], np.float32)}
-
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int, train_chunks: int, rate: float = 0.004, seed: int = 11) -> "Net":
-        """Adam over shuffled batches. Nothing random but the seeded order."""
+        dpool[:, FILTERS:] /= size[:, None]
+        g = {"embed": np.zeros((257, DIM), np.float32), "conv": np.zeros_like(self.w["conv"]), "bias": np.zeros_like(self.w["bias"]),
+             "hid": pooled.T @ dhid, "hid_bias": dhid.sum(0), "out": hid.T @ dz, "out_bias": np.array([dz.sum()], np.float32)}
+        filters = np.arange(FILTERS)
+        found = np.zeros((len(batch), FILTERS), bool)          # the first window that reaches a text's maximum takes its gradient
+        for part in chunks:
+            x, own = self.inputs(all_windows[part]), owner[part]
+            h = np.maximum(x @ self.w["conv"] + self.w["bias"], 0)
+            dh = dpool[own, FILTERS:]
+            first = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+            for a, b in zip(first[:-1], first[1:]):
+                t, best = own[a], h[a:b].argmax(0)
+                take = ~found[t] & (h[a + best, filters] >= pooled[t, :FILTERS])
+                dh[a + best[take], filters[take]] += dpool[t, :FILTERS][take]
+                found[t] |= take
+            dh *= h > 0
+            dx = (dh @ self.w["conv"][:-1].T).reshape(-1, DIM)
+            flat = all_windows[part, :WIDTH].ravel()
+            g["embed"] += np.stack([np.bincount(flat, dx[:, j], 257) for j in range(DIM)], 1).astype(np.float32)
+            g["conv"] += x.T @ dh
+            g["bias"] += dh.sum(0)
+        g["embed"][256] = 0
+        return g
+
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int, rate: float = 0.004, seed: int = 11) -> "Net":
+        """Adam over shuffled batches of whole texts. Nothing random but the seeded order."""
         if len(texts) == 0 or y.min() == y.max():
             self.w["out"][:] = 0
             p = (y.sum() + 1) / (len(y) + 2)
@@ -128,19 +145,12 @@ class Net:
         r = np.random.Generator(np.random.PCG64(seed))
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(a) for k, a in self.w.items()}
-        step, piece = 0, 128
-        cut = []
-        for t in texts:
-            w = self.windows(np.frombuffer(t, np.uint8))
-            n = -(-len(w) // piece)
-            if n > train_chunks:       # pieces at equal distances over the whole text
-                w = np.concatenate([w[i * piece:(i + 1) * piece] for i in np.linspace(0, n - 1, train_chunks).astype(int)])
-            cut.append(w)
+        step = 0
         for epoch in range(epochs):
-            order = r.permutation(len(cut))
+            order = r.permutation(len(texts))
             for a in range(0, len(order), 32):
                 pick = order[a:a + 32]
-                g = self.gradients([cut[i] for i in pick], y[pick])
+                g = self.gradients([self.windows(np.frombuffer(texts[i], np.uint8)) for i in pick], y[pick])
                 step += 1
                 now = rate * (1 - 0.9 * epoch / epochs)
                 for k, d in g.items():
@@ -150,20 +160,15 @@ class Net:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, train_chunks: int = 8, epochs: int = 8) -> Net:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 8) -> Net:
     """Fit on at most `sample` labelled rows that are not held out, spread by hash. Ties and repeats in labels: any one row."""
     y = (columns(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
          .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("fit"))))
     chosen = y.orderBy("order", "doc_id").limit(sample).select("doc_id", "quality")
     texts = columns(docs, "doc_id", "text").filter("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id")     # at most `sample` rows
-    # the network sees `train_chunks` pieces of 128 windows; more bytes than that of a text need not travel
-    want = (train_chunks + 2) * 128 * STRIDE
-    texts = texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select(
-        "doc_id", "quality", F.when(F.length("text") <= want, F.col("text")).otherwise(F.array_join(F.transform(
-            F.sequence(F.lit(0), F.lit(train_chunks + 1)), lambda i: F.substring(
-                F.col("text"), (i * (F.length("text") - 128 * STRIDE) / (train_chunks + 1)).cast("int") + 1, F.lit(128 * STRIDE))), "")).alias("text"))
+    texts = texts.groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     rows = texts.orderBy("doc_id").collect()
-    return Net().fit([(r["text"] or "").encode() for r in rows], np.array([float(r["quality"]) for r in rows]), epochs, train_chunks)
+    return Net().fit([(r["text"] or "").encode() for r in rows], np.array([float(r["quality"]) for r in rows]), epochs)
 
 
 def _scored(net: Net):

@@ -187,6 +187,28 @@ def test_network_on_held_out_rows(spark, graded):
     assert np.mean([p == q for p, q in held]) > 0.9
 
 
+def test_gradients_do_not_depend_on_chunks(monkeypatch):
+    net = byte_cnn.Net()
+    batch = [net.windows(np.frombuffer(t, np.uint8)) for t in (b"some text here " * 40, b"x", b"other words 1234 " * 90, b"")]
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    whole = net.gradients(batch, y)
+    monkeypatch.setattr(byte_cnn, "TRAIN_CHUNK", 7)
+    for k, g in net.gradients(batch, y).items():
+        assert np.allclose(g, whole[k], rtol=1e-3, atol=1e-5), k
+
+
+def test_learns_from_every_part_of_a_long_text(spark):
+    """A mark that only stands deep inside long texts decides; no piece of them is left out of learning."""
+    def text(i, q):
+        body = [f"word{(i * 31 + k) % 50}" for k in range(3000)]
+        body[500 + (i * 37) % 2000] = "#@#@#@#@" if q == 0 else "quietly"
+        return " ".join(body)
+    truth = {i: i % 2 for i in range(120)}
+    labels = spark.createDataFrame([(i, q) for i, q in truth.items()], "doc_id long, quality int")
+    got = byte_cnn.quality_scores(plain(spark, *[text(i, q) for i, q in truth.items()]), labels, epochs=30).collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out]) > 0.9
+
+
 def test_gradients_against_differences():
     net = byte_cnn.Net()
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
