@@ -78,4 +78,5 @@ def test_stages_on_odd_tables(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) == {"op2_secrets", "op5_quality_rules"}
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert set(ORACLES) == {"op2_secrets", "op5_quality_rules", "op11_merkle_manifest", "op12_vector_dedup", "op13_spelling_variants"}
