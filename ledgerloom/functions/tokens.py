@@ -46,3 +46,8 @@ def clean_mail(c: str | Column, generic: tuple = GENERIC_MAIL) -> Column:
 
 def all_present(*parts: str | Column) -> Column:
     return reduce(lambda a, b: a & b, (col(p).isNotNull() for p in parts))
+
+
+def seeded(seed: int, row_id: str) -> Column:
+    """A number below 16 ** 15 that looks random, the same in every run and in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(row_id)).cast("binary")), 1, 15), 16, 10).cast("bigint")

@@ -61,3 +61,11 @@ def link_rate(df: DataFrame, chain: str, split: str) -> DataFrame:
     q = attach(df.filter(F.col(split) == "query"), known, [chain])
     return q.agg(F.count(F.lit(1)).alias("rows"), F.count("_known").alias("linked"),
                  F.avg(F.coalesce("_known", F.lit(0))).alias("rate"))
+
+
+def chain_statistics(df: DataFrame, chain: str) -> DataFrame:
+    """Chains, linked rows (all but the first of a chain), chains of several rows, their rows, rows of the largest. Sizes are counted once."""
+    n, several = F.col("_n"), F.col("_n") > 1
+    return df.groupBy(chain).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.count(F.lit(1)).alias("chains"), F.coalesce(F.sum(n - 1), F.lit(0)).alias("linked_rows"), F.count_if(several).alias("multirow_chains"),
+        F.coalesce(F.sum(F.when(several, n)), F.lit(0)).alias("rows_in_multirow_chains"), F.max(n).alias("max_chain_size"))

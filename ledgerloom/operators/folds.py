@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.tokens import seeded
 from .joins import attach_bounded
 from .ranks import ordinal, quantiles
 
@@ -63,13 +64,13 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int, seed: i
 
 def hash_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows (or all), the ones with the smallest seeded hash; the same rows on every run."""
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), row_id))
+    d = df.withColumn("_h", seeded(seed, row_id))
     total = df.count()
     if n >= total:
         return df
     # a threshold that leaves a few more than n rows; only those are ordered
     share = (n + 8 * n ** 0.5 + 50) / total
-    low = d.filter(F.col("_h") < int(-2**63 + share * 2**64)) if share < 0.9 else d
+    low = d.filter(F.col("_h") < int(share * 16**15)) if share < 0.9 else d
     if share < 0.9 and low.count() < n:
         low = d
     return ordinal(low, ["_h", row_id], "_k").filter(F.col("_k") <= n).drop("_h", "_k")

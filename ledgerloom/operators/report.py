@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.tokens import seeded
 from .joins import attach
 from .ranks import auc, ordinal, quantiles, rank_many
 
@@ -46,7 +47,7 @@ def contagion(df: DataFrame, key: list[str], label: str) -> DataFrame:
 def shuffled_key(df: DataFrame, key: str, row_id: str, seed: int, out: str) -> DataFrame:
     """The same key values dealt to the rows in random order (a placebo); group sizes stay."""
     values = ordinal(df.select(row_id, key), [row_id], "_k").select("_k", F.col(key).alias(out))
-    d = df.withColumn("_h", F.xxhash64(F.lit(seed), row_id))
+    d = df.withColumn("_h", seeded(seed, row_id))
     return attach(ordinal(d, ["_h", row_id], "_k"), values, ["_k"]).drop("_k", "_h")
 
 

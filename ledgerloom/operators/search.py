@@ -386,6 +386,18 @@ def fallbacks(gains: DataFrame, segment: str, horizon: str, gain: str, needed: i
         F.coalesce("_u", F.lit(0.0)) <= 0, "unseen").otherwise("none").alias("fallback"))
 
 
+def apply_fallbacks(weights: dict[float, dict[str, dict[str, float]]], decided: DataFrame, segment: str, anchor: str,
+                    unseen: float) -> dict[float, dict[str, dict[str, float]]]:
+    """The recipe (horizon -> segment -> source -> weight) with the anchor source alone where `fallbacks` decided so. `decided` has a row per
+    segment; a segment without any row has no gain to show and falls back as a whole."""
+    fall = {r[segment]: r["fallback"] for r in decided.select(segment, "fallback").collect()}
+
+    def settled(h: float, s: str, w: dict[str, float]) -> dict[str, float]:
+        back = fall.get(s, "all")
+        return {c: float(c == anchor) for c in w} if back == "all" or (back == "unseen" and h == unseen) else dict(w)
+    return {h: {s: settled(h, s, w) for s, w in per.items()} for h, per in weights.items()}
+
+
 def accepted(dev_gain: float | None, lock_gain: float | None, least: float = 0.0) -> bool:
     return dev_gain is not None and lock_gain is not None and dev_gain > least and lock_gain > least
 

@@ -170,6 +170,20 @@ def _(t):
     return d.agg(F.count(F.lit(1)).alias("rows")).withColumns({f"{n}_cached": F.lit(int(h)) for n, h in zip(("first", "second", "third"), hits)})
 
 
+@query("S5_bucketed_families", "id:i amt:f same_card:i first_cached:i second_cached:i other_buckets_cached:i",
+       "SELECT id, amt, count(*) OVER (PARTITION BY card1) AS same_card, 0 AS first_cached, 1 AS second_cached, 0 AS other_buckets_cached FROM {tx}")
+def _(t):
+    """Two feature families kept bucketed by id, one of them read back from its cache; they join without an exchange."""
+    path, inputs = folder(t, "bucketed"), {"orders": tb.fingerprint(t.read("orders").select("o_orderkey", "o_totalprice"))}
+    make = lambda: t.tx().select("id", "amt", "card1")
+    cached = [tb.cached_bucketed(t.spark, f"{path}/{n}", "v1", inputs, ["id"], n, make) for n in (8, 8)]
+    other = tb.cached_bucketed(t.spark, f"{path}/8", "v1", inputs, ["id"], 4, make)[1]
+    tx = t.tx().select("id", "card1")
+    counts = store.save_bucketed(tx.join(tx.groupBy("card1").agg(F.count(F.lit(1)).alias("same_card")), "card1").select("id", "same_card"), ["id"], 8)
+    return cached[1][0].join(counts, "id").withColumns({"first_cached": F.lit(int(cached[0][1])), "second_cached": F.lit(int(cached[1][1])),
+                                                        "other_buckets_cached": F.lit(int(other))})
+
+
 @query("S6_fold_cache", "id:i s1:f fold:i", "SELECT id, s1, 2 AS fold FROM {tx} WHERE day % 3 = 2")
 def _(t):
     path = folder(t, "folds")

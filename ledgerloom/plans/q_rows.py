@@ -388,6 +388,30 @@ def _(t):
     return rw.trailing_number(t.dv(), "status", "n")
 
 
+@query("F21_software_text", "id:i os_name:s os_major:f browser_name:s browser_major:f browser_mobile:i browser_generic:i",
+       f"""SELECT id, trim(regexp_replace(o, '[\\d._-]+.*$', '')) AS os_name, TRY_CAST(regexp_extract(o, '(\\d+)', 1) AS DOUBLE) AS os_major,
+       trim(regexp_replace(b, '[\\d._-]+.*$', '')) AS browser_name, TRY_CAST(regexp_extract(b, '(\\d+)', 1) AS DOUBLE) AS browser_major,
+       regexp_matches(b, '{rw.MOBILE_BROWSER}') AS browser_mobile, contains(b, 'generic') AS browser_generic
+       FROM (SELECT page_id AS id, lower(split_part(url, '/', 3)) AS o, lower(url) AS b FROM pages)""")
+def _(t):
+    d = t.read("pages").select(F.col("page_id").alias("id"), F.split_part("url", F.lit("/"), F.lit(3)).alias("os"), F.col("url").alias("browser"))
+    return rw.software(d, "os", "browser")
+
+
+@query("F22_size_text", "id:i width:f height:f pixels:f aspect:f known:i portrait:i", """SELECT id, w AS width, h AS height, w * h AS pixels, w / nullif(h, 0) AS aspect,
+       w IS NOT NULL AND h IS NOT NULL AS known, COALESCE(w < h, false) AS portrait FROM (SELECT id, TRY_CAST(regexp_extract(x, '^(\\d+)x(\\d+)$', 1) AS DOUBLE) AS w,
+       TRY_CAST(regexp_extract(x, '^(\\d+)x(\\d+)$', 2) AS DOUBLE) AS h FROM (SELECT doc_id AS id, lower(len(string_split(text, ' ')) || 'X' || len(string_split(text, chr(10)))) AS x FROM documents))""")
+def _(t):
+    """Words and lines of every text, written as a size."""
+    size = F.concat(F.size(F.split("text", " ")), F.lit("X"), F.size(F.split("text", "\n")))
+    return rw.screen_size(t.read("documents").select(F.col("doc_id").alias("id"), size.alias("screen")), "screen")
+
+
+@query("F23_trailing_number_text", "id:i n:f", "SELECT page_id AS id, TRY_CAST(regexp_extract(url, '(-?\\d+)$', 1) AS DOUBLE) AS n FROM pages")
+def _(t):
+    return rw.trailing_number(t.read("pages").select(F.col("page_id").alias("id"), "url"), "url", "n")
+
+
 @query("F24_flag_summary", "id:i flags_true:i flags_false:i flags_missing:i flags_pattern:s", """SELECT id,
        COALESCE(m1 = 'T', false)::INT + COALESCE(m2 = 'T', false)::INT + COALESCE(m3 = 'T', false)::INT AS flags_true,
        COALESCE(m1 = 'F', false)::INT + COALESCE(m2 = 'F', false)::INT + COALESCE(m3 = 'F', false)::INT AS flags_false,

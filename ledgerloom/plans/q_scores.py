@@ -1,4 +1,5 @@
 """Bindings: score statistics (A18-A32), ranks (R), segments and folds (V), graph (G), blends (B), checks (K)."""
+import uuid
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from ..functions import tokens as tk
 from ..operators import backtest as bt, blend as bl, chains, checks as ck, entity as en, folds as fo, graph as gr, ranks as rk, report as rp, search as se
 from ..operators import segments as sg
 from ..operators.joins import attach_bounded
-from ..sources.store import save
+from ..sources.store import save, shared_dir
+from . import final_run as fr
 from .q_rows import OR, POOL, POOL_SQL, cat, itok, pool_keys, tok
 from .q_stats import CH, CHAIN, CLIENT, GROUPS, counters, membership_sql
 from .registry import query
@@ -124,6 +126,14 @@ def _(t):
     return d.agg(F.count_distinct("dealt").alias("groups"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("A26_placebo_rates", "rate_with:f rate_without:f", """WITH k AS (SELECT usr AS dealt, row_number() OVER (ORDER BY id) AS k FROM {ev}),
+       h AS (SELECT label, row_number() OVER (ORDER BY substr(md5('0:' || id), 1, 15), id) AS k FROM {ev}),
+       g AS (SELECT label, sum(label) OVER w - label AS others, count(*) OVER w AS n FROM h JOIN k USING (k) WINDOW w AS (PARTITION BY dealt))
+       SELECT avg(label) FILTER (others > 0) AS rate_with, avg(label) FILTER (others = 0) AS rate_without FROM g WHERE n > 1""")
+def _(t):
+    return rp.contagion(rp.shuffled_key(t.ev(), "usr", "id", 0, "dealt"), ["dealt"], "label")
+
+
 FOLD_COLS = "fold:i embargo_days:i history_rows:i valid_rows:i history_rate:f valid_rate:f"
 
 
@@ -378,6 +388,11 @@ def _(t):
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("split") == "history").alias("history"))
 
 
+@query("V9_sample_rows", "id:i", "SELECT id FROM {tx} WHERE split = 'history' QUALIFY row_number() OVER (ORDER BY substr(md5('3:' || id), 1, 15), id) <= 300")
+def _(t):
+    return fo.hash_sample(t.history(), "id", 300, 3)
+
+
 @query("V10_forecast_horizon", "id:i horizon:f", "SELECT id, (dt - (SELECT max(dt) FROM {tx} WHERE split = 'history')) / 86400.0 AS horizon FROM {tx} WHERE split = 'query'")
 def _(t):
     return fo.horizon(t.query(), t.history(), "dt")
@@ -460,6 +475,13 @@ def _(t):
     return chains.counter_chains(counters(t), "uid", "dt", "id", "s", "e")
 
 
+@query("G7_chain_statistics", "chains:i linked_rows:i multirow_chains:i rows_in_multirow_chains:i max_chain_size:i", f"""WITH {CHAIN}, n AS (SELECT chain, count(*) AS n FROM chain GROUP BY chain)
+       SELECT count(*) AS chains, (SELECT count(pid) FROM par) AS linked_rows, count(*) FILTER (n > 1) AS multirow_chains, sum(n) FILTER (n > 1) AS rows_in_multirow_chains,
+       max(n) AS max_chain_size FROM n""")
+def _(t):
+    return chains.chain_statistics(chains.counter_chains(counters(t), "uid", "dt", "id", "s", "e"), "chain")
+
+
 @query("G9_link_rate", "rows:i linked:i rate:f", f"WITH {CHAIN}, k AS (SELECT id, chain IN (SELECT chain FROM chain WHERE split = 'history') AS l FROM chain WHERE split = 'query') "
        "SELECT count(*) AS rows, sum(l::INT) AS linked, avg(l::INT) AS rate FROM k")
 def _(t):
@@ -517,12 +539,12 @@ def _(t):
 HW = {30.0: MIX, 45.0: {g: {"s1": 0.1, "s2": 0.6, "s3": 0.3} for g in SEGMENTS}, 60.0: MIX, 75.0: {g: {"s1": 1.0, "s2": 0.0, "s3": 0.0} for g in SEGMENTS}}
 
 
-def interpolate_sql(g, s):
-    hs = sorted(HW)
-    e = f"WHEN h < {hs[0]} THEN {HW[hs[0]][g][s]} "
+def interpolate_sql(g, s, weights=HW):
+    hs = sorted(weights)
+    e = f"WHEN h < {hs[0]} THEN {weights[hs[0]][g][s]} "
     for a, b in zip(hs, hs[1:]):
-        e += f"WHEN h < {b} THEN {HW[a][g][s]} + ({HW[b][g][s]} - {HW[a][g][s]}) * (h - {a}) / {b - a} "
-    return f"CASE {e} ELSE {HW[hs[-1]][g][s]} END"
+        e += f"WHEN h < {b} THEN {weights[a][g][s]} + ({weights[b][g][s]} - {weights[a][g][s]}) * (h - {a}) / {b - a} "
+    return f"CASE {e} ELSE {weights[hs[-1]][g][s]} END"
 
 
 @query("B6_horizon_mix", "id:i p:f", "WITH h AS (SELECT *, (day % 120) * 0.8 AS h FROM {part3}), w AS (SELECT *, " + ", ".join(
@@ -698,6 +720,26 @@ def _(t):
     return se.fallbacks(a.join(b, ["segment", "horizon"]).withColumn("gain", F.col("a") - F.col("b")), "segment", "horizon", "gain", 3, 75)
 
 
+FALLBACK = ("WITH f AS (SELECT *, (day % 4) * 15 + 30 AS horizon FROM {part3}), a AS (" + auc_sql("f", "s1", "segment, horizon") + "), b AS (" + auc_sql("f", "s2", "segment, horizon")
+            + """), g AS (SELECT segment, horizon, a.auc - b.auc AS gain FROM a JOIN b USING (segment, horizon)),
+            d AS (SELECT segment, CASE WHEN count(*) FILTER (gain > 0) < 3 OR avg(gain) <= 0 THEN 'all' WHEN COALESCE(max(gain) FILTER (horizon = 75), 0) <= 0 THEN 'unseen' ELSE 'none' END AS back
+              FROM g GROUP BY segment)""")
+
+
+@query("B17_recipe_after_fallbacks", "horizon:f segment:s s1:f s2:f s3:f", FALLBACK + ", w(horizon, segment, s1, s2, s3) AS (VALUES "
+       + ", ".join(f"({h}, '{g}', {m['s1']}, {m['s2']}, {m['s3']})" for h, per in HW.items() for g, m in per.items()) + """),
+       e AS (SELECT w.*, COALESCE(back, 'all') = 'all' OR (back = 'unseen' AND horizon = 75) AS gone FROM w LEFT JOIN d USING (segment))
+       SELECT horizon, segment, CASE WHEN gone THEN 0 ELSE s1 END AS s1, CASE WHEN gone THEN 1 ELSE s2 END AS s2, CASE WHEN gone THEN 0 ELSE s3 END AS s3 FROM e""")
+def _(t):
+    """The decisions of the lock folds, carried into the recipe."""
+    d = t.part3().withColumn("horizon", F.col("day") % 4 * 15 + 30)
+    a, b = (rk.auc(d, "label", s, ["segment", "horizon"], n).select("segment", "horizon", n) for s, n in (("s1", "a"), ("s2", "b")))
+    gains = a.join(b, ["segment", "horizon"]).withColumn("gain", F.col("a") - F.col("b"))
+    recipe = se.apply_fallbacks(HW, se.fallbacks(gains, "segment", "horizon", "gain", 3, 75), "segment", "s2", 75.0)
+    return list_frame(t, [(h, g, *(float(w[s]) for s in ("s1", "s2", "s3"))) for h, per in recipe.items() for g, w in per.items()],
+                      "horizon double, segment string, s1 double, s2 double, s3 double")
+
+
 @query("B18_acceptance", "accepted:i dev:f lock:f", "WITH d AS (SELECT * FROM {part3} WHERE day < 2000), k AS (SELECT * FROM {part3} WHERE day >= 2000), g AS (SELECT "
        + ", ".join(f"(SELECT auc FROM ({auc_sql(s, 's1')})) - (SELECT auc FROM ({auc_sql(s, 's2')})) AS {n}" for s, n in (("d", "dev"), ("k", "lock")))
        + ") SELECT dev > 1e-4 AND lock > 1e-4 AS accepted, dev, lock FROM g")
@@ -793,3 +835,36 @@ def _(t):
     stored = measured.withColumn("auc", off)
     stored = save(stored.unionByName(stored.filter("name = 's1'").withColumn("name", F.lit("gone"))))
     return ck.metrics_reproduced(measured, stored, "name", "auc", 1e-9)
+
+
+# the last run -----------------------------------------------------------------------------------------------
+FINAL_W = {150.0: MIX, 300.0: {g: {"s1": 0.1, "s2": 0.6, "s3": 0.3} for g in SEGMENTS}, 450.0: {g: {"s1": 0.5, "s2": 0.0, "s3": 0.5} for g in SEGMENTS},
+           600.0: {"strict": {"s1": 1.0, "s2": 0.0, "s3": 0.0}, "partial": {"s1": 0.2, "s2": 0.8, "s3": 0.0}, "cold": {"s1": 0.3, "s2": 0.3, "s3": 0.4}}}
+FINAL = ("h AS (SELECT *, (dt - (SELECT max(dt) FROM {tx} WHERE split = 'history')) / 86400.0 AS h FROM {part3}), r AS (SELECT *, "
+         + ", ".join(f"{rank_sql(s)} AS r{s}" for s in ("s1", "s2", "s3")) + " FROM h), w AS (SELECT *, " + ", ".join(
+             "CASE segment " + " ".join(f"WHEN '{g}' THEN {interpolate_sql(g, s, FINAL_W)}" for g in SEGMENTS) + f" END AS w{s}" for s in ("s1", "s2", "s3"))
+         + """ FROM r), m AS (SELECT *, round(CAST((ws1 * rs1 + ws2 * rs2 + ws3 * rs3) / (ws1 + ws2 + ws3) AS DOUBLE), 12) AS mix FROM w),
+         p AS (SELECT *, round(CASE WHEN addr1 IS NOT NULL AND count(*) OVER u BETWEEN 2 AND 6 THEN CAST(0.7 AS DOUBLE) * mix + CAST(0.3 AS DOUBLE) * max(mix) OVER u ELSE mix END, 12) AS pulled
+           FROM m WINDOW u AS (PARTITION BY card1, addr1)), fin AS (SELECT *, h AS horizon, """ + rank_sql("pulled") + " AS prediction FROM p)")
+
+
+def finished(t):
+    """The folder of a last run."""
+    pool = {"key": ["card1", "addr1"], "method": "max", "weight": 0.3, "size": (2, 6), "valid": F.col("addr1").isNotNull()}
+    q, folder = t.part3(), f"{shared_dir(t.spark)}/final-{uuid.uuid4().hex}"
+    scores = fr.final_scores(q, t.history(), "dt", "segment", ["s1", "s2", "s3"], FINAL_W, pool)
+    fr.write_final(scores, q.select("id"), folder, "id", "segment", ["s1", "s2", "s3"])
+    return folder
+
+
+@query("final_run", "id:i segment:s horizon:f prediction:f submitted:f", f"WITH {FINAL} SELECT id, segment, horizon, prediction, prediction AS submitted FROM fin")
+def _(t):
+    folder = finished(t)
+    sent = t.spark.read.schema("id long, submitted double").option("header", True).csv(f"{folder}/predictions")
+    return t.spark.read.parquet(f"{folder}/sources").join(sent, "id")
+
+
+@query("final_report", "segment:s rows:i first_horizon:f last_horizon:f least:f most:f mean:f", f"""WITH {FINAL} SELECT segment, count(*) AS rows, min(horizon) AS first_horizon,
+       max(horizon) AS last_horizon, min(prediction) AS least, max(prediction) AS most, avg(prediction) AS mean FROM fin GROUP BY segment""")
+def _(t):
+    return t.spark.read.schema("segment string, rows long, first_horizon double, last_horizon double, least double, most double, mean double").json(f"{finished(t)}/report")

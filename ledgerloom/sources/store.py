@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 _local: list[str] = []
@@ -24,6 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def save_bucketed(df: DataFrame, key: list[str], buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """As `save`, hashed into `buckets` (default: the session's shuffle partitions) and sorted by `key`: tables of the same key and number of
+    buckets join without an exchange, however often they are joined. One file a bucket."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or f"{shared_dir(spark).rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    name = f"ledgerloom_{uuid.uuid4().hex}"
+    df.repartition(n, *key).write.format("parquet").bucketBy(n, *key).sortBy(*key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: StructType, key: list[str], buckets: int) -> DataFrame:
+    """A table that `save_bucketed` wrote, perhaps in another session: files know their bucket, the catalogue has to be told."""
+    name, keys = f"ledgerloom_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in key)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schema.toDDL()}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write once, read back: the plan so far is not computed again and survives lost executors."""
     spark = df.sparkSession

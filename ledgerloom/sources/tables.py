@@ -4,11 +4,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .store import open_bucketed, save_bucketed
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -97,6 +100,24 @@ def cached_matrix(spark: SparkSession, path: str, recipe: str, inputs: dict[str,
     return spark.read.parquet(f"{path}/matrix"), False
 
 
+def cached_bucketed(spark: SparkSession, path: str, recipe: str, inputs: dict[str, dict], key: list[str], buckets: int, build) -> tuple[DataFrame, bool]:
+    """As `cached_matrix`, as a table bucketed and sorted by `key`; the bucket spec belongs to the manifest. A new matrix gets a folder of its own and
+    the manifest is written last, so a run that breaks off leaves the old one in force."""
+    manifest = json.dumps({"recipe": recipe, "inputs": inputs, "key": key, "buckets": buckets}, sort_keys=True)
+    try:
+        stored = spark.read.json(f"{path}/manifest").first()
+        if stored is not None and stored["manifest"] == manifest:
+            return open_bucketed(spark, stored["place"], T.StructType.fromJson(json.loads(stored["schema"])), key, buckets), True
+    except Exception as e:  # not there yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    place = f"{path}/matrix-{uuid.uuid4().hex}"
+    made = save_bucketed(build(), key, buckets, place)
+    (spark.createDataFrame([(manifest, place, made.schema.json())], "manifest string, place string, schema string")
+     .coalesce(1).write.mode("overwrite").json(f"{path}/manifest"))
+    return made, False
+
+
 def write_folds(df: DataFrame, path: str, fold: str) -> None:
     df.write.mode("overwrite").partitionBy(fold).parquet(path)
 

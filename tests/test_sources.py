@@ -75,3 +75,52 @@ def test_metrics_against_a_stored_table(spark):
     stored = spark.createDataFrame([("a", 0.5), ("b", 0.70001), ("old", 0.1)], "name string, auc double")
     got = {r.name: r.reproduced for r in checks.metrics_reproduced(measured, stored, "name", "auc", 1e-9).collect()}
     assert got == {"a": 1, "b": 0, "new": 0, "old": 0}
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from ledgerloom.sources import store
+    a = store.save_bucketed(spark.range(500).withColumn("x", F.col("id") * 2), ["id"], 6)
+    path = str(tmp_path / "it's here")
+    store.save_bucketed(spark.range(0, 1000, 2).withColumn("y", F.col("id") * 3), ["id"], 6, path)
+    b = store.open_bucketed(spark, path, spark.read.parquet(path).schema, ["id"], 6)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "id")
+        rows = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(map(tuple, rows)) == [(i, 2 * i, 3 * i) for i in range(0, 500, 2)]
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_bucketed_cache_is_rebuilt_for_other_recipes_and_buckets(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(20).selectExpr("id", "id * 2 AS x")
+    ask = lambda recipe, n: tables.cached_bucketed(spark, str(tmp_path / "c"), recipe, {"t": {"rows": 20}}, ["id"], n, build)
+    hits = [ask(*k)[1] for k in (("a", 4), ("a", 4), ("b", 4), ("b", 4), ("b", 2), ("b", 2))]
+    assert hits == [False, True, False, True, False, True] and len(built) == 3
+    assert sorted(r.x for r in ask("b", 2)[0].collect()) == list(range(0, 40, 2))
+
+
+def test_last_run_refuses_scores_that_do_not_fit(spark, tmp_path):
+    from ledgerloom.plans import final_run
+    d = spark.createDataFrame([(1, "cold", 2.0, 0.5, 0.4), (2, "cold", 3.0, 0.5, None)], "id long, segment string, horizon double, s double, prediction double")
+    with pytest.raises(ValueError, match="null_scores"):
+        final_run.write_final(d, d.select("id"), str(tmp_path / "f"), "id", "segment", ["s"])
+    assert not (tmp_path / "f").exists()
+
+
+def test_fallbacks_in_the_recipe(spark):
+    from ledgerloom.operators import search
+    recipe = {30.0: {g: {"a": 0.2, "b": 0.8} for g in "xyzu"}, 75.0: {g: {"a": 0.6, "b": 0.4} for g in "xyzu"}}
+    decided = spark.createDataFrame([("x", "all"), ("y", "unseen"), ("z", "none")], "segment string, fallback string")
+    got = search.apply_fallbacks(recipe, decided, "segment", "a", 75.0)
+    anchor = {"a": 1.0, "b": 0.0}
+    assert got[30.0] == {"x": anchor, "y": {"a": 0.2, "b": 0.8}, "z": {"a": 0.2, "b": 0.8}, "u": anchor}
+    assert got[75.0] == {"x": anchor, "y": anchor, "z": {"a": 0.6, "b": 0.4}, "u": anchor} and recipe[75.0]["x"] == {"a": 0.6, "b": 0.4}
