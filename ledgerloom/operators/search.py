@@ -19,7 +19,7 @@ from ..config import SEGMENTS
 from ..sources.store import save
 from .blend import with_bounded
 from .entity import pool_tables
-from .joins import attach
+from .joins import attach, attach_rows
 from .ranks import auc, ordinal, quantiles, rank_many
 from .timeline import Timeline
 
@@ -236,7 +236,7 @@ def rank_options(df: DataFrame, current: str, stacked: str, segment: str, row_id
     d = d.select("*", F.posexplode(F.array(*[F.lit(float(w)) for w in weights])).alias("option", "_w"))
     d = d.withColumn("_signal", F.round((1 - F.col("_w")) * F.col("_cs") + F.col("_w") * F.col("_ss"), 12))
     d = ordinal(d, ["_signal", row_id], "_k", [segment, "option"], max_rows)
-    return attach(d, values, [segment, "_k"]).drop("_cs", "_ss", "_w", "_signal", "_k")
+    return attach_rows(d, values, [segment, "_k"]).drop("_cs", "_ss", "_w", "_signal", "_k")
 
 
 def direct_options(df: DataFrame, baseline: str, signal: str, weights: tuple) -> DataFrame:
