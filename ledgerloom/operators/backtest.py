@@ -72,6 +72,14 @@ def _total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
+def _mean(array: Column) -> Column:
+    return divide(_total(array), F.nullif(F.size(array), F.lit(0)))
+
+
+def _latest(array: Column) -> Column:
+    return F.element_at(F.when(F.size(array) > 0, array), -1)
+
+
 def _deviation(array: Column, mean: Column) -> Column:
     squares = F.aggregate(array, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     return F.when(F.size(array) > 1, F.sqrt(squares / (F.size(array) - 1)))
@@ -100,6 +108,10 @@ def pair_frames(df: DataFrame, key: list[str], dt: str, row_id: str, label: str,
     d = save(earlier(d, key, dt, row_id, {"_n": F.lit(1), "_y": y}, {"_at": F.when(F.col(label) == 1, t)}, max_rows, tl.on(d)))
     rates = d.agg(F.array(*[F.avg(F.when(t < c[3], y)) for c in cuts]).alias("_rates"))
     table = states(d, key, dt, row_id, label, amount, ids, cuts)
+    # the gaps of a history row are the same in all its pairs: computed once, before rows are copied
+    d = d.withColumn("_own", _gaps(_last(F.col("_recent"), deep + 1)))
+    d = d.withColumns({"_own_last": _latest(F.col("_own"))} | {f"_own_{k}": _mean(_last(F.col("_own"), k)) for k in rolling})
+    d = d.withColumns({f"_own_std_{k}": _deviation(_last(F.col("_own"), k), F.col(f"_own_{k}")) for k in rolling}).drop("_own")
     d = attach_bounded(attach(d, table, key), rates.withColumn("_k", F.lit(0)), ["_k"]).drop("_k")      # one row
     frame = lambda i, c: F.when((t < c[3]) | ((t >= c[4]) & (t < c[5])), F.struct(
         F.lit(c[0]).alias("pair"), F.lit(c[1]).alias("stage"), F.lit(c[2]).alias("horizon"), (t < c[3]).alias("past"), F.lit(c[3]).alias("end"), F.lit(c[4]).alias("start"),
@@ -112,21 +124,21 @@ def pair_frames(df: DataFrame, key: list[str], dt: str, row_id: str, label: str,
         wider = wider | k
     d = d.withColumns({"_n": F.when(past, F.col("_n")).otherwise(s["n"]), "_y": F.when(past, F.col("_y")).otherwise(s["y"]), "_at": F.when(past, F.col("_at")).otherwise(s["at"]),
                        "order": F.when(past, F.col("_before")).otherwise(s["n"] + F.col("_before") - s["before"]),
-                       "_seq": F.when(past, F.col("_recent")).otherwise(F.concat(s["recent"], F.filter("_recent", lambda x: x >= F.col("_p.start"))))})
-    d = d.withColumn("_gaps", _gaps(_last(F.col("_seq"), deep + 1)))
+                       "_seq": F.when(~past, F.concat(s["recent"], F.filter("_recent", lambda x: x >= F.col("_p.start"))))})
+    d = d.withColumn("_gaps", F.when(~past, _gaps(_last(F.col("_seq"), deep + 1))))
     out = {"pair": F.col("_p.pair"), "stage": F.col("_p.stage"), "horizon": F.col("_p.horizon"), "side": F.when(past, "history").otherwise("future"),
            "segment": F.when(~past, F.when(known[0], "strict").when(wider, "partial").otherwise("cold")),
            "known_rows": F.col("_n"), "known_positives": F.col("_y"), "known_since_positive": t - F.col("_at"),
            "known_rate_smoothed": (F.col("_y") + smoothing * F.col("_p.rate")) / (F.col("_n") + smoothing),
-           "since_previous": F.element_at(F.when(F.size("_gaps") > 0, F.col("_gaps")), -1),
+           "since_previous": F.when(past, F.col("_own_last")).otherwise(_latest(F.col("_gaps"))),
            "entity_rows": s["rows"], "entity_mean_amt": s["mean"], "entity_std_amt": s["std"], "entity_span": s["span"],
            "amt_zscore": F.when(s["std"] > 1e-9, (F.col(amount) - s["mean"]) / s["std"])}
     out |= {f"{c}_nunique": s[f"u{k}"] for k, c in enumerate(ids)}
     for k in rolling:
-        last = _last(F.col("_gaps"), k)
-        out |= {f"_g{k}": last, f"gap_mean_{k}": divide(_total(last), F.nullif(F.size(last), F.lit(0)))}
+        out[f"gap_mean_{k}"] = F.when(past, F.col(f"_own_{k}")).otherwise(_mean(_last(F.col("_gaps"), k)))
     d = d.withColumns(out)
-    d = d.withColumns({f"gap_std_{k}": _deviation(F.col(f"_g{k}"), F.col(f"gap_mean_{k}")) for k in rolling})
+    d = d.withColumns({f"gap_std_{k}": F.when(past, F.col(f"_own_std_{k}")).otherwise(_deviation(_last(F.col("_gaps"), k), F.col(f"gap_mean_{k}")))
+                       for k in rolling})
     names = ["pair", "stage", "horizon", "side", "segment", "known_rows", "known_positives", "known_rate_smoothed", "known_since_positive", "order", "since_previous",
              *[f"gap_{x}_{k}" for k in rolling for x in ("mean", "std")], "entity_rows", "entity_mean_amt", "entity_std_amt", "entity_span", "amt_zscore",
              *[f"{c}_nunique" for c in ids]]
