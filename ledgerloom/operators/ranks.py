@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import attach
-from .timeline import SLICE, Timeline
+from ..sources.store import save
+from .joins import attach, attach_rows
+from .timeline import Timeline
 
 ALL = "_all"
 
@@ -76,7 +77,7 @@ def rank_match(df: DataFrame, signal: str, reference: str, row_id: str, out: str
     placed = ordinal(d, [signal, row_id], "_k", keys, max_rows)
     values = ordinal(d.select(*keys, reference, row_id), [reference, row_id], "_k", keys, max_rows)
     values = values.select(*keys, "_k", F.col(reference).alias(out))
-    return attach(placed, values, keys + ["_k"]).drop("_k", ALL)
+    return attach_rows(placed, values, keys + ["_k"]).drop("_k", ALL)
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "spearman",
@@ -96,12 +97,11 @@ def quantiles(df: DataFrame, key: list[str], value: str | Column, probs: dict[st
     d, keys = _grouped(rows, key)
     named = d.filter(F.col("_v").isNotNull())
     tl = Timeline(named.select(*keys, "_v"), keys, ["_v"], max_rows)
-    light = tl.df if tl.cuts is None else tl.df.filter(F.col(SLICE).isNull())
+    light, heavy = tl.light_and_heavy()
     out = light.groupBy(*keys).agg(*[F.percentile("_v", q).alias(n) for n, q in probs.items()])
-    if tl.cuts is not None:
-        hot = tl.df.filter(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE, "_v").agg(
-            F.count(F.lit(1)).alias("_n"))
-        below = attach(tl.prefix({"_below": F.col("_n")}, df=hot),
+    if heavy is not None:
+        hot = save(heavy.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))     # each value once, however often it occurs
+        below = attach(tl.on(hot).prefix({"_below": F.col("_n")}),
                        hot.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
         picks = []
         for n, q in probs.items():

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from ledgerloom.operators import ranks
+from ledgerloom.operators import ranks, timeline
 from ledgerloom.operators.timeline import SLICE, Timeline
 
 
@@ -88,3 +88,54 @@ def test_rank_match_keeps_the_values(rows):
             assert sorted(g.amt) == sorted(g.out)
             s = g.sort_values(["sig", "id"])
             assert s.out.is_monotonic_increasing
+
+
+def test_small_slices_keep_few_boundaries(rows):
+    """Slices far smaller than a block are counted out by rank: what a row is compared with must not grow with the number of slices."""
+    tl = Timeline(rows, ["key"], ["dt", "id"], 8)
+    assert tl.cuts.agg(F.max(F.size(F.flatten("_blocks")))).first()[0] == 0
+    sizes = tl.df.filter("key = 'hot'").groupBy(SLICE).count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(sizes) == (8, 125)
+
+
+def test_slices_inside_several_blocks(rows, monkeypatch):
+    monkeypatch.setattr(timeline, "BLOCK", 200)
+    want = Timeline(rows, ["key"], ["dt", "id"], 10**6).prefix({"n": F.lit(1), "s": F.col("amt")}, {"m": F.col("amt")})
+    tl = Timeline(rows, ["key"], ["dt", "id"], 8)
+    assert tl.cuts.agg(F.max(F.size(F.flatten("_blocks")))).first()[0] > 1
+    got = tl.settle(tl.prefix({"n": F.lit(1), "s": F.col("amt")}, {"m": F.col("amt")}))
+    pd.testing.assert_frame_equal(frame(want, "id"), frame(got, "id"))
+
+
+def test_equal_rows_share_a_slice(rows):
+    d = rows.select("key", "dt")
+    tl = Timeline(d, ["key"], ["dt"], 8)
+    assert tl.df.filter(F.col(SLICE).isNotNull()).groupBy("key", "dt").agg(F.count_distinct(SLICE).alias("n")).filter("n > 1").isEmpty()
+
+
+def test_apart_leaves_ordinary_keys_uncut(rows):
+    tl, seen = Timeline(rows, ["key"], ["dt", "id"], 64), []
+
+    def work(part):
+        seen.append((part.cuts is None, part.rows.count()))
+        return part.settle(part.prefix({"n": F.lit(1)}))
+
+    want = Timeline(rows, ["key"], ["dt", "id"], 10**6).prefix({"n": F.lit(1)})
+    pd.testing.assert_frame_equal(frame(want, "id"), frame(tl.apart(work), "id"))
+    assert seen[0][0] and not seen[1][0] and seen[0][1] > 0 and seen[0][1] + seen[1][1] == 3000
+
+
+def test_values_as_long_as_the_rows_are_not_broadcast(rows):
+    from ledgerloom.sources.store import save
+    d = save(rows.filter("amt is not null"))
+    plan = ranks.rank_match(d, "amt", "amt", "id", "out", ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_profile_and_velocity_do_not_depend_on_slices(rows):
+    from ledgerloom.operators import causal, entity
+    d = rows.withColumns({"c": (F.col("id") % 5).cast("string"), "x": (F.col("id") % 7).cast("double")})
+    for make in (lambda n: entity.profile(d, ["key"], "dt", "id", "amt", ["c"], ["x"], ["x"], max_rows=n),
+                 lambda n: causal.velocity(d, ["key"], "dt", "id", "amt", windows={"a": 5, "b": 40}, amount_windows=("b",), max_rows=n),
+                 lambda n: causal.value_memory(d, ["key"], "dt", "id", "c", "m", 30, max_rows=n)):
+        pd.testing.assert_frame_equal(frame(make(10**6), "id"), frame(make(16), "id"))
