@@ -8,37 +8,43 @@ from ..functions.rowwise import divide
 from ..functions.tokens import token
 from ..sources.store import save
 from .frequency import with_total
-from .joins import attach
+from .joins import attach, attach_rows
 from .timeline import HALO, Timeline, earlier
 
 
-def _before_cutoff(tl: Timeline, key: list[str], dt: str, windows: dict[str, int], sums: dict[str, Column],
-                   max_rows: int) -> DataFrame:
+def _before_cutoff(df: DataFrame, key: list[str], dt: str, windows: dict[str, int], sums: dict[str, Column]) -> DataFrame:
     """For every window: totals over the rows older than the window, `_{name}_{window}`.
 
     A sliding frame is re-added for every row. The growing frame "everything up to the cut-off" is not, and the
-    window is its difference to the total. In oversized keys cut-offs are rows of their own (`probes`), placed
-    before the events of their time, that read the running totals.
+    window is its difference to the total.
     """
-    light, heavy = tl.light_and_heavy()
     w = Window.partitionBy(*key).orderBy(dt)
-    out = light.withColumns({f"_{n}_{name}": F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -s - 1)),
-                                                        F.lit(0)) for name, s in windows.items() for n, c in sums.items()})
-    if heavy is None:
-        return out
-    heavy = save(heavy)
-    events = heavy.groupBy(*key, F.col(dt).alias("_t")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n)
-                                                               for n, c in sums.items()])
-    probes = events.select(*key, F.explode(F.array(*[F.struct(F.lit(name).alias("_w"), (F.col("_t") - s).alias("_t"),
-                                                              F.col("_t").alias("_of")) for name, s in windows.items()])).alias("_p"))
-    probes = probes.select(*key, "_p._t", F.lit(0).alias("_kind"), "_p._w", "_p._of", *[F.lit(0).alias(n) for n in sums])
-    events = events.select(*key, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_w"),
-                           F.lit(None).cast("long").alias("_of"), *sums)
-    read = Timeline(events.unionByName(probes), key, ["_t", "_kind"], max_rows).prefix(
-        {f"_r_{n}": F.col(n) for n in sums}).filter(F.col("_kind") == 0)
-    read = read.groupBy(*key, F.col("_of").alias(dt)).agg(
-        *[F.max(F.when(F.col("_w") == name, F.col(f"_r_{n}"))).alias(f"_{n}_{name}") for name in windows for n in sums])
-    return out.unionByName(attach(heavy, read, [*key, dt]))
+    return df.withColumns({f"_{n}_{name}": F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -s - 1)),
+                                                      F.lit(0)) for name, s in windows.items() for n, c in sums.items()})
+
+
+def _before_cutoffs(df: DataFrame, key: list[str], dt: str, windows: dict[str, tuple[int, list[str]]], sums: dict[str, Column],
+                    maxes: dict[str, Column], max_rows: int) -> DataFrame:
+    """For rows of oversized keys: sums and maxes over all earlier times (`{name}`) and, for every window (seconds, sums wanted), over the
+    rows older than the window (`{name}_{window}`).
+
+    Cut-offs are rows of their own (probes), placed before the events of their time, that read the running totals: one ordered pass serves
+    the row's own time and all windows.
+    """
+    heavy = save(df)
+    events = save(heavy.groupBy(*key, F.col(dt).alias("_t")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()],
+                                                                 *[F.max(c).alias(n) for n, c in maxes.items()])
+                  .withColumn("_kind", F.lit(1)))
+    back = [0, *[s for s, _ in windows.values()]]
+    probes = events.select(*key, F.lit(0).alias("_kind"), F.col("_t").alias("_of"), F.posexplode(F.array(*map(F.lit, back))).alias("_w", "_s"))
+    probes = probes.withColumn("_t", F.col("_of") - F.col("_s")).drop("_s")
+    rows = Timeline(events, key, ["_t", "_kind"], max_rows).on(events.unionByName(probes, allowMissingColumns=True))
+    read = rows.prefix({f"_r_{n}": F.coalesce(F.col(n), F.lit(0)) for n in sums}, {f"_r_{n}": F.col(n) for n in maxes})
+    pick = lambda n, i: F.max(F.when(F.col("_w") == i, F.col(f"_r_{n}")))
+    read = read.filter(F.col("_kind") == 0).groupBy(*key, F.col("_of").alias(dt)).agg(
+        *[pick(n, 0).alias(n) for n in (*sums, *maxes)],
+        *[pick(n, i + 1).alias(f"{n}_{name}") for i, (name, (_, wanted)) in enumerate(windows.items()) for n in wanted])
+    return attach_rows(heavy, read, [*key, dt])
 
 
 def velocity(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, prefix: str = "velocity",
@@ -51,16 +57,21 @@ def velocity(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
     """
     p = lambda n: f"{prefix}_{n}"
     a = F.col(amount)
-    tl = Timeline(df, key, [dt, row_id], max_rows)
-    d = tl.settle(tl.total({"_c": F.avg(amount), "_first": F.min(dt)}, tl.df))
     valid = a.isNotNull().cast("int")
     around = F.coalesce(a - F.col("_c"), F.lit(0.0))
-    d = earlier(d, key, dt, row_id, {"_n": F.lit(1), "_v": valid, "_s": F.coalesce(a, F.lit(0.0)), "_d": around,
-                                     "_q": around * around},
-                {"_last": F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i"), a.alias("a"))}, max_rows, tl.on(d))
-    d = _before_cutoff(tl.on(d), key, dt, windows, {"n": F.lit(1)}, max_rows)
-    d = _before_cutoff(tl.on(d), key, dt, {n: windows[n] for n in amount_windows},
-                       {"v": valid, "s": F.coalesce(a, F.lit(0.0))}, max_rows)
+    sums = {"_n": F.lit(1), "_v": valid, "_s": F.coalesce(a, F.lit(0.0)), "_d": around, "_q": around * around}
+    maxes = {"_last": F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i"), a.alias("a"))}
+
+    def before(tl: Timeline) -> DataFrame:
+        d = tl.total({"_c": F.avg(amount), "_first": F.min(dt)}, tl.rows)
+        if tl.cuts is not None:
+            return _before_cutoffs(d, key, dt, {w: (s, ["_n", "_v", "_s"] if w in amount_windows else ["_n"]) for w, s in windows.items()},
+                                   sums, maxes, max_rows)
+        d = earlier(d, key, dt, row_id, sums, maxes, max_rows, tl.on(d))
+        d = _before_cutoff(d, key, dt, windows, {"n": sums["_n"]})
+        return _before_cutoff(d, key, dt, {w: windows[w] for w in amount_windows}, {"v": valid, "s": sums["_s"]})
+
+    d = Timeline(df, key, [dt, row_id], max_rows).apart(before)
     known = F.when(F.col("_v") > 0, F.col("_v"))
     drift = F.col("_d") / known
     variance = F.greatest(F.col("_q") / known - drift * drift, F.lit(0.0))
@@ -104,8 +115,11 @@ def label_history(history: DataFrame, query: DataFrame, key: list[str], dt: str,
 def activity(df: DataFrame, key: list[str], dt: str, row_id: str, counter: str, stated_gap: str, prefix: str = "adv",
              rolling: tuple = (2, 3, 4, 5, 10, 20), max_rows: int | None = None) -> DataFrame:
     """Rows and active days so far, rolling gap statistics, counter step, stated against real gap."""
+    return Timeline(df, key, [dt, row_id], max_rows).apart(lambda part: _activity(part, dt, counter, stated_gap, prefix, rolling))
+
+
+def _activity(tl: Timeline, dt: str, counter: str, stated_gap: str, prefix: str, rolling: tuple) -> DataFrame:
     p = lambda n: f"{prefix}_{n}"
-    tl = Timeline(df, key, [dt, row_id], max_rows)
     d = tl.with_neighbours(max(rolling), 0, tl.df.withColumn("_day", F.floor(F.col(dt) / 86400)))
     w = tl.window
     d = d.withColumns({"_gap": F.col(dt) - F.lag(dt).over(w), p("counter_step"): F.col(counter) - F.lag(counter).over(w),
@@ -126,16 +140,20 @@ def value_memory(df: DataFrame, key: list[str], dt: str, row_id: str, column: st
                  recent: int = 30 * 86400, max_rows: int | None = None) -> DataFrame:
     """How the row's value relates to the values the entity showed before; missing is a value."""
     p = lambda n: f"{prefix}_{n}"
-    pair = Timeline(df.withColumn("_v", token(column)), [*key, "_v"], [dt, row_id], max_rows)
-    d = pair.with_neighbours(1, 0, pair.prefix({p("prior_count"): F.lit(1)}))
-    d = pair.settle(d.withColumn(p("since_same"), F.col(dt) - F.lag(dt).over(pair.window)))
-    tl = Timeline(d, key, [dt, row_id], max_rows)
-    d = tl.prefix({"_order": F.lit(1)}, {"_mode": F.col(p("prior_count")) + 1})
-    d = tl.with_neighbours(1, 0, d)
-    d = d.withColumn("_was", F.lag("_v").over(tl.window))
+
+    def same(tl: Timeline) -> DataFrame:
+        d = tl.with_neighbours(1, 0, tl.prefix({p("prior_count"): F.lit(1)}))
+        return tl.settle(d.withColumn(p("since_same"), F.col(dt) - F.lag(dt).over(tl.window)))
+
+    def whole(tl: Timeline) -> DataFrame:
+        d = tl.with_neighbours(1, 0, tl.prefix({"_order": F.lit(1)}, {"_mode": F.col(p("prior_count")) + 1}))
+        return tl.settle(d.withColumn("_was", F.lag("_v").over(tl.window)))
+
+    d = Timeline(df.withColumn("_v", token(column)), [*key, "_v"], [dt, row_id], max_rows).apart(same)
+    d = Timeline(d, key, [dt, row_id], max_rows).apart(whole)
     n = F.col(p("prior_count"))
     d = d.withColumns({p("prior_fraction"): divide(n, F.nullif("_order", F.lit(0))), p("seen_before"): (n > 0).cast("int"),
                        p("seen_recently"): F.coalesce(F.col(p("since_same")).between(0, recent), F.lit(False)).cast("int"),
                        p("changed"): (F.col("_was").isNotNull() & (F.col("_was") != F.col("_v"))).cast("int"),
                        p("is_prior_mode"): ((n >= F.coalesce("_mode", F.lit(0))) & (F.col("_order") > 0)).cast("int")})
-    return tl.settle(d).drop("_v", "_order", "_mode", "_was")
+    return d.drop("_v", "_order", "_mode", "_was")

@@ -24,8 +24,9 @@ def _latest(df: DataFrame, uid: str, dt: str, row_id: str, start: str, end: str,
     probes = (rows.select(uid, F.col(start).cast("long").alias("_s"), dt, row_id, F.lit(0).alias("_kind"),
                           F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("_off"))
               .withColumn("_v", F.col("_s") + F.col("_off")).drop("_s"))
-    seen = Timeline(ends.unionByName(probes), [uid, "_v"], [dt, row_id, "_kind"], max_rows).prefix(
-        maxes={"_at": F.when(F.col("_kind") == 1, F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i")))})
+    end_at = F.when(F.col("_kind") == 1, F.struct(F.col(dt).alias("t"), F.col(row_id).alias("i")))
+    seen = Timeline(ends.unionByName(probes), [uid, "_v"], [dt, row_id, "_kind"], max_rows).apart(
+        lambda part: part.settle(part.prefix(maxes={"_at": end_at})))
     return seen.filter((F.col("_kind") == 0) & F.col("_at").isNotNull()).select(row_id, "_off", "_at")
 
 

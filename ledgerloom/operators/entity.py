@@ -23,6 +23,10 @@ def sequence(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
     A counter step that equals the amount between two rows (within 0.011) marks the rows as consecutive.
     """
     tl = tl or Timeline(df, key, [dt, row_id], max_rows)
+    return tl.apart(lambda part: _sequence(part, dt, amount, prefix, counters))
+
+
+def _sequence(tl: Timeline, dt: str, amount: str, prefix: str, counters: list[str]) -> DataFrame:
     p = lambda n: f"{prefix}_{n}"
     d = tl.with_neighbours(1, 1, tl.prefix({p("order"): F.lit(1)}))
     w = tl.window
@@ -63,14 +67,25 @@ def sequence(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, p
 def profile(df: DataFrame, key: list[str], dt: str, row_id: str, amount: str, ids: list[str], numerics: list[str],
             with_range: list[str] = (), prefix: str = "user", max_rows: int | None = None) -> DataFrame:
     """Sequence features plus same-amount share, active days, per-id spread and per-number mean and deviation."""
+    return Timeline(df, key, [dt, row_id], max_rows).apart(
+        lambda part: _profile(part, dt, row_id, amount, ids, numerics, with_range, prefix, max_rows))
+
+
+def _profile(tl: Timeline, dt: str, row_id: str, amount: str, ids: list[str], numerics: list[str], with_range: list[str], prefix: str,
+             max_rows: int | None) -> DataFrame:
+    """What needs another order than time comes first, while rows are narrow; the rest shares the order of the sequence."""
     p = lambda n: f"{prefix}_{n}"
-    tl = Timeline(df, key, [dt, row_id], max_rows)
-    tl = tl.on(sequence(df, key, dt, row_id, amount, prefix, (), max_rows, tl))
-    d = tl.df.withColumn("_day", F.floor(F.col(dt) / 86400))
-    d = tl.total({p("same_amount_count"): F.count(F.lit(1))}, d, [amount])
-    for c in ids:
+    d = tl.total({p("same_amount_count"): F.count(F.lit(1))}, tl.rows, [amount])
+    for c in ids:       # in this order one sort serves both
+        d = tl.distinct({p(f"{c}_nunique"): c}, d)
         d = tl.total({p(f"{c}_same"): F.count(F.lit(1))}, d, [c])
-    d = tl.distinct({p("active_days"): "_day"} | {p(f"{c}_nunique"): c for c in ids}, d)
+    d = sequence(d, tl.key, dt, row_id, amount, prefix, (), max_rows, tl.on(d)).withColumn("_day", F.floor(F.col(dt) / 86400))
+    if tl.cuts is None:     # rows of a day are neighbours
+        new = F.col("_day").isNotNull() & ~F.col("_day").eqNullSafe(F.lag("_day").over(tl.window))
+        d = d.withColumn("_new", new.cast("int"))
+        d = tl.total({p("active_days"): F.sum("_new")}, d).drop("_new")
+    else:
+        d = tl.distinct({p("active_days"): "_day"}, d)
     aggs = {}
     for c in numerics:
         aggs |= {p(f"{c}_mean"): F.avg(c), p(f"{c}_std"): F.stddev_samp(c)}
