@@ -6,9 +6,11 @@ of similarity s a table agrees with probability s ** (2 * rows), and some table
 
 1. Texts with equal shingle sets form a class (128-bit signature), which gets a number. Only classes go on.
 2. Classes whose keys are alone in either collection can't share a table and are left out before tables are formed.
-3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most. Where buckets still hold several
-   components, further rounds (`rounds` in all, fewer once nothing new is found) pair classes with other first classes and with their
+3. In every table, each class is paired with the bucket's first class: as many pairs as rows at most. `bands` plain tables, each key of a
+   collection in one, come before the others, where the pairs that they have connected are left out. Where buckets still hold several
+   components, further rounds (`rounds` in all, fewer once little is found) pair classes with other first classes and with their
    neighbours in the order of further keys, one pair for each class and component that it meets; pairs that are connected are left out.
+   Between rounds classes carry the label of a near part of their component; components are settled once, at the end.
    Buckets that stay open are settled exactly: of small ones (`SMALL` rows) all pairs of different components are listed; larger ones
    that share classes form a group, whose rows are dealt into blocks, and a task compares two blocks by size, minhashes and full sets.
    Every two classes of a bucket are compared or connected in the end, so `rounds` decides the speed only.
@@ -118,6 +120,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SMALL = 8                  # rows of an open bucket all of whose pairs are listed
 BLOCK_ROWS = 256           # rows of a block of a larger one
 BLOCK_ITEMS = 1 << 20      # and shingles
+FEW = 8                    # rounds end when one finds no more than this part of all links
 
 
 def _between(percent: int, least: int):
@@ -201,6 +204,15 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(often, "key").select("id").distinct()
 
 
+def _labels(found: DataFrame) -> DataFrame:
+    """(id, comp): the smallest class that a linked class reaches in four links or fewer. Equal labels mean connected; a component that is
+    wider than that has several labels, so that more of its pairs are looked at."""
+    both = save(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "id", "b": "to"}))
+    one = both.groupBy("id").agg(F.least("id", F.min("to")).alias("comp"))
+    two = save(both.join(one.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("comp").alias("comp")))
+    return two.join(two.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp").select("id", F.col("next").alias("comp"))
+
+
 def _half(side: int, bands: int, rows: int):
     """The keys of one collection, as an array."""
     return F.array(*[F.xxhash64(F.lit(side * bands + i), *[F.get("mh", F.lit((side * bands + i) * rows + r)) for r in range(rows)])
@@ -213,11 +225,11 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
     count, s = 2 * bands * rows, percent / 100
     least = math.floor(count * s - slack * math.sqrt(count * s * (1 - s)))
     halves = classes.select("id", "mh", _half(0, bands, rows).alias("one"), _half(1, bands, rows).alias("two"))
-    near = _shared(halves.select("id", F.explode("one").alias("key")))
-    halves = save(halves.join(_shared(halves.join(near, "id", "left_semi").select("id", F.explode("two").alias("key"))), "id", "left_semi"))
+    halves = save(halves.join(_shared(halves.select("id", F.explode("one").alias("key"))), "id", "left_semi"))
+    halves = save(halves.join(_shared(halves.select("id", F.explode("two").alias("key"))), "id", "left_semi"))
     tables = (halves.select("id", "one", "two", F.posexplode("one").alias("at", "first"))
               .select("id", "one", "two", "first", "at", F.posexplode("two").alias("to", "second"))
-              .select("id", F.xxhash64("at", "to", "first", "second").alias("key"),
+              .select("id", F.xxhash64("at", "to", "first", "second").alias("key"), (F.col("at") == F.col("to")).alias("plain"),
                       # further keys, other ones by the round, that put similar texts side by side in a bucket
                       *[F.get(h, (F.col("at" if h == "one" else "to") + n + 1) % bands).alias(f"t{h}{n}") for n in range(rounds) for h in ("one", "two")]))
     shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -236,30 +248,31 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
                     .join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
                     .filter(100 * both >= percent * (F.size("p") + F.size("q") - both)).select("a", "b"))
 
-    found = None
-    for turn in range(rounds):
-        # a bucket's first class, by a hash that changes by the round; once groups have formed, each class's neighbour too
+    found, known = None, 0
+    for step in range(rounds + 1):
+        # a bucket's first class, by a hash that changes by the round; once groups have formed, each class's neighbour too. The first round
+        # takes the plain tables before the others: what it links there needs no pairs in them
+        turn = max(step - 1, 0)
+        used = tables if turn else tables.filter("NOT plain" if step else "plain")
         order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), F.col("id"), F.col("comp"))
-        first = (tables.groupBy("key").agg(F.min(order).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        first = (used.groupBy("key").agg(F.min(order).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .filter("lo <> hi").select("key", F.col("first.id").alias("f"), F.col("first.comp").alias("fc")))
         tail = [f"t{h}{n % rounds}" for n in range(turn, turn + 2) for h in ("one", "two")]
-        open_rows = tables.select("key", "id", "comp", *tail).join(first, "key")
+        open_rows = used.select("key", "id", "comp", *tail).join(first, "key")
         pairs = open_rows.filter("comp <> fc").select("id", "fc", "f")
         if turn:
             side = open_rows.repartitionByRange(F.col("key"), *tail, "id").sortWithinPartitions("key", *tail, "id")
             pairs = pairs.unionByName(side.select("key", "id", "comp").mapInArrow(_neighbours, "id bigint, fc bigint, f bigint"))
-        if turn:
             # groups have formed: one class of each other component that a class meets
             pairs = pairs.groupBy("id", "fc").agg(F.min("f").alias("f"))
         pairs = pairs.select(F.least("id", "f").alias("a"), F.greatest("id", "f").alias("b"))
         sure = confirmed(pairs.distinct())
-        found = sure if found is None else found.unionByName(sure)
-        if sure.isEmpty():
-            break
-        comp = components(found)
-        tables = tables.drop("comp").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        if turn < rounds - 1:
-            tables = save(tables)
+        new = sure.count()
+        found, known = sure if found is None else found.unionByName(sure), known + new
+        if new:
+            tables = save(tables.drop("comp").join(_labels(found), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        if step and FEW * new <= known:
+            break                  # what is left is settled exactly below
     still = (tables.groupBy("key").agg(F.min("id").alias("f"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .filter("n > 2 AND lo <> hi").select("key", "f", "n"))
     rows_left = save(tables.select("key", "id", "comp").join(still, "key"))

@@ -66,6 +66,23 @@ def test_a_large_group_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in brute_components(data, 3, 85).items()}
 
 
+def test_components_of_near_copies_are_formed_at_the_end(spark, monkeypatch):
+    """Components are formed for the buckets left open and at the end, not once a round."""
+    import random
+    rng = random.Random(12)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(400):
+        t = list(base)
+        for _ in range(rng.randint(1, 6)):
+            t[rng.randrange(len(t))] = f"n{rng.randrange(99999)}"
+        texts.append(" ".join(t))
+    calls, components = [], near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: calls.append(1) or components(edges))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(plain(spark, *texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 3, 85).items()}
+    assert len(calls) <= 2
+
+
 def test_buckets_that_leaders_and_neighbours_do_not_settle(spark, monkeypatch):
     """Pairs of near copies of one template, in a single table of small and large buckets: every similar pair of a bucket is linked."""
     import random
