@@ -3,7 +3,7 @@
 Encoding: a text is cut at strings of special tokens, normalised and split into words as the tokenizer file says. For
 each word an Aho-Corasick automaton lists the tokens that start at each symbol, longest first. A walk takes the
 longest one that fits its left neighbour by the pair-compatibility table, and steps back where none does; a position
-found hopeless is never tried again, so a word takes linear time. Answers are remembered per word.
+found hopeless is never tried again, so a word takes linear time. Answers are remembered per word, up to a fixed number of words.
 
 Decoding: an offset table into one run of bytes that holds all tokens; ids become a gather of byte ranges.
 
@@ -12,8 +12,8 @@ Very long texts are handled whole; only the list of their ids grows with them.
 """
 from __future__ import annotations
 
+import array
 import functools
-import itertools
 import json
 import re
 import unicodedata
@@ -28,7 +28,7 @@ from tokenizers import normalizers
 from .common import columns, slices, text_or_empty
 from .merges import byte_letters, in_brackets, marked, merges, ranges, special_pattern
 
-REMEMBERED = 300_000       # words whose answer a task keeps; it starts over beyond it
+REMEMBERED = 50_000        # words in each of the two generations of answers that a Python worker keeps
 #: what the file's split pattern says, with its classes spelled out by `ranges`
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -72,19 +72,25 @@ class Automaton:
 
 
 class Words(dict):
-    """Ids of words, found on first sight."""
+    """Ids of words as bytes of 32-bit numbers, found on first sight. A full generation becomes the one before it, whose words are taken
+    over when they are met again: frequent words stay, and the memory does not grow with the corpus."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.automaton, letters = Automaton(path), byte_letters()
         self.letters = {b: ord(c) for b, c in enumerate(letters)}
         self.suffix = self.automaton.table.suffix
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.before = self.copy()
             self.clear()
-        symbols = marked(word.encode().decode("latin-1").translate(self.letters), self.suffix)
-        found = self[word] = tuple(self.automaton.ids(symbols))
+        found = self.before.get(word)
+        if found is None:
+            symbols = marked(word.encode().decode("latin-1").translate(self.letters), self.suffix)
+            found = array.array("i", self.automaton.ids(symbols)).tobytes()
+        self[word] = found
         return found
 
 
@@ -126,7 +132,7 @@ def _encoded(path: str, letters: tuple, digits: tuple, blanks: tuple):
                             ids.append(np.array([specials[piece]], np.int32))
                         elif piece:
                             found = map(words.__getitem__, (full if OLD_LETTERS.search(piece) else early).findall(normalised(piece)))
-                            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.int32))
+                            ids.append(np.frombuffer(b"".join(found), np.int32))
                     sizes.append(len(ids))
                 total = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) if ids else np.zeros(1)
                 yield pa.RecordBatch.from_arrays(
@@ -189,9 +195,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return found.mapInArrow(_decoded(path), "doc_id bigint, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text): `encode` and `decode` in one pass, so that a task holds one Python worker instead of two."""
+    encoded, decoded = _encoded(path, ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")), _decoded(path)
+    found = columns(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    return found.mapInArrow(lambda batches: decoded(encoded(batches)), "doc_id bigint, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids as text and of the decoded text."""
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id", F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -42,6 +42,25 @@ def test_codec_equals_the_library(spark):
         assert got[i].decoded_sha256 == sha(lib.decode(ids, skip_special_tokens=False)), t
 
 
+def test_answers_in_two_generations(spark, monkeypatch):
+    """Words remembered do not grow with the corpus, frequent ones are kept, and all answers are those of a fresh start."""
+    monkeypatch.setattr(bpe_codec, "REMEMBERED", 40)
+    words, rng = bpe_codec.Words(WORDS), random.Random(6)
+    seen = []
+    for k in range(600):
+        for word in ("often", "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))):
+            seen.append((word, words[word]))
+            assert len(words) + len(getattr(words, "before", {})) <= 80
+    fresh = bpe_codec.Words(WORDS)
+    assert len({w for w, _ in seen}) > 200 and all(fresh[w] == ids for w, ids in seen)
+
+
+def test_codec_holds_one_python_worker_a_task(spark):
+    plan = bpe_codec.digests(plain(spark, "some text"), WORDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert bpe_codec.decode(bpe_codec.encode(plain(spark, "Some  text", None), WORDS), WORDS).collect() == bpe_codec.round_trip(plain(spark, "Some  text", None), WORDS).collect()
+
+
 def test_byte_level_round_trip():
     offsets, automaton = bpe_codec.Offsets(BYTES), bpe_codec.Automaton(BYTES)
     import numpy as np
