@@ -28,7 +28,7 @@ from tokenizers import normalizers
 from .common import columns, slices, text_or_empty
 from .merges import byte_letters, in_brackets, marked, merges, ranges, special_pattern
 
-REMEMBERED = 50_000        # words in each of the two generations of answers that a Python worker keeps
+REMEMBERED = 150_000       # words in each of the two generations of answers that a Python worker keeps
 #: what the file's split pattern says, with its classes spelled out by `ranges`
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
 
