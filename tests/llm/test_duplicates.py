@@ -239,6 +239,63 @@ def test_bucket_pairs_in_any_batches(everything):
     assert whole == parts and len(whole) > 100
 
 
+def first_round(texts, groups=4):
+    """Batches of the first round's rows for texts, each a block of its own, in order of their groups as Spark deals them out."""
+    class Sent:
+        value = np.arange(1 << 10)
+    parts = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    return list(line_dedup._buckets(Sent, 1, groups)(iter(parts)))
+
+
+def test_first_round_rows_travel_in_groups():
+    """A block of texts has one row for each group of buckets, however many words it has; opened, no row that can meet another is missing."""
+    rng = random.Random(8)
+    base = [words(rng, 30) for _ in range(6)]
+    texts = ["\n".join(rng.choice(base) + f" own{i}x{k} more{i}x{k}" for k in range(5)) for i in range(20)]
+    sent = first_round(texts)
+    assert all(b.num_rows <= 4 and b.schema.names == ["grp", "rows"] for b in sent)
+    rows_of = lambda b: line_dedup._unpacked(b.column("rows"), len(line_dedup.ROW_NAMES))
+    everything = sorted(map(tuple, np.concatenate([rows_of(b) for b in sent]).tolist()), key=lambda r: (r[0], r[2], r[3], r[1]))
+    assert len(everything) > 300 > sum(b.num_rows for b in sent)
+    often = collections.Counter(r[0] for r in everything)
+    dealt = pa.Table.from_batches(sent).sort_by("grp")
+    for size in (1, 7, 1000):
+        opened = list(line_dedup._in_order(iter(dealt.to_batches(max_chunksize=size))))
+        got = [r for b in opened for r in zip(*(b.column(k).to_pylist() for k in line_dedup.ROW_NAMES))]
+        for b in opened:
+            own = list(zip(*(b.column(k).to_pylist() for k in ("token", "doc_id", "number", "id"))))
+            assert own == sorted(own)
+        assert sorted(got, key=lambda r: (r[0], r[2], r[3], r[1])) == [r for r in everything if often[r[0]] > 1]
+        assert len({t for b in opened for t in set(b.column("token").to_pylist())}) == sum(len(set(b.column("token").to_pylist())) for b in opened)
+
+
+@pytest.mark.parametrize("bits", [4, 18])
+def test_word_counts_travel_in_blocks(spark, bits):
+    """Counts of many tasks come to as many as there are words, in a row for each 1,024 places."""
+    texts = [" ".join(f"v{k}" for k in range(i, i + 50)) for i in range(40)] + ["", None]
+    d = plain(spark, *texts).select("text").repartition(5)
+    got = line_dedup.token_counts_by_bucket(d, bits)
+    assert len(got) == 1 << bits and got.sum() == 2000
+    if bits == 18:
+        assert sorted(got[got > 0].tolist()) == sorted(collections.Counter(w for t in texts for w in split(t)).values())
+    sent = list(line_dedup._counted(bits)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert sum(b.num_rows for b in sent) <= max(1, (1 << bits) >> 10)
+
+
+def test_no_shuffle_of_a_row_for_each_word(spark, monkeypatch):
+    """What the first round sends has rows by blocks and groups, not by words; a pair's later line goes without a look at all classes."""
+    rng = random.Random(3)
+    made = []
+    monkeypatch.setattr(line_dedup, "save", lambda df, save=line_dedup.save: made.append(df) or save(df))
+    base = [words(rng, 60) for _ in range(20)]
+    texts = ["\n".join(rng.choice(base) + f" own{i}" for _ in range(4)) for i in range(60)]
+    got = {(r.doc_id, texts[r.doc_id]): list(r.removed) for r in line_dedup.removed_lines(plain(spark, *texts)).collect()}
+    assert got == dict(brute_lines(list(enumerate(texts)))) and got
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(grp" in plan and "hashpartitioning(token" not in plan
+    assert not any("named_struct" in df._jdf.queryExecution().analyzed().toString() for df in made)
+
+
 def test_words_as_numbers():
     import pyarrow as pa
     from ledgerloom.llm.common import utf8
