@@ -32,6 +32,7 @@ BLOCK = 16                 # words; passages are two or four blocks
 SLICE_BYTES = 256 << 10
 LEAST_WORDS = 5
 DENSE = 4096               # words of a vocabulary whose square is counted in a dense table (64 MB)
+HEAD = np.uint64(48)       # words are looked up by their first 16 bits
 _plain = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 
 
@@ -73,13 +74,34 @@ class Items:
     counts: np.ndarray | None = None   # how often each item has each vocabulary word
     short_words: list[np.ndarray] = field(default_factory=list)
 
+    def __post_init__(self):
+        heads = np.searchsorted(self.vocabulary, np.arange(1 << 64 - int(HEAD), dtype=np.uint64) << HEAD)
+        self.heads = heads.astype(np.int32)     # number of the first word not before each head
+        self.deepest = int(np.diff(heads, append=len(self.vocabulary)).max())
+
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are in the vocabulary, and their numbers."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        last = len(self.vocabulary) - 1
+        at = np.minimum(self.heads[h >> HEAD], last).astype(np.int64)
+        for _ in range(self.deepest - 1):       # past the words of this head that stand before
+            at += (self.vocabulary[at] < h) & (at < last)
         known = np.flatnonzero(self.vocabulary[at] == h)
         return known, at[known]
 
 
+def sums_of(space: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of `space[term]` over consecutive groups of `count` terms, none of them empty: first all first terms, then all second ones."""
+    order = np.argsort(-count, kind="stable")
+    start = (np.cumsum(count) - count)[order]
+    total = space[term[start]]
+    for k in range(1, int(count.max())):
+        longer = np.count_nonzero(count > k)
+        total[:longer] += space[term[start[:longer] + k]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def read_items(rows: list) -> Items:
     """`rows` have item_id, text and answer (or NULL)."""
     texts = [r["text"] or "" for r in rows]
@@ -105,8 +127,9 @@ def _frequencies(items: Items):
         for a in range(0, len(cell), EMITTED):
             yield pa.RecordBatch.from_arrays([pa.array(cell[a:a + EMITTED].astype(np.int64)), pa.array(n[a:a + EMITTED].astype(np.int64))], names=["cell", "n"])
 
-    def pairs(term: np.ndarray, block: np.ndarray) -> np.ndarray:
-        cells = [term * size + term]
+    def pairs(term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells, and which words are the first ones of their kind in their block."""
+        cells, new = [term * size + term], np.ones(len(term), bool)
         for lag in range(1, BLOCK):            # words of a block come one after the other
             same = np.flatnonzero(block[lag:] == block[:-lag]) if len(term) > lag else np.zeros(0, np.int64)
             if not len(same):
@@ -115,7 +138,8 @@ def _frequencies(items: Items):
             cells.append(np.minimum(x, y) * size + np.maximum(x, y))
             twice = x == y                      # a word with itself stands on both sides of the diagonal
             cells.append(x[twice] * size + y[twice])
-        return np.concatenate(cells)
+            new[same[twice] + lag] = False
+        return np.concatenate(cells), new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size, np.int64), 0
@@ -126,10 +150,10 @@ def _frequencies(items: Items):
                 begin, block = blocks_of(first)
                 at, term = items.terms(h)
                 n += int(begin[-1])
-                df += np.bincount(np.unique(block[at] * size + term) % size, minlength=size)
-                cells = pairs(term, block[at])
+                cells, new = pairs(term, block[at])
+                df += np.bincount(term[new], minlength=size)
                 if size <= DENSE:
-                    np.add.at(dense, cells, 1)
+                    np.add.at(dense, cells, np.int32(1))        # of the table's type: numpy is ten times slower where it must cast
                     continue
                 held.append(np.unique(cells, return_counts=True))
                 many += len(held[-1][0])
@@ -274,17 +298,18 @@ def leaks_in(part: pa.RecordBatch, items: Items, tables: list, near: float, same
     if not len(at):
         return found
     lengths = np.array([len(w) for w in items.words])
-    sums = np.zeros((begin[-1] + 1, items.space.shape[1]))
+    sums = np.zeros((begin[-1] + 1, items.space.shape[1]), np.float32)      # of each block; the last row stays zero
     row = block[at]
     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    sums[row[new] + 1] = np.add.reduceat(items.space[term], new)
-    sums = np.cumsum(sums, 0)
+    sums[row[new]] = sums_of(items.space, term, np.diff(new, append=len(row)))
     for size in (2, 4):
         which = np.flatnonzero(items.sizes == size)
         if not len(which):
             continue
         text, start, end = passages(begin, size)
-        p = (sums[end] - sums[start]).astype(np.float32)
+        p = sums[start]
+        for k in range(1, size):
+            p += sums[np.where(start + k < end, start + k, begin[-1])]
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
         i, j = np.nonzero(p @ items.vectors[which].T >= near)
         item, d = which[j], text[i]
